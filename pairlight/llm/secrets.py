@@ -124,7 +124,8 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
     """A random forest on labelled findings (candidate, word, before, path, label)."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(_features(findings)).select("v", F.col("label").cast("double").alias("label"))
+    known = materialise(_features(findings).select(*FEATURES, F.col("label").cast("double").alias("label")), "secret-findings")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(known).select("v", "label")
     return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=11).fit(rows)
 
 

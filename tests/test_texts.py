@@ -1,0 +1,92 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairlight.plans import answers as A
+from pairlight.plans import prompts as P
+from pairlight.plans import specs as S
+from pairlight.plans.cards import cards, formatter
+from pairlight.sources import jobs as J
+from pairlight.streaming import requests as Q
+
+
+def test_number_formats(spark):
+    df = spark.createDataFrame([(0.1235, ".3f", "0.123"), (-0.0005, ".3f", "-0.001"), (87.0, "g", "87"), (1234567.0, "g", "1.23457e+06"), (0.05, ".2g", "0.05"), (0.000012, ".2g", "1.2e-05")], "x double, f string, want string")
+    for spec in (".3f", "g", ".2g"):
+        assert all(r.got == r.want for r in df.where(F.col("f") == spec).select("want", formatter(spec)(F.col("x")).alias("got")).collect())
+
+
+def test_specs(spark):
+    rows = [
+        ("a", "q", '```json\n{"mirna":"miR-1","k":"7.9","cancer":null,"filters":null}\n```'), ("b", "q", 'so {"gene":"TP53","k":7.9,"mode":"gene_to_mirnas","pathway_keywords":["x"]} then'),
+        ("c", "q", "```{}```"), ("d", " ", '{"mirna":"miR-1"}'), ("e", "q", "nothing"), ("f", "q", '{"mirna":""}'), ("g", None, None),
+    ]
+    good, bad = S.split_rejects(S.normalise_specs(spark.createDataFrame(rows, "query_id string, question string, response string")))
+    got = {r.query_id: r for r in good.collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"].k, got["a"].token, got["a"].cohort, got["a"].filters.min_support) == (50, "miR-1", None, 1)
+    assert (got["b"].k, got["b"].mode, got["b"].pathway_keywords) == (7, "gene_to_mirnas", ["x"])
+    assert {r.query_id for r in bad.collect()} == set("cdefg")
+
+
+def test_request_ids_replay(spark):
+    df = spark.createDataFrame([(None, "x"), ("given", "x"), (None, "y")], "query_id string, question string")
+    one, two = ([r.query_id for r in S.request_defaults(df).collect()] for _ in range(2))
+    assert one == two and one[1] == "given" and len(one[0]) == 16 and one[0] != one[2]
+
+
+def test_cards(spark):
+    df = spark.createDataFrame(
+        [("miR-1", "A", 3, 1, 1, 87.0, 2, list("abcdefg"), -0.1235, 0.05), (None, "B", None, 0, 0, None, None, None, None, None), (None, None, 1, None, 0, None, None, None, 0.2, 0.9)],
+        "mirna_name string, gene_symbol string, support_count int, mirtarbase_pos int, support_encori int, clip_exp_sum double, n_clip_sites int, cellline_tissue_set array<string>, X_spearman_rho double, X_spearman_p double",
+    )
+    a, b, c = cards(df, "x").collect()
+    assert a.name == "A (← miR-1)" and b.name == "B" and c.name == "UNKNOWN"
+    assert a.evidence == "support_count=3; miRTarBase(functional=1); ENCORI(CLIP_sum=87, sites=2); TCGA(X anti_corr=1, rho=-0.123, p=0.05)"
+    assert a.notes == "ENCORI tissues: a, b, c, d, e, f ..." and b.notes is None
+    assert b.evidence == "support_count=0; miRTarBase(functional=0); TCGA(X anti_corr=0)"
+
+
+def test_prompts(spark):
+    specs = spark.createDataFrame([("1", "gene_to_mirnas", "why?", True), ("2", None, None, None)], "query_id string, mode string, original_question string, novel boolean")
+    own = spark.createDataFrame([("1", 2, "n2", "e2", None), ("1", 1, "n1", "e1", "note")], "query_id string, rank int, name string, evidence string, notes string")
+    one, two = P.prompts(specs, cards=own).orderBy("query_id").collect()
+    assert one.user_prompt.endswith("Candidate: n1\nEvidence: e1\nNotes: note\n\nCandidate: n2\nEvidence: e2")
+    assert "microRNAs" in one.user_prompt and "- nothing given" in two.user_prompt and two.user_prompt.endswith("Cards:\n\n")
+    with pytest.raises(ValueError):
+        P.prompts(specs)
+
+
+def test_answers(spark):
+    shapes = ['"text"', '{"summary":"s"}', '{"raw_text":"r"}', '{"raw_text":{"summary":"s"}}', '{"raw_text":{"raw_text":"r"}}', '{"raw_text":{"raw_text":{"summary":"s"}}}', '{"raw_text":{"raw_text":{"raw_text":"r"}}}', '{"summary":5}', "{}", None, '{"summary":" ","raw_text":" r "}']
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(shapes)], "query_id string, answer string")
+    assert [r.summary for r in A.extract_summaries(df).collect()] == ["text", "s", "r", "s", "r", "s", "r", None, None, None, " r "]
+    assert A.envelope(spark.createDataFrame([("1", "t")], "query_id string, text string")).first().asDict() == {"query_id": "1", "raw_text": "t", "summary": "t", "suggested_experiments": []}
+
+
+def test_jobs(spark):
+    short = spark.createDataFrame([("1", 2, "b", ["x"]), ("1", 1, "a", None)], "query_id string, rank int, gene string, tags array<string>")
+    nested = J.nest_shortlist(short)
+    assert sorted(map(tuple, J.unnest_shortlist(nested).collect()), key=str) == sorted(map(tuple, short.collect()), key=str)
+    docs = {r.query_id: json.loads(r.document) for r in J.result_documents(spark.createDataFrame([("1", 5), ("2", 6)], "query_id string, k int"), nested).collect()}
+    assert docs["1"]["shortlist"][1]["tags"] == ["x"] and docs["2"] == {"status": "done", "queryspec": {"k": 6}, "shortlist": []}
+    log = spark.createDataFrame([("1", "queued", 0), ("1", "done", 2), ("1", "running", 1), ("3", None, 1)], "query_id string, status string, seq long")
+    ids = spark.createDataFrame([("1",), ("2",), ("3",)], "query_id string")
+    assert {r.query_id: r.status for r in J.latest_status(log, ids).collect()} == {"1": "done", "2": "unknown", "3": "running"}
+    assert json.loads(J.error_records(spark.createDataFrame([("9", "bad")], "query_id string, error string")).first().document) == {"status": "error", "error": "bad"}
+
+
+def test_stream_replays_add_nothing(spark, tmp_path):
+    box, out, log, state = (str(tmp_path / n) for n in ("in", "out", "log", "state"))
+    put = lambda i: spark.range(i, i + 3).selectExpr("CAST(id AS STRING) AS query_id", "'q' AS question").coalesce(1).write.mode("append").json(box)
+    answer = lambda df: df.select("query_id", F.lit(1).alias("n"))
+    put(0)
+    for want in (3, 3):
+        Q.serve(Q.read_requests(spark, box), answer, out, log, state).awaitTermination()
+        assert spark.read.parquet(out).count() == want
+    put(3)
+    Q.serve(Q.read_requests(spark, box), answer, out, log, state).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
+    status = J.latest_status(spark.read.parquet(log), spark.range(7).selectExpr("CAST(id AS STRING) AS query_id"))
+    assert sorted((r.query_id, r.status) for r in status.collect()) == [*((str(i), "done") for i in range(6)), ("6", "unknown")]

@@ -90,6 +90,7 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: tuple[
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(line) - 1, F.lit(n)) + 1).cast("int"))
     t = sizes.withColumn("_w", w).withColumn("_top", F.col("source_size") * F.lit(float(ceiling)))
     below = Window.orderBy((F.col("_top") / F.col("_w")).asc(), F.col(source_col).asc_nulls_last())
+    t = t.withColumn("_at", F.row_number().over(below))
     upto, every = below.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     t = t.withColumns({
         "_total": F.sum("source_size").over(every),
@@ -99,7 +100,7 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: tuple[
     level = (F.col("_total") - F.col("_full")) / F.col("_rest")
     t = t.withColumn("_level", level).withColumn("_open", F.col("_level") * F.col("_w") <= F.col("_top"))
     # The first source that isn't filled fixes the level of it and all after it.
-    level = F.min(F.when(F.col("_open"), F.struct(F.col("_top") / F.col("_w"), F.col("_level")))).over(every)["_level"]
+    level = F.min(F.when(F.col("_open"), F.struct("_at", "_level"))).over(every)["_level"]
     target = F.least(F.coalesce(level, F.lit(math.inf)) * F.col("_w"), F.col("_top"))
     return t.select(source_col, "source_size", F.when(F.col("_total") > 0, target).otherwise(F.lit(0.0)).alias("target"))
 

@@ -187,8 +187,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: every document repeated as often as the mix takes it, with the columns of ``docs``."""
-    row = F.monotonically_increasing_id()
-    tagged = docs.withColumn("_row", row)
-    kept = mix(tagged, carry={"_row": F.col("_row")}, **options).where("copies > 0").select("_row", "copies")
-    return tagged.join(kept, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixed documents themselves: every document repeated as often as the mix takes it, with the columns of ``docs``.
+
+    Decisions come back by doc_id where ids are unique.  Where they repeat or
+    are null, rows are numbered first and written once, so that a task that runs
+    again sees the same numbers.
+    """
+    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        kept = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_row"), F.col("copies").alias("_copies"))
+        joined = docs.join(kept, F.col("doc_id") == F.col("_row"))
+    else:
+        docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+        kept = mix(docs, carry={"_row": F.col("_row")}, **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+        joined = docs.join(kept, "_row")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(c for c in docs.columns if c != "_row"))

@@ -159,7 +159,7 @@ class Net:
 
         A clean row judged toxic weighs ``clean_weight`` errors, since the sample holds far
         fewer clean rows than the corpus does.  Languages with few rows of a class take the
-        split of all rows.
+        split of all rows; with few toxic rows at all, that lies above every clean row.
         """
         logit = np.concatenate([self.forward(docs[i : i + 64])[0] for i in range(0, len(docs), 64)])
         lang = np.array([language(d) for d in docs])
@@ -173,6 +173,8 @@ class Net:
             return float(z[0] - 1 if i == 0 else z[-1] + 1 if i == len(z) else (z[i - 1] + z[i]) / 2)
 
         whole = cut(np.ones(len(docs), bool)) if 0 < labels.sum() < len(labels) else 0.0
+        if labels.sum() < least / 2 and (labels == 0).any():
+            whole = max(whole, float(logit[labels == 0].max()) + 0.5)
         for k in range(len(LANGS)):
             own = lang == k
             enough = min(labels[own].sum(), (1 - labels[own]).sum()) >= least

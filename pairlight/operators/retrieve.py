@@ -82,22 +82,25 @@ def matches(evidence: DataFrame, queries: DataFrame, fixed_cohort: str | None =
     return both.where(masks(both, cohort))
 
 
-def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None, weights: Weights = Weights()) -> DataFrame:
+def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None, weights: Weights = Weights(), collapse: bool = True) -> DataFrame:
     """Ranked pairs of every query: query_id, rank, pair, collapsed evidence, score and its parts.
 
     Masks act on rows and so before tiers are resolved.  Pairs are collapsed
     within (query, tier) first, which depends on the name alone; then one
     exchange by query serves the winning tier, the matched names and the rank.
     ``max_k``, a bound on all k, lets the plan cut each task's rows before that
-    exchange.  Ties go by names.  Queries without hits give no row.
+    exchange.  Ties go by names.  Queries without hits give no row.  Without
+    ``collapse`` every surviving row is scored and ranked by itself.
     """
     ev = evidence if {"mirna_key", "gene_key"} <= set(evidence.columns) else prepare(evidence)
     q = with_defaults(queries)
     params = [c for c in q.columns if c not in ("query_id", "token")]
     rows = matches(ev, q)
     keys = ["query_id", "tier", "direction", "mirna_name", "gene_symbol"]
-    aggs = [a for a in rules(rows)] + [F.any_value(c).alias(c) for c in ("token", *params)]
-    pairs = rows.groupBy(*keys).agg(*aggs)
+    if collapse:
+        pairs = rows.groupBy(*keys).agg(*rules(rows), *(F.any_value(c).alias(c) for c in ("token", *params)))
+    else:
+        pairs = rows.drop("key", "mirna_key", "gene_key")
     by_query = Window.partitionBy("query_id")
     pairs = pairs.withColumn("_best", F.min("tier").over(by_query)).where("tier = _best")
     names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("direction") == "mirna_to_targets", F.col("mirna_name")).otherwise(F.col("token"))).over(by_query)), ";")
@@ -114,10 +117,10 @@ def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None,
     return ranked.select("query_id", "rank", "direction", *[c for c in ranked.columns if c not in ("query_id", "rank", "direction", "tier", "_best", "token", *params)])
 
 
-def retrieve_one(evidence: DataFrame, token: str, **options) -> DataFrame:
+def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, **options) -> DataFrame:
     """A single query by token and parameters."""
     q = single_query(evidence.sparkSession, token, **options)
-    return retrieve(evidence, q, max_k=options.get("k", DEFAULTS["k"])).drop("query_id")
+    return retrieve(evidence, q, max_k=options.get("k", DEFAULTS["k"]), collapse=collapse).drop("query_id")
 
 
 def unmatched(queries: DataFrame, shortlist: DataFrame) -> DataFrame:

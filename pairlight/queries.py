@@ -119,11 +119,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def keep(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return keep
@@ -248,7 +248,7 @@ _ROW = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpr
 
 @query(f"""WITH t AS (SELECT {M} AS m, l_suppkey % 50 AS s, {_TISSUES} AS tissues, {_ROW} FROM lineitem),
 r AS (SELECT m, s, tissues, row_number() OVER (PARTITION BY m, s ORDER BY (tissues IS NULL), {_ROW}) AS n FROM t)
-SELECT m, s, nullif(tissues, '') AS tissues FROM r WHERE n = 1""")
+SELECT m, s, nullif(tissues, '') AS tissues FROM r WHERE n = 1""", name="first_nonnull")
 def first_nonnull_list(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem").selectExpr(f"{M} AS m", "l_suppkey % 50 AS s", f"{_TISSUES} AS text", f"struct({_ROW}) AS row_ord")
     df = df.withColumn("tissues", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", r"\|")))

@@ -17,13 +17,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go; null and empty texts stay."""
     net = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
     own = docs.columns
-    carried = {f"c{i}": F.col(c) for i, c in enumerate(own)}
-    scored = toxicity.score(docs.withColumn("_none", F.lit(None).cast("int")), net, id_col="_none", carry=carried)
-    return scored.where((F.col("predicted") == 0) | F.coalesce(F.trim(carried_text(own)), F.lit("")).eqNullSafe("")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
-
-
-def carried_text(columns: list[str]) -> F.Column:
-    return F.col(f"c{columns.index('text')}")
+    carried = {f"c{i}": F.col(c) for i, c in enumerate(own) if c != "doc_id"}
+    scored = toxicity.score(docs, net, carry=carried).toDF("doc_id", *(c for c in own if c != "doc_id"), "_score", "_predicted")
+    return scored.where((F.col("_predicted") == 0) | (F.coalesce(F.trim("text"), F.lit("")) == "")).select(*own)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,4 +60,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_minhash_neardup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_toxicity, op8_media_columns, op9_secret_scan, op10_language_id)}
-ORACLES: dict[str, str] = {}
+
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The others train, sample, pack or hash by functions that DuckDB lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+t AS (SELECT *, trim(raw, ' ') AS line FROM l),
+f AS (SELECT line, min(struct_pack(d := doc_id, k := k)) AS p FROM t WHERE length(line) >= 20 GROUP BY line),
+h AS (SELECT line, p, unnest([struct_pack(m := m, s := 0, x := left(line, m // 2)), struct_pack(m := m, s := 1, x := right(line, m // 2))]) AS key FROM (SELECT *, unnest([length(line), length(line) - 1]) AS m FROM f)),
+c AS (SELECT DISTINCT a.line AS a, b.line AS b FROM h a JOIN h b ON a.key = b.key AND b.p < a.p WHERE abs(length(a.line) - length(b.line)) <= 1),
+o AS (SELECT a, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS y FROM c),
+near AS (SELECT DISTINCT a FROM o WHERE len(list_filter(range(1, length(x) + 1), lambda i: left(x, i - 1) || substr(x, i + 1) = CASE WHEN length(x) = length(y) THEN left(y, i - 1) || substr(y, i + 1) ELSE y END)) > 0),
+kept AS (SELECT t.*, (length(t.line) < 20 OR (f.p = struct_pack(d := t.doc_id, k := t.k) AND near.a IS NULL)) AS stays FROM t LEFT JOIN f ON t.line = f.line LEFT JOIN near ON near.a = t.line),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (stays), '') AS text FROM kept GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_kept, md5(text) AS text_md5 FROM d""",
+    "op3_minhash_neardup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_SMALL}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i : i + 3], ' '))) END AS s FROM w),
+g AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+x AS (SELECT rep, n, unnest(s) AS h FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.h = b.h AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (na + nb - shared)),
+reach(a, b) AS (SELECT rep, rep FROM g UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS rep, min(b) AS comp FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.comp, s.doc_id) AS component_id, s.doc_id = coalesce(c.comp, s.doc_id) AS kept FROM s LEFT JOIN g ON list_sort(s.s) = g.s LEFT JOIN c ON c.rep = g.rep""",
+}

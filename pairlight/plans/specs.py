@@ -66,7 +66,7 @@ def normalise_specs(responses: DataFrame) -> DataFrame:
     question = strip(F.coalesce("question", F.lit("")))
     mode = _text("mode")
     token = F.coalesce(*(F.nullif(_text(n), F.lit("")) for n in ("mirna", "gene", "query_token")))
-    error = F.when(question == "", "question is empty").when(F.col("v").isNull(), "response holds no JSON object").when(token.isNull(), "no mirna, gene or query_token")
+    error = F.when(question == "", "question is empty").when(F.col("v").isNull(), "response holds no JSON object").when(token.isNull(), "no mirna, gene or query_token").when(_int("k", 50) < 0, "k is negative")
     return v.select(
         "query_id",
         question.alias("original_question"),

@@ -20,14 +20,14 @@ def test_number_formats(spark):
 def test_specs(spark):
     rows = [
         ("a", "q", '```json\n{"mirna":"miR-1","k":"7.9","cancer":null,"filters":null}\n```'), ("b", "q", 'so {"gene":"TP53","k":7.9,"mode":"gene_to_mirnas","pathway_keywords":["x"]} then'),
-        ("c", "q", "```{}```"), ("d", " ", '{"mirna":"miR-1"}'), ("e", "q", "nothing"), ("f", "q", '{"mirna":""}'), ("g", None, None),
+        ("c", "q", "```{}```"), ("d", " ", '{"mirna":"miR-1"}'), ("e", "q", "nothing"), ("f", "q", '{"mirna":""}'), ("g", None, None), ("h", "q", '{"mirna":"miR-1","k":-3}'),
     ]
     good, bad = S.split_rejects(S.normalise_specs(spark.createDataFrame(rows, "query_id string, question string, response string")))
     got = {r.query_id: r for r in good.collect()}
     assert set(got) == {"a", "b"}
     assert (got["a"].k, got["a"].token, got["a"].cohort, got["a"].filters.min_support) == (50, "miR-1", None, 1)
     assert (got["b"].k, got["b"].mode, got["b"].pathway_keywords) == (7, "gene_to_mirnas", ["x"])
-    assert {r.query_id for r in bad.collect()} == set("cdefg")
+    assert {r.query_id for r in bad.collect()} == set("cdefgh")
 
 
 def test_request_ids_replay(spark):

@@ -42,11 +42,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     ws = docs.where(F.col(text_col).rlike(_RUN)).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(F.col(text_col), r"[\x20\x09-\x0D]+").alias("ws"))
     hits = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (F.length(F.get("ws", i)) >= LEAST) & F.get("ws", i).rlike(_RUN))
-    # No filter on the hits: pushed down, it would split the text again for every word.
+    # No filter on the hits, and an outer generator, which implies none: pushed down, it would split the text again for every word.
     found = ws.select("doc_id", "path", "ws", hits.alias("hits"))
     # Only the few words of interest leave the array, so that it isn't copied for each.
     near = F.transform("hits", lambda i: F.struct(i.alias("at"), F.get("ws", i).alias("word"), F.concat_ws(" ", F.get("ws", i - 2), F.get("ws", i - 1)).alias("prior"), F.get("ws", i + 1).alias("after")))
-    rows = found.select("doc_id", "path", near.alias("near")).select("doc_id", "path", F.inline("near"))
+    rows = found.select("doc_id", "path", near.alias("near")).select("doc_id", "path", F.inline_outer("near")).where("at IS NOT NULL")
     runs = rows.withColumn("candidate", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({_RUN})"), 1))))
     # 'password=...' is one run: the name before the sign belongs to the context.
     name = F.regexp_extract("candidate", r"^([A-Za-z_-]{2,40}=)", 1)

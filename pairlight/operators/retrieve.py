@@ -98,7 +98,8 @@ def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None,
     rows = matches(ev, q)
     keys = ["query_id", "tier", "direction", "mirna_name", "gene_symbol"]
     if collapse:
-        pairs = rows.groupBy(*keys).agg(*rules(rows), *(F.any_value(c).alias(c) for c in ("token", *params)))
+        # A query's parameters follow from its id; as keys they leave only numbers to aggregate, by hash and without a sort.
+        pairs = rows.groupBy(*keys, "token", *params).agg(*rules(rows))
     else:
         pairs = rows.drop("key", "mirna_key", "gene_key")
     by_query = Window.partitionBy("query_id")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -32,7 +34,7 @@ class Vocabulary(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes = [int(START), int(END)]
+        self.hashes = array("Q", [int(START), int(END)])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.hashes)
@@ -58,30 +60,39 @@ def _pairs(texts: list, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.n
     return ids, sizes, start[:-1]
 
 
+def _spans(texts: pa.Array, most: int) -> Iterator[list]:
+    """The texts in runs of about ``most`` bytes, however long they are."""
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
+    run = (np.cumsum(sizes) - sizes) // most
+    edge = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(edge, edge[1:], strict=False):
+        if hi > lo:
+            yield texts.slice(lo, hi - lo).to_pylist()
+
+
 def _pair_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Distinct neighbouring word hashes (v, w) with counts, for every ``most`` tokens or so of a task's texts."""
     vocab, blocks, n = Vocabulary(), [], 0
 
     def close() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         width = np.int64(len(vocab.hashes))
-        key, count = np.unique(np.concatenate(blocks), return_counts=True)
+        key = np.concatenate([v.astype(np.int64) * width + w for v, w in blocks])
+        key, count = np.unique(key, return_counts=True)
         h = np.array(vocab.hashes, np.uint64)
         return h[key // width], h[key % width], count
 
     for batch in batches:
-        for lo in range(0, len(batch), 2000):
-            ids, _, start = _pairs(batch.slice(lo, 2000).column(0).to_pylist(), vocab)
+        for texts in _spans(batch.column(0), 2_000_000):
+            ids, _, start = _pairs(texts, vocab)
             follows = np.ones(len(ids), bool)
             follows[start] = False
             at = np.flatnonzero(follows)
-            blocks.append(np.stack([ids[at - 1], ids[at]]))
+            blocks.append((ids[at - 1].astype(np.int32), ids[at].astype(np.int32)))
             n += len(at)
             if n >= most:
-                blocks = [np.concatenate([b[0] for b in blocks]) * len(vocab.hashes) + np.concatenate([b[1] for b in blocks])]
                 yield close()
                 vocab, blocks, n = Vocabulary(), [], 0
     if n:
-        blocks = [np.concatenate([b[0] for b in blocks]) * len(vocab.hashes) + np.concatenate([b[1] for b in blocks])]
         yield close()
 
 
@@ -160,7 +171,7 @@ def _frequent(docs: DataFrame, text_col: str, parts: int) -> np.ndarray:
     return np.array([START, *(np.uint64(xxhash.xxh64_intdigest(r["w"].encode())) for r in rows)], np.uint64)
 
 
-def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, block_tokens: int = 4_000_000) -> Model:
+def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, block_tokens: int = 1_000_000) -> Model:
     """Count the bigrams of all texts and store the model's arrays in the shared folder.
 
     Each task counts its own texts' pairs and hands every part its slice; a part
@@ -251,7 +262,7 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.open = model, {}
 
-    def array(self, kind: str, part: int, name: str, dtype: str) -> np.ndarray:
+    def part(self, kind: str, part: int, name: str, dtype: str) -> np.ndarray:
         key = (kind, part, name)
         if key not in self.open:
             store, base = pafs.FileSystem.from_uri(self.model.root)
@@ -266,13 +277,13 @@ class Reader:
         edge = np.searchsorted(part[order], np.arange(self.model.parts + 1))
         for p in np.flatnonzero(np.diff(edge)):
             own = order[edge[p] : edge[p + 1]]
-            table = self.array(kind, int(p), "hash", "u8")
+            table = self.part(kind, int(p), "hash", "u8")
             if not len(table):
                 continue
             at = np.minimum(np.searchsorted(table, h[own]), len(table) - 1)
             hit = table[at] == h[own]
             for k in out:
-                out[k][own[hit]] = self.array(kind, int(p), k, kinds[k])[at[hit]]
+                out[k][own[hit]] = self.part(kind, int(p), k, kinds[k])[at[hit]]
         return out
 
     def words(self, h: np.ndarray) -> dict[str, np.ndarray]:
@@ -342,10 +353,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                b = batch.slice(lo, 2000)
+            at = 0
+            for texts in _spans(batch.column(0), 3_000_000):
                 with np.errstate(over="ignore"):
-                    n, known, base, s = _scores(b.column(0).to_pylist(), model, reader, hot)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(s), pa.array(10 ** np.minimum(-s / n, 300))], names=names)
+                    n, known, base, s = _scores(texts, model, reader, hot)
+                carried = [c.slice(at, len(texts)) for c in batch.columns[1:]]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*carried, pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(s), pa.array(10 ** np.minimum(-s / n, 300))], names=names)
 
     return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

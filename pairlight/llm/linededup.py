@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlight.llm.common import materialise
@@ -89,7 +89,7 @@ def _eligible(line: Column, least: int) -> Column:
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """d, k, line (trimmed) of every line that takes part."""
     src = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("_text")).where("d IS NOT NULL AND _text IS NOT NULL")
-    return src.select("d", F.posexplode(_split(F.col("_text"))).alias("k", "raw")).where(_eligible(F.col("raw"), least)).select("d", "k", F.trim("raw").alias("line"))
+    return src.select("d", F.posexplode_outer(_split(F.col("_text"))).alias("k", "raw")).where(_eligible(F.col("raw"), least)).select("d", "k", F.trim("raw").alias("line"))
 
 
 def first_lines(docs: DataFrame, bound: int = 1, least: int = 20, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -99,9 +99,9 @@ def first_lines(docs: DataFrame, bound: int = 1, least: int = 20, most_broadcast
     128-bit hash and are aggregated before the shuffle, so a line that occurs
     everywhere is one row for each task.  Of the distinct lines only those go on
     that share three of four segments with another one, as any two lines within
-    one edit do; they are few.  Their variants are joined by aggregation: every
-    key keeps its earliest line and its earliest exact owner, which decides for
-    all lines that hold it without pairing them.  Each line's earliest partner
+    one edit do; they are few.  Their variants meet in one shuffle by key: each
+    key's earliest line and its exact owner decide for all lines that hold it,
+    without pairing them.  Each line's earliest partner
     is checked by edit distance on the texts.
     """
     if bound not in (0, 1):
@@ -126,9 +126,10 @@ def first_lines(docs: DataFrame, bound: int = 1, least: int = 20, most_broadcast
     texts = materialise(texts, "lines-text")
 
     place = F.struct("d", "k")
-    marks = _neighbourhoods(texts, bound).groupBy("key", "d", "k").agg(F.max("itself").alias("itself"))
-    buckets = marks.groupBy("key").agg(F.min(place).alias("any"), F.min(F.when(F.col("itself"), place)).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = marks.join(buckets.drop("n"), "key").withColumn("me", place)
+    # Lines here are distinct, so those under one key are at most as many as there are characters to differ in.
+    same_key = Window.partitionBy("key")
+    marks = _neighbourhoods(texts, bound).withColumn("me", place)
+    marks = marks.withColumns({"any": F.min("me").over(same_key), "owner": F.min(F.when(F.col("itself"), F.col("me"))).over(same_key)})
     # With an owner, the key is an 'any place' one: the others are compared with the owner, the owner with the earliest.
     partner = F.when(F.col("owner").isNull() | F.col("itself"), F.col("any")).otherwise(F.col("owner"))
     pairs = marks.withColumn("partner", partner).where(F.col("partner") < F.col("me")).groupBy("d", "k").agg(F.sort_array(F.collect_set("partner")).alias("partners"))

@@ -190,19 +190,13 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, blo
             for v, w, n in _pair_blocks(batches, block_tokens):
                 spread = np.isin(v, hot)
                 part = ((v ^ np.where(spread, w * _C1, np.uint64(0))) >> np.uint64(7)) % np.uint64(parts)
-                while True:  # counts beyond a byte go in several rows
-                    few = np.minimum(n, 255)
-                    yield _packed(part, [v, w, few], parts, ["u8", "u8", "u1"])
-                    more = n > 255
-                    if not more.any():
-                        break
-                    part, v, w, n = part[more], v[more], w[more], n[more] - 255
+                yield _packed(part, [v, w, n], parts, ["u8", "u8", "u4"])
 
     src = docs.select(F.col(text_col).cast("string").alias("_text"))
     slices = src.mapInArrow(count, "part int, c0 binary, c1 binary, c2 binary")
 
     def add_pairs(t: pa.Table) -> pa.Table:
-        v, w, n = _whole(t, ["u8", "u8", "u1"])
+        v, w, n = _whole(t, ["u8", "u8", "u4"])
         k = int(t.column("part")[0].as_py())
         with np.errstate(over="ignore"):
             key = pair_hash(v, w)

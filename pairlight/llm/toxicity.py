@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from pairlight.llm.common import id_bucket
 
-#: Hash space of whole words, and of their first PREFIX letters.
-SPACE, PREFIX = 1 << 20, 4
+#: Hash space of whole words, and of their stems: their first so many letters.
+SPACE, STEMS = 1 << 20, (3, 4, 5, 7)
+KINDS = 1 + len(STEMS)
+#: Standard errors that a word's odds must lie from the common ones to be no chance; twice as many count in full.
+SURE = 3.0
 WIDTHS = (1, 2, 3)
+#: Filter of each pooled layer: of width 1 the three largest distinct activations count, since a clean text may hold one odd word.
+LAYERS = (0, 0, 0, 1, 2)
 PAD = max(WIDTHS) - 1
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -33,56 +38,64 @@ LANGS = [*FUNCTION_WORDS, "other"]
 
 
 class Tokens(dict):
-    """From a word to its hash, its prefix's hash and a bit for each language whose function word it is, packed in one int."""
+    """From a word to two packed ints: its hash, that of its first stem and a bit for each language whose function word it is; the other stems' hashes."""
 
     marks = {w: sum(1 << i for i, lang in enumerate(FUNCTION_WORDS) if w in FUNCTION_WORDS[lang]) for ws in FUNCTION_WORDS.values() for w in ws}
 
-    def __missing__(self, word: str) -> int:
-        data = word.encode("utf-8", "surrogatepass")
-        start = word[:PREFIX].encode("utf-8", "surrogatepass")
+    def __missing__(self, word: str) -> bytes:
+        h = [zlib.crc32(word[:n].encode("utf-8", "surrogatepass"), k) % SPACE for k, n in enumerate((None, *STEMS))]
         if len(self) > 400_000:
             self.clear()
-        self[word] = out = zlib.crc32(data) % SPACE | zlib.crc32(start, 1) % SPACE << 20 | self.marks.get(word, 0) << 40
+        self[word] = out = struct.pack("<qq", h[0] | h[1] << 20 | self.marks.get(word, 0) << 40, h[2] | h[3] << 20 | h[4] << 40)
         return out
 
     def of(self, text: str | None) -> np.ndarray:
-        found = _LETTERS.findall(text.lower()) if text else []
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        """A row of two ints for each word."""
+        return unpack(b"".join(map(self.__getitem__, _LETTERS.findall(text.lower()) if text else [])))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64).reshape(-1, 2)
 
 
 def language(packed: np.ndarray) -> int:
     """Index into LANGS of the language with most function words; ties go to the earlier, none is other."""
-    marks = (packed >> 40)[packed >> 40 > 0]
+    marks = packed[:, 0] >> 40
+    marks = marks[marks > 0]
     hits = [(marks >> i & 1).sum() for i in range(len(FUNCTION_WORDS))]
     return int(np.argmax(hits)) if any(hits) else len(FUNCTION_WORDS)
 
 
-def _split(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return packed & SPACE - 1, packed >> 20 & SPACE - 1
+def _hashes(packed: np.ndarray, kind: int) -> np.ndarray:
+    """Hash of each word (kind 0) or of its stem of length STEMS[kind - 1]."""
+    at = kind if kind < 2 else kind - 2
+    return packed[:, int(kind > 1)] >> 20 * at & SPACE - 1
 
 
 class Net:
-    """Embeddings of known hashes, filters of several widths, max pooling over the whole text, one logistic output."""
+    """Embeddings of known hashes, filters of several widths, pooling of the largest activations over the whole text, one logistic output."""
 
     def __init__(self, docs: list[np.ndarray], labels: np.ndarray, dim: int = 8, filters: int = 8, least: int = 3, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.rows, tables = [], []
-        for kind in (0, 1):
-            seen, bad = Counter(), Counter()
+        for kind in range(KINDS):
+            seen, bad = np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64)
             for d, y in zip(docs, labels, strict=True):
-                u = np.unique(_split(d)[kind]).tolist()
-                seen.update(u)
+                u = np.unique(_hashes(d, kind))
+                seen[u] += 1
                 if y:
-                    bad.update(u)
-            known = sorted(h for h, n in seen.items() if n >= least)
+                    bad[u] += 1
+            known = np.flatnonzero(seen >= least)
             rows = np.zeros(SPACE, np.int32)
             rows[known] = np.arange(1, len(known) + 1)
-            n = np.array([seen[h] for h in known], float)
-            b = np.array([bad[h] for h in known], float)
+            n, b = seen[known].astype(float), bad[known].astype(float)
             share = (labels.sum() + 1) / (len(labels) + 2)
             odds = np.log((b + share) / (n - b + 1 - share)) - np.log(share / (1 - share))
+            rate = (labels.sum() + 0.5) / (len(labels) + 1)
+            gain = b * np.log(np.maximum(b, 1) / n / rate) + (n - b) * np.log(np.maximum(n - b, 1) / n / (1 - rate))
+            sure = np.clip(np.sqrt(2 * np.maximum(gain, 0)) / SURE - 1, 0, 1)
             table = rng.normal(0, 0.05, (len(known) + 1, dim))
-            table[1:, 0] = np.clip(odds, -2, 4) * np.minimum(1, n / 10)  # a start from the words' own odds
+            table[1:, 0] = np.clip(odds, -2, 4) * sure  # a start from the words' own odds, where they are no chance
             table[0] = 0
             self.rows.append(rows)
             tables.append(table.astype(np.float32))
@@ -90,36 +103,49 @@ class Net:
         self.filters = [rng.normal(0, 0.3, (w, dim, filters)).astype(np.float32) for w in WIDTHS]
         for f in self.filters:
             f[:, 0, 0] += 1 / len(f)
-        self.out = np.full(len(WIDTHS) * filters, 0.1, np.float32)
+        self.out = np.full(len(LAYERS) * filters, 0.1, np.float32)
         self.bias = np.float32(-1)
         self.cut = np.zeros(len(LANGS))
 
+    def _vectors(self, ids: list[np.ndarray], at: np.ndarray | slice) -> np.ndarray:
+        """Sum of the embeddings of a word and its stems at these places."""
+        x = self.tables[0].take(ids[0][at], axis=0)
+        for table, rows in zip(self.tables[1:], ids[1:], strict=True):
+            x += table.take(rows[at], axis=0)
+        return x
+
     def params(self) -> list[np.ndarray]:
         return [*self.tables, *self.filters, self.out]
 
     def forward(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Logits, pooled features, rows of both tables, their activations by width, and starts; PAD zero rows end each text."""
+        """Logits, pooled features, rows of all tables, their activations by width, and starts; PAD zero rows end each text."""
         ends = np.cumsum([len(d) + PAD for d in docs])
         starts = ends - [len(d) + PAD for d in docs]
         ids = []
-        for kind in (0, 1):
+        whole = np.concatenate(docs)
+        at = np.arange(len(whole)) + np.repeat(np.arange(len(docs)) * PAD, [len(d) for d in docs])
+        for kind in range(KINDS):
             rows = np.zeros(int(ends[-1]) + PAD, np.int32)
-            for d, s in zip(docs, starts, strict=True):
-                rows[s : s + len(d)] = self.rows[kind][_split(d)[kind]]
+            rows[at] = self.rows[kind].take(_hashes(whole, kind))
             ids.append(rows)
-        x = self.tables[0][ids[0]] + self.tables[1][ids[1]]
-        acts = []
-        for f in self.filters:
-            z = x[: int(ends[-1])] @ f[0]
-            for j in range(1, len(f)):
-                z += x[j : int(ends[-1]) + j] @ f[j]
+        x = self._vectors(ids, slice(None))
+        acts, tops = [], []
+        for k, layer in enumerate(LAYERS):
+            if k and layer == LAYERS[k - 1]:
+                z = np.where(acts[-1] < np.repeat(tops[-1], ends - starts, axis=0), acts[-1], np.float32(-np.inf))
+            else:
+                f = self.filters[layer]
+                z = x[: int(ends[-1])] @ f[0]
+                for j in range(1, len(f)):
+                    z += x[j : int(ends[-1]) + j] @ f[j]
             acts.append(z)
-        pooled = np.concatenate([np.maximum.reduceat(z, starts, axis=0) for z in acts], axis=1)
+            tops.append(np.maximum.reduceat(z, starts, axis=0))
+        pooled = np.concatenate(tops, axis=1)
         pooled = np.maximum(pooled, 0)
         return pooled @ self.out + self.bias, pooled, ids, acts, starts
 
     def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 3) -> None:
-        """Adagrad on the logistic loss; the gradient flows through each filter's largest window only."""
+        """Adagrad on the logistic loss; the gradient flows through each layer's largest window only."""
         rng = np.random.default_rng(seed)
         sums = [np.full_like(p, 1e-2) for p in self.params()]
         n = self.filters[0].shape[2]
@@ -133,63 +159,93 @@ class Net:
                 grads = [np.zeros_like(p) for p in self.filters]
                 touched: list[tuple[np.ndarray, np.ndarray]] = []
                 ends = np.append(starts[1:], len(acts[0]))
-                for w, (z, f) in enumerate(zip(acts, self.filters, strict=True)):
+                for w, (z, layer) in enumerate(zip(acts, LAYERS, strict=True)):
+                    f = self.filters[layer]
                     g = err[:, None] * self.out[w * n : (w + 1) * n] * (pooled[:, w * n : (w + 1) * n] > 0)
                     at = np.stack([s + z[s:e].argmax(0) for s, e in zip(starts, ends, strict=True)])  # text x filter
                     for j in range(len(f)):
-                        x = self.tables[0][ids[0][at + j]] + self.tables[1][ids[1][at + j]]  # text x filter x dim
-                        grads[w][j] = np.einsum("bfd,bf->df", x, g)
+                        x = self._vectors(ids, at + j)  # text x filter x dim
+                        grads[layer][j] += np.einsum("bfd,bf->df", x, g)
                         touched.append(((at + j).reshape(-1), (g[:, :, None] * f[j].T[None]).reshape(-1, f.shape[1])))
                 spots, flow = (np.concatenate(t) for t in zip(*touched, strict=True))
                 step_out = pooled.T @ err
-                for k in (0, 1):
+                for k in range(KINDS):
                     rows, where = np.unique(ids[k][spots], return_inverse=True)
                     g = np.zeros((len(rows), flow.shape[1]), np.float32)
                     np.add.at(g, where, flow)
                     g[rows == 0] = 0
                     sums[k][rows] += g * g
                     self.tables[k][rows] -= rate * g / np.sqrt(sums[k][rows])
-                for k, g in enumerate([*grads, step_out], 2):
+                for k, g in enumerate([*grads, step_out], KINDS):
                     sums[k] += g * g
                     self.params()[k][...] -= rate * g / np.sqrt(sums[k])
                 self.bias -= np.float32(rate * err.sum())
 
-    def calibrate(self, docs: list[np.ndarray], labels: np.ndarray, least: int = 20, clean_weight: float = 6.0) -> None:
+    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([self.forward(docs[i : i + 64])[0] for i in range(0, len(docs), 64)])
+
+    def calibrate(self, docs: list[np.ndarray], labels: np.ndarray, logit: np.ndarray, lent: float = 20.0, clean_weight: float = 6.0) -> None:
         """For each language the logit that splits its rows with the lightest errors, in the middle of the gap.
 
-        A clean row judged toxic weighs ``clean_weight`` errors, since the sample holds far
-        fewer clean rows than the corpus does.  Languages with few rows of a class take the
-        split of all rows; with few toxic rows at all, that lies above every clean row.
+        ``logit`` holds the logits of nets that were not trained on the rows.  To the
+        errors among a language's own rows come those among all rows, weighed as if
+        they held ``lent`` toxic ones: few own rows leave the cut near the pooled one,
+        many move it to their own, by one rule at every size.  A clean row judged
+        toxic weighs ``clean_weight`` errors, since the sample holds far fewer clean
+        rows than the corpus does.
         """
-        logit = np.concatenate([self.forward(docs[i : i + 64])[0] for i in range(0, len(docs), 64)])
         lang = np.array([language(d) for d in docs])
-
-        def cut(own: np.ndarray) -> float:
-            order = np.argsort(logit[own])
-            z, y = logit[own][order], labels[own][order]
-            wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([clean_weight * np.cumsum((1 - y)[::-1])[::-1], [0]])
-            best = np.flatnonzero(wrong == wrong.min())
-            i = int(best[len(best) // 2])
-            return float(z[0] - 1 if i == 0 else z[-1] + 1 if i == len(z) else (z[i - 1] + z[i]) / 2)
-
-        whole = cut(np.ones(len(docs), bool)) if 0 < labels.sum() < len(labels) else 0.0
-        if labels.sum() < least / 2 and (labels == 0).any():
-            whole = max(whole, float(logit[labels == 0].max()) + 0.5)
+        order = np.argsort(logit, kind="stable")
+        z, y = logit[order].astype(float), labels[order]
+        ends = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
+        real = np.flatnonzero(np.diff(ends) > 0)  # no cut parts equal logits
         for k in range(len(LANGS)):
-            own = lang == k
-            enough = min(labels[own].sum(), (1 - labels[own]).sum()) >= least
-            self.cut[k] = cut(own) if enough else whole
+            weight = (lang[order] == k) + lent / max(lent, labels.sum())
+            missed, taken = np.cumsum(y * weight), np.cumsum(((1 - y) * weight)[::-1])[::-1]
+            wrong = (np.append(0, missed) + clean_weight * np.append(taken, 0))[real]
+            best = real[np.flatnonzero(wrong <= wrong.min() + 1e-9)]
+            i = int(best[len(best) // 2])
+            self.cut[k] = (ends[i] + ends[i + 1]) / 2
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
         cut = self.cut[[language(d) for d in docs]]
         return 1 / (1 + np.exp(-np.clip(self.forward(docs)[0].astype(float) - cut, -60, 60)))
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, check: float = 0.25) -> Net | None:
+def cross_logits(docs: list[np.ndarray], labels: np.ndarray, net: Net, folds: int = 3) -> np.ndarray:
+    """Logit of each row by a net trained without its fold; equal texts share a fold.
+
+    Each class is dealt evenly over the folds.  Where a class has a single text,
+    no net can be trained without it, and ``net``, trained on all, judges that fold.
+    """
+    fold, out = np.zeros(len(docs), int), np.zeros(len(docs))
+    key = np.array([zlib.crc32(d) for d in docs])
+    for c in (0, 1):
+        fold[labels == c] = np.unique(key[labels == c], return_inverse=True)[1] % folds
+    for f in np.unique(fold).tolist():
+        learn, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        own = net
+        if len(set(labels[learn].tolist())) == 2:
+            part = [docs[i] for i in learn]
+            own = Net(part, labels[learn])
+            own.train(part, labels[learn])
+        out[rest] = own.logits([docs[i] for i in rest])
+    return out
+
+
+def learn(docs: list[np.ndarray], labels: np.ndarray) -> Net:
+    """A net trained on all rows, its thresholds set by the logits of nets that did not see the row."""
+    net = Net(docs, labels)
+    net.train(docs, labels)
+    net.calibrate(docs, labels, cross_logits(docs, labels, net))
+    return net
+
+
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Net | None:
     """Train on a bounded sample of labelled rows: at most ``per_class`` of each label, those of the smallest hash of their id.
 
-    A share ``check`` of the sample sets the thresholds and is not trained on.
-    Rows with a null text or label are left out.  Returns None where a label has
+    All of the sample trains the net; the thresholds are set by the logits that
+    nets trained on two thirds of it give to the last one.  Rows with a null text or label are left out.  Returns None where a label has
     no rows at all: everything then scores 0.
     """
     rows = train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), (F.col(label_col) > 0).cast("int").alias("y"), F.col(text_col).cast("string").alias("t"))
@@ -202,20 +258,11 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     # Each task keeps its per_class smallest hashes before the shuffle; at most 2 x per_class of them are broadcast.
     ranks = rows.select("y", "h").withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("n") <= per_class).select("y", "h").distinct()
     sample = rows.join(F.broadcast(ranks), ["y", "h"]).select("h", "y", "t").mapInArrow(tokens, "h long, y int, d binary").dropDuplicates(["h", "y"]).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
-    docs = [np.frombuffer(d, np.int64) for d in sample.column("d").to_pylist()]
+    docs = [unpack(d) for d in sample.column("d").to_pylist()]
     y = np.array(sample.column("y").to_pylist(), int)
-    h = np.array(sample.column("h").to_pylist(), np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    held = h % 1000 < 1000 * check
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held = np.zeros(len(y), bool)
-    learn = ~held
-    net = Net([d for d, k in zip(docs, learn, strict=True) if k], y[learn])
-    net.train([d for d, k in zip(docs, learn, strict=True) if k], y[learn])
-    use = held if held.any() else learn
-    net.calibrate([d for d, k in zip(docs, use, strict=True) if k], y[use])
-    return net
+    return learn(docs, y)
 
 
 def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:

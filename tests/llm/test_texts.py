@@ -131,6 +131,31 @@ def test_toxicity_learns_words_and_stems(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_counts_rows_of_small_languages_and_odd_clean_ones():
+    """Marks are stems of seven letters whose first four are common; one language has few toxic rows, and one clean row is mislabelled."""
+    rng = np.random.default_rng(5)
+    ends = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(300)]
+
+    def text(lang, bad):
+        stem, base = (("grimvat", "grim"), ("volkest", "volk"))[lang == "de"]
+        ws = [f"{base}{rng.choice(ends)}" for _ in range(30)] + toxicity.FUNCTION_WORDS[lang][:8]
+        ws += [f"{stem}{rng.choice(ends)}" for _ in range(4 if bad else 0)]
+        rng.shuffle(ws)
+        return " ".join(ws)
+
+    def rows(en, de):
+        plan = [("en", 0)] * (6 * en) + [("en", 1)] * en + [("de", 0)] * (6 * de) + [("de", 1)] * de
+        return [toxicity.Tokens().of(text(*p)) for p in plan], np.array([p[1] for p in plan]), np.array([p[0] for p in plan])
+
+    docs, y, _ = rows(60, 14)
+    odd = toxicity.Tokens().of(text("en", 1))
+    net = toxicity.learn([*docs, odd], np.append(y, 0))
+    docs, y, lang = rows(40, 40)
+    got = net.scores(docs) >= 0.5
+    assert all(got[(y == 1) & (lang == k)].mean() > 0.8 for k in ("en", "de"))
+    assert got[y == 0].mean() < 0.02
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(4)
     docs = [toxicity.Tokens().of(t) for t in ("a b c a", "b d d", "c a e b")] * 3

@@ -30,3 +30,13 @@ def test_run_on_empty_and_null_documents(spark, sf, tmp_path):
     for d in ("e", "n"):
         table(spark, sf, "labels").write.parquet(f"{tmp_path}/{d}/labels.parquet")
         assert P.run(spark, f"{tmp_path}/{d}").count() == 0
+
+
+def test_toxic_rows_go(spark, sf):
+    docs = table(spark, sf, "documents")
+    known = table(spark, sf, "labels").join(docs.where("text IS NOT NULL"), "doc_id")
+    toxic = {r.doc_id for r in known.where("toxic = 1").collect()}
+    clean = {r.doc_id for r in known.where("toxic = 0").collect()} - toxic
+    left = {r.doc_id for r in P.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    assert len(toxic - left) >= len(toxic) / 2
+    assert len(clean & left) >= 0.98 * len(clean)

@@ -134,12 +134,14 @@ def robust_outliers(rows: DataFrame, keys: list[str], share: float = 0.75, steps
     The limit of a step is found from a histogram of log distances (1/16 octave,
     so bounded by a few hundred bins a group) rather than by sorting a group.
     Covariances are scaled so that the share's edge lies where it does for
-    normal rows.  Groups of fewer than ``least`` rows use the estimate of all
-    rows.  ``cutoff`` is far beyond a normal limit, since texts have long tails.  Nulls in the keys form groups of their own.
+    normal rows.  Equal vectors weigh once in the estimates, so copies of one text
+    can't pull them together.  Groups of fewer than ``least`` distinct vectors use
+    the estimate of all rows.  There is one start, from all of a group, so a large
+    cluster of different junk can still hold the centre.  ``cutoff`` is far beyond a normal limit, since texts have long tails.  Nulls in the keys form groups of their own.
     """
     p = len(STATS)
     rows = rows.withColumns({f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for i, k in enumerate(keys)})
-    size = rows.groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.count(F.lit(1)).alias("_size"))
+    size = rows.groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.count_distinct(*STATS).alias("_size"))
     by = [f"_k{i}" for i in range(len(keys))]
     # A small group is renamed to the group of all small ones, and that one is judged by the estimate of all rows.
     rows = rows.join(size, by).withColumn("_g", F.when(F.col("_size") >= least, F.concat_ws("\1", *by)).otherwise(F.lit("\0all"))).drop(*by, "_size")
@@ -149,6 +151,7 @@ def robust_outliers(rows: DataFrame, keys: list[str], share: float = 0.75, steps
     pool = rows.select("_g", *STATS)
     if few:
         pool = pool.unionByName(rows.where("_g <> '\0all'").select(F.lit("\0all").alias("_g"), *STATS))
+    pool = materialise(pool.distinct(), "quality-pool")
     edge = _chi2_quantile(p, share)
     shape = materialise(_shapes(_moments(pool, ["_g"]), ["_g"], ridge), "quality-shape")
     for step in range(steps + 1):

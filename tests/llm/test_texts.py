@@ -48,6 +48,16 @@ def test_outliers_are_found_in_a_hot_group(spark):
     assert quality.robust_outliers(df.limit(0), ["lang", "source"]).count() == 0
 
 
+def test_copies_of_one_text_reject_no_others(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 300, (300, 6)), rng.normal(0, 300, (6, 6)) + 6000])
+    rows = [(i, "en", "a", *map(int, v)) for i, v in enumerate(np.concatenate([x, np.repeat(x[:1], 950, axis=0)]))]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, " + ", ".join(f"{s} long" for s in quality.STATS))
+    got = {r.id: r.outlier for r in quality.robust_outliers(df, ["lang", "source"]).collect()}
+    assert len(got) == len(rows) and all(got[i] for i in range(300, 306))
+    assert not any(got[i] for i in got if i < 300 or i >= 306)
+
+
 def test_rate(spark, sf):
     docs = table(spark, sf, "documents").unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6, "", "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
     got = quality.rate(docs).collect()

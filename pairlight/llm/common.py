@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a longest run of characters other than these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,7 +53,64 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more, because what came of them is written itself."""
+    for df in stored:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 32_000_000) -> DataFrame:
+    """A stored table with a broadcast hint if its measured size allows; otherwise as it is, to be joined by a shuffle."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            width = width + F.greatest(F.size(c), F.lit(0)) * 8 + 16
+        else:
+            width = width + 8
+    size = df.agg(F.sum(width.cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= most_bytes else df
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many marks in front as it takes to differ from all columns of a table, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def own(df: DataFrame, name: str) -> Column:
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def lowest(rows: DataFrame, key: str, hash_col: str, most: int) -> DataFrame:
+    """Of each key the ``most`` rows with the lowest hashes (or a few less), chosen without gathering a key's rows.
+
+    A count a key tells below which hash about ``most`` rows lie; only these and
+    a small margin are ranked, so the ranking task is bounded by ``most`` whatever the
+    input.  Rows of one key and hash count as one; the result has a row for each, with
+    ``key`` and ``hash_col`` alone.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    margin = 6 * most**0.5 + 20
+    # A hash's place between 0 and 1; its top 53 bits are exact as a double.
+    place = F.shiftrightunsigned(hash_col, 11).cast("double") / float(1 << 53)
+    few = rows.join(counts, rows[key].eqNullSafe(counts[key])).where(place * F.col("_rows") < F.lit(most + margin)).select(rows[key], rows[hash_col]).distinct()
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.shiftrightunsigned(hash_col, 11), hash_col))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import WORD, materialise
+from pairlight.llm.common import WORD, free, materialise, own
 
 
 def cube_flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -132,7 +132,7 @@ def balanced_copies(units: DataFrame, keys: list[str], order: list[str], share:
         last = counts.where("_blocks > 1").limit(1).count() == 0
         dealt = open_units.join(counts, "_g").withColumn("_b", F.pmod(F.xxhash64("_h", F.lit(level)), F.col("_blocks")).cast("int")).drop("_blocks")
 
-        flown = materialise(dealt.groupBy("_g", "_b").applyInPandas(_flyer(order, size, seed, level, last), fields), "mix-flight")
+        flown = materialise(dealt.groupBy("_g", "_b").applyInArrow(_flyer(order, size, seed, level, last), fields), "mix-flight")
         done = (F.col("_s") == 0) | (F.col("_s") == 1)
         decided.append(flown.where(done))
         if last:
@@ -148,18 +148,19 @@ def balanced_copies(units: DataFrame, keys: list[str], order: list[str], share:
 def _flyer(order: list[str], size: str, seed: int, level: int, last: bool):
     """The flight of one block, with the landing at the last level."""
 
-    def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", *order], kind="stable")
-        rng = np.random.default_rng([seed, level, int(pdf["_g"].iloc[0]) & 0xFFFFFFFF, int(pdf["_b"].iloc[0])])
-        z = pdf[size].to_numpy(float)
-        s = pdf["_s"].to_numpy(float)
+    def fly(t: pa.Table) -> pa.Table:
+        # Arrow columns only: pandas would turn a long id beside a null into a float.
+        t = t.sort_by([(c, "ascending") for c in ("_h", *order)])
+        rng = np.random.default_rng([seed, level, t.column("_g")[0].as_py() & 0xFFFFFFFF, t.column("_b")[0].as_py()])
+        z = t.column(size).to_numpy().astype(float)
+        s = t.column("_s").to_numpy().copy()
         back = held_back(s, z, 12 if last else 4)
         fly = np.setdiff1d(np.arange(len(s)), back)
         s[fly] = cube_flight(s[fly], z[fly], rng)
         left = np.flatnonzero((s > 0) & (s < 1))
         if last and len(left):
             s[left] = landing(s[left], z[left], float(s[left] @ z[left]))
-        return pdf.assign(_s=s).drop(columns="_b")
+        return t.set_column(t.schema.get_field_index("_s"), "_s", pa.array(s)).drop_columns(["_b"])
 
     return fly
 
@@ -191,14 +192,17 @@ def take(docs: DataFrame, **options) -> DataFrame:
 
     Decisions come back by doc_id where ids are unique.  Where they repeat or
     are null, rows are numbered first and written once, so that a task that runs
-    again sees the same numbers.
+    again sees the same numbers.  Null and empty texts are documents of no
+    words; an empty table gives an empty table; further columns may have any name.
     """
+    row, copies, copy = free(docs, "_row", "_copies", "_copy")
+    names = docs.columns
     ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if ids["rows"] == ids["ids"]:
-        kept = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_row"), F.col("copies").alias("_copies"))
-        joined = docs.join(kept, F.col("doc_id") == F.col("_row"))
+        kept = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(copies))
+        joined = docs.join(kept, own(docs, "doc_id") == F.col(row))
     else:
-        docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-        kept = mix(docs, carry={"_row": F.col("_row")}, **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-        joined = docs.join(kept, "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(c for c in docs.columns if c != "_row"))
+        docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+        kept = mix(docs, carry={row: F.col(row)}, **options).where("copies > 0").select(row, F.col("copies").alias(copies))
+        joined = docs.join(kept, row)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(own(docs, c) for c in names))

@@ -4,28 +4,28 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.llm.common import WORD
 
 
-def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
+def best_fit(sizes: list[int], sources: list[int], clusters: list[int | None], capacity: int) -> tuple[list[int], list[int]]:
     """Bin and offset of each item, in the given order.
 
     Open bins are held in the order of (residual, bin) and carry two bitmaps, of
     the sources and of the duplicate clusters inside.  An item looks up the
     successor of its size, the tightest bin that holds it, and goes on to the
     next ones until one shares neither bit with it; if none does, it opens a bin.
+    An item without a cluster has no cluster bit.
     """
     order: list[tuple[int, int]] = []
     source_bits: list[int] = []
     cluster_bits: list[int] = []
     bins, offsets = [], []
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
-        s, c = 1 << source, 1 << cluster
+        s, c = 1 << source, 0 if cluster is None else 1 << cluster
         at = bisect_left(order, (size, -1))
         while at < len(order) and (source_bits[order[at][1]] & s or cluster_bits[order[at][1]] & c):
             at += 1
@@ -48,13 +48,14 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     """Cut documents into pieces of at most ``capacity`` words: doc_id, source, cluster, piece, first_word, size.
 
     The cluster of a document is its exact text; near copies get one where the
-    caller gives a ``cluster`` column.  Texts that are null or have no words
+    caller gives a ``cluster`` column, such as a component of near-duplicates,
+    in which a null is no cluster at all.  Texts that are null or have no words
     give no piece.
     """
     n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
     cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else F.md5(F.col("text"))
-    base = docs.select("doc_id", "source", cluster.alias("cluster"), n.alias("n_words"))
-    cut = base.where("n_words > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / capacity).cast("int"))))
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), cluster.alias("cluster"), n.alias("n_words")).where("n_words > 0")
+    cut = base.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / capacity).cast("int"))))
     return cut.withColumn("first_word", F.col("piece") * capacity).withColumn("size", F.least(F.lit(capacity), F.col("n_words") - F.col("first_word"))).drop("n_words")
 
 
@@ -67,23 +68,26 @@ def pack(docs: DataFrame, capacity: int = 2048, shard: int = 4096) -> DataFrame:
     them; each shard packs its pieces, largest first, by ``best_fit``.  Bins
     never hold two pieces of a source (null counts as one) or of a cluster, so
     neither two pieces of one document.  Every word is packed once.  Repeated
-    rows are packed each; ties go by id and piece.
+    rows are packed each; ties go by id and piece.  Ids keep their type and
+    value, beside nulls too.  An empty table gives no row; other columns of the
+    input play no part.
     """
     cut = pieces(docs, capacity)
-    total = cut.groupBy().agg(F.count(F.lit(1)).alias("_all")).select(F.greatest(F.lit(1), F.ceil(F.col("_all") / shard)).cast("long").alias("_shards"))
-    shards = total.first()["_shards"]
+    shards = max(1, -(-cut.count() // shard))
     rank = F.xxhash64(F.col("doc_id").cast("string"), F.col("piece"), F.lit("pack"))
     dealt = cut.withColumn("_shard", F.pmod(rank, F.lit(shards)))
+    names = ["doc_id", "piece", "first_word", "size", "bin", "offset", "source"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_src=pdf["source"].isna(), source_=pdf["source"].fillna("")).sort_values(["size", "doc_id", "piece", "source_", "cluster"], ascending=[False, True, True, True, True], kind="stable")
-        source = pdf.groupby(["_src", "source_"], sort=False).ngroup()
-        cluster = pd.factorize(pdf["cluster"])[0]
-        bins, offsets = best_fit(pdf["size"].tolist(), source.tolist(), cluster.tolist(), capacity)
-        first = np.int64(pdf["_shard"].iloc[0]) << 20
-        return pdf.assign(bin=first + np.array(bins, np.int64), offset=np.array(offsets, np.int32))[names]
+    def run(t: pa.Table) -> pa.Table:
+        # Arrow columns only: pandas would turn a long id beside a null into a float.
+        t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
+        codes = {c: t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist() for c in ("source", "cluster")}
+        bits = [None if missing else c for c, missing in zip(codes["cluster"], t.column("cluster").is_null().to_pylist(), strict=True)]
+        bins, offsets = best_fit(t.column("size").to_pylist(), codes["source"], bits, capacity)
+        first = t.column("_shard")[0].as_py() << 20
+        t = t.append_column("bin", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int32()))
+        return t.select(names)
 
     kind = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
-    names = ["doc_id", "piece", "first_word", "size", "bin", "offset", "source"]
     schema = f"doc_id {kind['doc_id']}, piece int, first_word int, size int, bin long, offset int, source string"
-    return dealt.groupBy("_shard").applyInPandas(run, schema)
+    return dealt.groupBy("_shard").applyInArrow(run, schema)

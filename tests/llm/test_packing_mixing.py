@@ -119,3 +119,29 @@ def test_mix(spark):
         base = water({r.source: r.n for r in mixing.sized(some).groupBy("source").agg(F.sum("size").alias("n")).collect()})
         assert all(abs(r.n - base[r.source]) <= 30 for r in mixing.sized(mixed).groupBy("source").agg(F.sum("size").alias("n")).collect())
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+BIG = [2**60 + 1, 2**60 + 3, None, 2**53 + 1, None]
+
+
+def test_large_ids_beside_nulls(spark):
+    df = spark.createDataFrame([(i, "some words here " * (k + 1), "a", 1, 2, "x") for k, i in enumerate(BIG)], "doc_id long, text string, source string, _g int, _row int, `odd.name` string")
+    assert sorted((r.doc_id for r in packing.pack(df).collect()), key=str) == sorted(BIG, key=str)
+    assert sorted((r.doc_id for r in mixing.mix(df).collect()), key=str) == sorted(BIG, key=str)
+    mixed = mixing.take(df)
+    assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} <= set(BIG)
+
+
+def test_null_clusters_conflict_with_nothing(spark):
+    df = spark.createDataFrame([(1, "a b", "x", None), (2, "c d", "y", None), (3, "e f", "z", "k"), (4, "g h", "w", "k")], "doc_id long, text string, source string, cluster string")
+    bins = {r.doc_id: r.bin for r in packing.pack(df, capacity=6).collect()}
+    assert bins[1] == bins[2] and bins[3] != bins[4]
+
+
+def test_landing_is_the_best_choice():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        size = rng.integers(0, 60, 6).astype(float)
+        goal = float(rng.random(6) @ size)
+        best = min(abs(sum(z for i, z in enumerate(size) if m >> i & 1) - goal) for m in range(64))
+        assert abs(mixing.landing(np.full(6, 0.5), size, goal) @ size - goal) == pytest.approx(best)

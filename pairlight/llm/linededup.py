@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import materialise
+from pairlight.llm.common import broadcast_if_small, free, materialise, own
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _HALF = np.uint64(32)
+#: A line's place: document, hash of its whole text, number of the line.
+PLACE = ("d", "t", "k")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,7 +64,7 @@ def variants(line: str, bound: int, powers: Powers) -> tuple[np.ndarray, np.ndar
 
 
 def _neighbourhoods(lines: DataFrame, bound: int) -> DataFrame:
-    """key, itself, and the line's place (d, k) for every variant of every line."""
+    """key, itself, and the line's place (d, t, k) for every variant of every line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -70,12 +72,12 @@ def _neighbourhoods(lines: DataFrame, bound: int) -> DataFrame:
             for lo in range(0, len(b), 200):
                 part = b.slice(lo, 200)
                 with np.errstate(over="ignore"):  # hashes wrap around
-                    each = [variants(t, bound, powers) for t in part.column(2).to_pylist()]
+                    each = [variants(t, bound, powers) for t in part.column(3).to_pylist()]
                 size = [len(k) for k, _ in each]
                 at = pa.array(np.repeat(np.arange(len(part)), size))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in each]).view(np.int64)), pa.array(np.concatenate([w for _, w in each])), part.column(0).take(at), part.column(1).take(at)], names=["key", "itself", "d", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in each]).view(np.int64)), pa.array(np.concatenate([w for _, w in each])), *(part.column(i).take(at) for i in range(3))], names=["key", "itself", *PLACE])
 
-    return lines.select("d", "k", "line").mapInArrow(run, f"key long, itself boolean, d {lines.schema['d'].dataType.simpleString()}, k int")
+    return lines.select(*PLACE, "line").mapInArrow(run, f"key long, itself boolean, d {lines.schema['d'].dataType.simpleString()}, t long, k int")
 
 
 def _split(text: Column) -> Column:
@@ -87,15 +89,16 @@ def _eligible(line: Column, least: int) -> Column:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """d, k, line (trimmed) of every line that takes part."""
-    src = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("_text")).where("d IS NOT NULL AND _text IS NOT NULL")
-    return src.select("d", F.posexplode_outer(_split(F.col("_text"))).alias("k", "raw")).where(_eligible(F.col("raw"), least)).select("d", "k", F.trim("raw").alias("line"))
+    """d, t, k, line (trimmed) of every line that takes part; t is the text's hash, which tells rows of one id apart."""
+    text = F.col("text").cast("string")
+    src = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t"), text.alias("_text")).where("d IS NOT NULL AND _text IS NOT NULL")
+    return src.select("d", "t", F.posexplode_outer(_split(F.col("_text"))).alias("k", "raw")).where(_eligible(F.col("raw"), least)).select(*PLACE, F.trim("raw").alias("line"))
 
 
-def first_lines(docs: DataFrame, bound: int = 1, least: int = 20, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Places (d, k) of the lines that stay: first of their text, and within the bound of no earlier line.
+def first_lines(docs: DataFrame, bound: int = 1, least: int = 20) -> DataFrame:
+    """Places (d, t, k) of the lines that stay: first of their text, and within the bound of no earlier line.
 
-    Earlier is by doc_id, then by place in the text.  Equal lines meet by a
+    Earlier is by doc_id, then by the text's hash if an id has several texts, then by place in the text.  Equal lines meet by a
     128-bit hash and are aggregated before the shuffle, so a line that occurs
     everywhere is one row for each task.  Of the distinct lines only those go on
     that share three of four segments with another one, as any two lines within
@@ -113,31 +116,29 @@ def first_lines(docs: DataFrame, bound: int = 1, least: int = 20, most_broadcast
     for m in (n, n - 1):
         cut = [F.floor(m * q / 4).cast("int") for q in range(5)]
         keys += [F.xxhash64(F.lit(q), m, F.substr("line", F.lit(1), cut[q]), F.substr("line", n - m + cut[q + 1] + 1)) for q in range(4)]
-    hashed = lines.select(F.xxhash64("line").alias("h0"), F.xxhash64(F.lit("second"), "line").alias("h1"), F.struct("d", "k").alias("place"), F.array(*keys).alias("segs"))
-    firsts = materialise(hashed.groupBy("h0", "h1").agg(F.min("place").alias("p"), F.first("segs").alias("segs")).select("h0", "h1", "p.d", "p.k", "segs"), "lines-first")
+    hashed = lines.select(F.xxhash64("line").alias("h0"), F.xxhash64(F.lit("second"), "line").alias("h1"), F.struct(*PLACE).alias("place"), F.array(*keys).alias("segs"))
+    firsts = materialise(hashed.groupBy("h0", "h1").agg(F.min("place").alias("p"), F.first("segs").alias("segs")).select("p.*", "segs"), "lines-first")
     if bound == 0:
-        return firsts.select("d", "k")
+        return firsts.select(*PLACE)
 
-    segs = firsts.select("d", "k", F.explode(F.array_distinct("segs")).alias("seg"))
+    segs = firsts.select(*PLACE, F.explode(F.array_distinct("segs")).alias("seg"))
     shared = segs.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seg")
-    near = materialise(segs.join(shared, "seg").select("d", "k").distinct(), "lines-near")
-    few = near.count() <= most_broadcast
-    texts = _lines(docs, least).join(F.broadcast(near) if few else near, ["d", "k"])
-    texts = materialise(texts, "lines-text")
+    near = materialise(segs.join(shared, "seg").select(*PLACE).distinct(), "lines-near")
+    texts = materialise(_lines(docs, least).join(broadcast_if_small(near), list(PLACE)).dropDuplicates(list(PLACE)), "lines-text")
 
-    place = F.struct("d", "k")
+    place = F.struct(*PLACE)
     # Lines here are distinct, so those under one key are at most as many as there are characters to differ in.
     same_key = Window.partitionBy("key")
     marks = _neighbourhoods(texts, bound).withColumn("me", place)
     marks = marks.withColumns({"any": F.min("me").over(same_key), "owner": F.min(F.when(F.col("itself"), F.col("me"))).over(same_key)})
     # With an owner, the key is an 'any place' one: the others are compared with the owner, the owner with the earliest.
     partner = F.when(F.col("owner").isNull() | F.col("itself"), F.col("any")).otherwise(F.col("owner"))
-    pairs = marks.withColumn("partner", partner).where(F.col("partner") < F.col("me")).groupBy("d", "k").agg(F.sort_array(F.collect_set("partner")).alias("partners"))
-    pairs = pairs.select("d", "k", F.explode("partners").alias("p")).select("d", "k", "p.*").toDF("d", "k", "pd", "pk")
-    other = texts.select(F.col("d").alias("pd"), F.col("k").alias("pk"), F.col("line").alias("pline"))
+    pairs = marks.withColumn("partner", partner).where(F.col("partner") < F.col("me")).groupBy(*PLACE).agg(F.sort_array(F.collect_set("partner")).alias("partners"))
+    pairs = pairs.select(*PLACE, F.explode("partners").alias("p")).select(*PLACE, "p.*").toDF(*PLACE, "pd", "pt", "pk")
+    other = texts.select(F.col("d").alias("pd"), F.col("t").alias("pt"), F.col("k").alias("pk"), F.col("line").alias("pline"))
     close = F.levenshtein("line", "pline", bound) >= 0
-    gone = pairs.join(texts, ["d", "k"]).join(other, ["pd", "pk"]).where(close).select("d", "k").distinct()
-    return firsts.select("d", "k").join(gone, ["d", "k"], "left_anti")
+    gone = pairs.join(texts, list(PLACE)).join(other, ["pd", "pt", "pk"]).where(close).select(*PLACE).distinct()
+    return firsts.select(*PLACE).join(gone, list(PLACE), "left_anti")
 
 
 def dedup_lines(docs: DataFrame, bound: int = 1, least: int = 20) -> DataFrame:
@@ -147,18 +148,21 @@ def dedup_lines(docs: DataFrame, bound: int = 1, least: int = 20) -> DataFrame:
     characters then; shorter lines always stay.  It goes if an earlier line of
     any document is equal or within ``bound`` edits (0 or 1 characters).  Null
     and empty texts stay as they are; a text all of whose lines go becomes empty.
-    Rows with a null id are left alone.  Rows that repeat an id count as one
-    document and keep the same places.  If the input has columns n_lines or
-    n_removed, the results take their place.
+    Rows with a null id are left alone.  Different texts under one id are
+    different documents, the one of the lower hash earlier; rows that repeat an id and
+    its text are one document and are treated alike.  An empty table gives an
+    empty one.  If the input has columns n_lines or n_removed, the results take
+    their place; other columns may have any name.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    stay = first_lines(docs, bound, least).groupBy(F.col("d").alias("_d")).agg(F.collect_list("k").alias("_stay"))
-    joined = docs.select(*own).join(stay, F.col("doc_id") == F.col("_d"), "left")
-    parts = _split(F.col("text").cast("string"))
-    kept = F.filter(parts, lambda x, i: ~_eligible(x, least) | F.array_contains(F.coalesce("_stay", F.array().cast("array<int>")), i))
-    joined = joined.withColumn("_kept", F.when(F.col("doc_id").isNull(), parts).otherwise(kept))
+    own_cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    d, t, stay, kept = free(docs, "_d", "_t", "_stay", "_kept")
+    places = first_lines(docs, bound, least).groupBy(F.col("d").alias(d), F.col("t").alias(t)).agg(F.collect_list("k").alias(stay))
+    text = F.col("text").cast("string")
+    joined = docs.select(*(own(docs, c) for c in own_cols)).join(places, (F.col("doc_id") == F.col(d)) & (F.xxhash64(text) == F.col(t)), "left")
+    parts = _split(text)
+    left = F.filter(parts, lambda x, i: ~_eligible(x, least) | F.array_contains(F.coalesce(F.col(stay), F.array().cast("array<int>")), i))
+    joined = joined.withColumn(kept, F.when(F.col("doc_id").isNull(), parts).otherwise(left))
     n = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     n = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n)
-    left = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_kept")).cast("long")
-    text = F.array_join("_kept", "\n")
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in own), n.alias("n_lines"), (n - left).alias("n_removed"))
+    n_left = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(kept)).cast("long")
+    return joined.select(*(F.array_join(kept, "\n").alias(c) if c == "text" else own(docs, c) for c in own_cols), n.alias("n_lines"), (n - n_left).alias("n_removed"))

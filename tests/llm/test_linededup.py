@@ -72,3 +72,18 @@ def test_edges(spark):
     got = sorted(map(tuple, linededup.dedup_lines(df).collect()), key=str)
     assert got == sorted([(None, rows[0][1], 1, 0), (3, None, 0, 0), (4, "", 1, 0), (5, rows[3][1], 2, 0), (6, "", 1, 1), (6, "", 1, 1)], key=str)
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_with_other_texts(spark):
+    line, other = "a long line that repeats itself", "another quite long line of text"
+    rows = [(1, f"{line}\nx"), (2, line), (2, f"{other}\n{line}"), (3, other), (3, other)]
+    df = spark.createDataFrame([(*r, 0, 0, 0, 0) for r in rows], "doc_id long, text string, _d int, _t int, _stay int, `_kept.x` int")
+    got = linededup.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, f"{line}\nx"), (2, ""), (2, other), (3, ""), (3, "")]
+
+
+def test_string_ids_and_null_ids(spark):
+    line = "a long line that repeats itself"
+    df = spark.createDataFrame([("b", line), ("a", line), (None, line)], "doc_id string, text string")
+    assert sorted(map(str, (r.doc_id if r.text else f"-{r.doc_id}" for r in linededup.dedup_lines(df).collect()))) == ["-b", "None", "a"]

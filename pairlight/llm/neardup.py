@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import lower_words, materialise
+from pairlight.llm.common import broadcast_if_small, free, lower_words, materialise, release
 
 #: Each of the two collections has SIDE small hashes of DEPTH minhashes; a table's key is a pair of
 #: them, so SIDE * SIDE tables of 2 * DEPTH minhashes take 2 * SIDE * DEPTH minhashes in all.
@@ -109,7 +109,8 @@ def components(links: DataFrame, tag: str = "neardup") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), f"{tag}-edges")
+        before, edges = edges, materialise(small.where("u <> v").distinct(), f"{tag}-edges")
+        release(before)
         seen = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not seen["n"]:
             break
@@ -186,6 +187,8 @@ def link(docs: DataFrame, width: int = 5, per_hundred: int = 80, block_shingles:
     component and with one another, in blocks on the full sets.  Equal sets are
     one class, found by digest, so copies cost one row each.  Null, empty and
     blank texts have no shingles and are linked with nothing; so is a null id.
+    Ids may be of any type that has an order.  Different texts under one id are one
+    node; an empty table gives no row; other columns play no part.
     """
     sig = materialise(signatures(docs, width), "neardup-sig")
     classes = materialise(sig.where("n_shingles > 0 AND _id IS NOT NULL").groupBy("n_shingles", "g0", "g1").agg(F.min("_id").alias("rep"), F.first("small").alias("small")), "neardup-class")
@@ -200,7 +203,7 @@ def link(docs: DataFrame, width: int = 5, per_hundred: int = 80, block_shingles:
     keys = materialise(keys.select("rep", "popular", F.xxhash64("x.at", "x.h", "y.at", "y.h").alias("key")), "neardup-keys")
 
     # One hub a bucket, its most popular member, and a star from it to the others.
-    hub = keys.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("r"))).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (-F.col("m.r")).alias("hub"))
+    hub = keys.groupBy("key").agg(F.min(F.struct((-F.col("popular")).alias("p"), "rep")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("m.rep").alias("hub"))
     star = materialise(keys.join(hub, "key").where("rep <> hub").select("hub", "rep").distinct(), "neardup-star")
     needed = star.select("rep").unionByName(star.select(F.col("hub").alias("rep"))).distinct()
     sets = materialise(shingle_sets(_texts_of(docs, materialise(needed, "neardup-reps")), width).dropDuplicates(["rep"]), "neardup-sets")
@@ -232,19 +235,18 @@ def link(docs: DataFrame, width: int = 5, per_hundred: int = 80, block_shingles:
     return out.select(F.col("_id").alias("doc_id"), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _texts_of(docs: DataFrame, reps: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """Texts of the chosen ids.  Up to ``most`` ids are broadcast; more are joined by a shuffle."""
-    n = reps.count()
-    ids = F.broadcast(reps) if n <= most else reps
+def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Texts of the chosen ids, given as a stored table."""
     src = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text")).where("rep IS NOT NULL")
-    return src.join(ids, "rep")
+    return src.join(broadcast_if_small(reps), "rep")
 
 
-def drop_near_duplicates(docs: DataFrame, most_broadcast: int = 2_000_000, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that ``link`` keeps, one of each group, with the columns of ``docs``.
 
-    Rows of one id stay or go together.
+    Rows of one id stay or go together; rows with a null id and texts without
+    words stay; an empty table gives an empty one.
     """
-    gone = materialise(link(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "neardup-gone")
-    ids = F.broadcast(gone) if gone.count() <= most_broadcast else gone
-    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone_id,) = free(docs, "_gone")
+    gone = materialise(link(docs, **options).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct(), "neardup-gone")
+    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col(gone_id), "left_anti")

@@ -79,3 +79,14 @@ def test_components(spark):
     got = {r.node: r.comp for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, **{i: 200 for i in range(200, 260)}}
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_of_any_ordered_type(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base, base + " end", "x " + base, "quite another text of some few words", None, ""]
+    for kind, ids in (("string", list("fedcba")), ("long", [-(2**63), 2**63 - 1, 5, 4, 3, None]), ("int", [6, 5, 4, 3, 2, 1])):
+        df = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], f"doc_id {kind}, text string, _gone int")
+        got = {r.doc_id: r.component_id for r in neardup.link(df).collect()}
+        assert got[ids[0]] == got[ids[1]] == got[ids[2]] == min(ids[:3]) and got[ids[3]] == ids[3]
+        left = neardup.drop_near_duplicates(df)
+        assert left.columns == df.columns and left.count() == 4

@@ -110,6 +110,13 @@ def _whole(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(f"c{i}").to_pylist()), k) for i, k in enumerate(kinds)]
 
 
+def _added(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums by place in whole numbers; a sum in doubles would lose units above 2 ** 53."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, at, values.astype(np.int64))
+    return out
+
+
 def _save(root: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Arrays as raw files below a shared folder; a second attempt of a task replaces the same content."""
     store, base = pafs.FileSystem.from_uri(root)
@@ -155,8 +162,17 @@ class Model:
 
 
 #: A word's row: its hash, its tokens, how many words follow it once, twice, more often, and how many come before it.
-_WORD_KINDS = {"hash": "u8", "count": "u8", "n1": "u4", "n2": "u4", "n3": "u4", "left": "u4"}
+_WORD_KINDS = {"hash": "u8", "count": "u8", "n1": "u8", "n2": "u8", "n3": "u8", "left": "u8"}
+#: Counts take four bytes; those that need more stand in arrays of their own, and TOP in their place.
 _PAIR_KINDS = {"hash": "u8", "count": "u4"}
+_LARGE_KINDS = {"large_hash": "u8", "large_count": "u8"}
+TOP = (1 << 32) - 1
+
+
+def pair_arrays(key: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    """The stored arrays of pairs sorted by hash, every count whole."""
+    large = count >= TOP
+    return {"hash": key, "count": np.minimum(count, TOP).astype("u4"), "large_hash": key[large], "large_count": count[large].astype("u8")}
 
 
 def _frequent(docs: DataFrame, text_col: str, parts: int) -> np.ndarray:
@@ -171,7 +187,7 @@ def _frequent(docs: DataFrame, text_col: str, parts: int) -> np.ndarray:
     return np.array([START, *(np.uint64(xxhash.xxh64_intdigest(r["w"].encode())) for r in rows)], np.uint64)
 
 
-def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, block_tokens: int = 1_000_000) -> Model:
+def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, block_tokens: int = 1_000_000, part_bytes: int = 128_000_000) -> Model:
     """Count the bigrams of all texts and store the model's arrays in the shared folder.
 
     Each task counts its own texts' pairs and hands every part its slice; a part
@@ -179,9 +195,13 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, blo
     knows about single words; those are added up and stored the same way, in
     ranges of the hash.  Pairs of frequent first words are spread over all parts.
     Null and empty texts are a start and an end.  Words are hashed to 64 bits.
+    There are as many parts as the session has shuffle partitions, and more where
+    the texts are so long that a part would count more than ``part_bytes`` of them.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     root = fresh_path(spark, "lm")
     hot = np.sort(_frequent(docs, text_col, parts))
 
@@ -205,15 +225,15 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, blo
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             c = np.add.reduceat(n.astype(np.int64), first)
             key, v, w = key[first], v[first], w[first]
-            _save(root, f"pair-{k}", {"hash": key, "count": c.astype("u4")})
+            _save(root, f"pair-{k}", pair_arrays(key, c))
             # What this part knows of words: as first ones their tokens and kinds of followers, as second ones their kinds of predecessors.
             hv, iv = np.unique(v, return_inverse=True)
             hw, left = np.unique(w, return_counts=True)
-            cols = [np.bincount(iv, c, len(hv)), *(np.bincount(iv, m, len(hv)) for m in (c == 1, c == 2, c >= 3))]
-            zero = np.zeros(len(hw))
-            whole = [np.concatenate([hv, hw]), *(np.concatenate([x, zero]) for x in cols), np.concatenate([np.zeros(len(hv)), left])]
+            cols = [_added(iv, x, len(hv)) for x in (c, c == 1, c == 2, c >= 3)]
+            zero = np.zeros(len(hw), np.int64)
+            whole = [np.concatenate([hv, hw]), *(np.concatenate([x, zero]) for x in cols), np.concatenate([np.zeros(len(hv), np.int64), left])]
             step = np.uint64(-(-(1 << 64) // parts))
-            out = _packed(whole[0] // step, whole, parts, ["u8", "u4", "u4", "u4", "u4", "u4"])
+            out = _packed(whole[0] // step, whole, parts, list(_WORD_KINDS.values()))
         times = np.array([np.count_nonzero(c == i) for i in (1, 2, 3, 4)], np.int64)
         note = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()]), *(pa.array([b""], pa.binary()) for _ in range(5))], names=out.schema.names)
         return pa.Table.from_batches([out, note.cast(out.schema)])
@@ -223,9 +243,9 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, blo
 
     def add_words(t: pa.Table) -> pa.Table:
         k = int(t.column("part")[0].as_py())
-        h, *cols = _whole(t, ["u8", "u4", "u4", "u4", "u4", "u4"])
+        h, *cols = _whole(t, list(_WORD_KINDS.values()))
         u, at = np.unique(h, return_inverse=True)
-        sums = [np.bincount(at, c, len(u)) for c in cols]
+        sums = [_added(at, c, len(u)) for c in cols]
         _save(root, f"word-{k}", {name: x.astype(kind) for (name, kind), x in zip(_WORD_KINDS.items(), [u, *sums], strict=True)})
         left = sums[-1]
         ends = float(sums[0][u == START].sum())
@@ -265,13 +285,14 @@ class Reader:
         return self.open[key]
 
     def look(self, kind: str, part: np.ndarray, h: np.ndarray, kinds: dict[str, str]) -> dict[str, np.ndarray]:
-        """Values at sorted distinct hashes; 0 where a hash isn't there."""
-        out = {k: np.zeros(len(h), np.float64) for k in kinds if k != "hash"}
+        """Values at sorted distinct hashes; 0 where a hash isn't there.  The first of ``kinds`` names the array of hashes."""
+        name = next(iter(kinds))
+        out = {k: np.zeros(len(h), np.float64) for k in kinds if k != name}
         order = np.argsort(part, kind="stable")
         edge = np.searchsorted(part[order], np.arange(self.model.parts + 1))
         for p in np.flatnonzero(np.diff(edge)):
             own = order[edge[p] : edge[p + 1]]
-            table = self.part(kind, int(p), "hash", "u8")
+            table = self.part(kind, int(p), name, "u8")
             if not len(table):
                 continue
             at = np.minimum(np.searchsorted(table, h[own]), len(table) - 1)
@@ -288,7 +309,12 @@ class Reader:
         part = ((v ^ np.where(np.isin(v, hot), w * _C1, np.uint64(0))) >> np.uint64(7)) % np.uint64(self.model.parts)
         order = np.argsort(key)
         out = np.zeros(len(key))
-        out[order] = self.look("pair", part[order].astype(np.int64), key[order], _PAIR_KINDS)["count"]
+        part, key = part[order].astype(np.int64), key[order]
+        count = self.look("pair", part, key, _PAIR_KINDS)["count"]
+        large = np.flatnonzero(count == TOP)
+        if len(large):
+            count[large] = self.look("pair", part[large], key[large], _LARGE_KINDS)["large_count"]
+        out[order] = count
         return out
 
 

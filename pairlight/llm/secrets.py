@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import materialise
+from pairlight.llm.common import free, materialise, own
 
 #: Shortest candidate.
 LEAST = 16
@@ -149,9 +149,19 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     return scored.select("doc_id", "at", "candidate", _rule().alias("rule"), F.col("length").cast("long").alias("length"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
-    """The documents with every found secret replaced by ``mark``; the input's columns."""
-    found = materialise(scan(docs, **options).where("is_secret").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("candidate").alias("_secrets")), "secrets")
-    joined = docs.join(found, F.col("doc_id") == F.col("_d"), "left")
-    text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", **options) -> DataFrame:
+    """The documents with every found secret replaced by ``mark``; the input's columns.
+
+    Rows are numbered first and stored, so that rows of a null or repeated id get
+    their own secrets taken out.  Longer secrets go before shorter ones that
+    they may hold.  Null and empty texts stay as they are; an empty table gives
+    an empty one.
+    """
+    row, found_row, hits = free(docs, "_row", "_found", "_secrets")
+    names = docs.columns
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "secret-rows")
+    found = scan(rows, id_col=row, text_col=text_col, **options).where("is_secret").groupBy(F.col("doc_id").alias(found_row)).agg(F.collect_set(F.struct((-F.length("candidate")).alias("n"), "candidate")).alias(hits))
+    joined = rows.join(materialise(found, "secrets"), F.col(row) == F.col(found_row), "left")
+    ordered = F.transform(F.array_sort(hits), lambda x: x["candidate"])
+    text = F.aggregate(F.coalesce(ordered, F.array().cast("array<string>")), F.col(text_col).cast("string"), lambda t, s: F.replace(t, s, F.lit(mark)))
+    return joined.select(*(text.alias(c) if c == text_col else own(docs, c) for c in names))

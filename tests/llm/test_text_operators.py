@@ -237,3 +237,27 @@ def test_secrets(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_counts_beyond_four_bytes(tmp_path):
+    key = np.arange(5, dtype=np.uint64) * np.uint64(7)
+    counts = np.array([3, 2**32 + 5, 2**32 - 1, 2**32 - 2, 2**40])
+    kneser_ney._save(str(tmp_path), "pair-0", kneser_ney.pair_arrays(key, counts))
+    reader = kneser_ney.Reader(kneser_ney.Model(str(tmp_path), 1, 0, 0, 0, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), (0, 0, 0), np.zeros(0, np.uint64)))
+    part = np.zeros(5, np.int64)
+    got = reader.look("pair", part, key, kneser_ney._PAIR_KINDS)["count"]
+    large = np.flatnonzero(got == kneser_ney.TOP)
+    got[large] = reader.look("pair", part[large], key[large], kneser_ney._LARGE_KINDS)["large_count"]
+    assert got.tolist() == counts.tolist()
+    at = np.zeros(3, np.int64)
+    assert kneser_ney._added(at, np.array([2**53, 1, 2**33]), 1)[0] == 2**53 + 1 + 2**33
+
+
+def test_redaction_of_null_and_repeated_ids(spark):
+    a, b = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "b7db7aa4a5fcc78305e9"
+    rows = [(None, f'token = "{a}" end', "s", 1), (7, f"x password={b} y", "s", 2), (7, f"secret: {a}", "s", 3), (8, None, None, 4), (9, "", "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row int")
+    out = secrets.redact(df)
+    got = {r._row: r.text for r in out.collect()}
+    assert out.columns == df.columns and len(got) == 5
+    assert a not in got[1] and b not in got[2] and a not in got[3] and got[4] is None and got[5] == ""

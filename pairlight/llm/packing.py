@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import WORD
+from pairlight.llm.common import WORD, materialise
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int | None], capacity: int) -> tuple[list[int], list[int]]:
@@ -50,11 +50,12 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     The cluster of a document is its exact text; near copies get one where the
     caller gives a ``cluster`` column, such as a component of near-duplicates,
     in which a null is no cluster at all.  Texts that are null or have no words
-    give no piece.
+    give no piece.  Words are counted once: the counts are stored.
     """
     n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
     cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else F.md5(F.col("text"))
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), cluster.alias("cluster"), n.alias("n_words")).where("n_words > 0")
+    base = materialise(base, "pack-sizes")
     cut = base.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / capacity).cast("int"))))
     return cut.withColumn("first_word", F.col("piece") * capacity).withColumn("size", F.least(F.lit(capacity), F.col("n_words") - F.col("first_word"))).drop("n_words")
 

@@ -110,7 +110,7 @@ def sized(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(c.alias(n) for n, c in (carry or {}).items()))
 
 
-def balanced_copies(units: DataFrame, keys: list[str], order: list[str], share: str, size: str, block: int = 20_000, seed: int = 0) -> DataFrame:
+def balanced_copies(units: DataFrame, keys: list[str], order: list[str], share: str, size: str, block: int = 4096, seed: int = 0) -> DataFrame:
     """Draw 0/1 for every unit with probability ``share``, balanced over each group's number of units and total size.
 
     Units are dealt by hash into blocks of about ``block`` within their group;
@@ -165,7 +165,7 @@ def _flyer(order: list[str], size: str, seed: int, level: int, last: bool):
     return fly
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0, carry: dict[str, Column] | None = None, block: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0, carry: dict[str, Column] | None = None, block: int = 4096) -> DataFrame:
     """How often the mix takes each document: doc_id, carried columns, source, size, source_size, target, copies, taken.
 
     A source's rate is its target over its size.  Each document is taken the

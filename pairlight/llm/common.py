@@ -104,13 +104,14 @@ def lowest(rows: DataFrame, key: str, hash_col: str, most: int) -> DataFrame:
     input.  Rows of one key and hash count as one; the result has a row for each, with
     ``key`` and ``hash_col`` alone.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = rows.select(F.col(key).alias("k"), F.col(hash_col).alias("h"))
+    counts = materialise(rows.groupBy(F.col("k").alias("kk")).agg(F.count(F.lit(1)).alias("n")), "lowest")
     margin = 6 * most**0.5 + 20
     # A hash's place between 0 and 1; its top 53 bits are exact as a double.
-    place = F.shiftrightunsigned(hash_col, 11).cast("double") / float(1 << 53)
-    few = rows.join(counts, rows[key].eqNullSafe(counts[key])).where(place * F.col("_rows") < F.lit(most + margin)).select(rows[key], rows[hash_col]).distinct()
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.shiftrightunsigned(hash_col, 11), hash_col))
-    return few.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    low = F.shiftrightunsigned("h", 11)
+    few = rows.join(broadcast_if_small(counts), F.col("k").eqNullSafe(F.col("kk"))).where(low.cast("double") / float(1 << 53) * F.col("n") < F.lit(most + margin))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(low, "h"))
+    return few.select("k", "h").distinct().withColumn("n", rank).where(F.col("n") <= most).select(F.col("k").alias(key), F.col("h").alias(hash_col))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -58,6 +58,32 @@ def test_copies_of_one_text_reject_no_others(spark):
     assert not any(got[i] for i in got if i < 300 or i >= 306)
 
 
+def test_shapes_equal_a_plain_search(spark):
+    """Half of the junk lies in one cluster; a plain search over many starts on all rows has no lower determinant and judges alike."""
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(0, 300, (300, 6)) @ np.diag([1, 2, 0.5, 1, 1, 3]), rng.normal(4000, 20, (60, 6))])).astype(int)
+    pool = spark.createDataFrame([("a", *map(int, v)) for v in x] + [("b", *map(int, v)) for v in x[:3]], "g string, " + ", ".join(f"{s} long" for s in quality.STATS))
+    got = {r.g: r for r in quality.group_shapes(pool, subset=150).collect()}
+    want = quality.first_shapes(x.astype(float), 0.75, 0.15 * quality.GRAIN, 1, tries=400)[0]
+    assert got["a"].n == 360 and got["b"].n == 3
+    cov = np.array(got["a"].g_cov).reshape(6, 6)
+    d, e = x - np.array(got["a"].g_mean), x - want[1]
+    mine, plain = np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d), np.einsum("ij,ij->i", e @ np.linalg.inv(want[2]), e)
+    assert np.linalg.norm(np.array(got["a"].g_mean) - want[1]) < 40
+    assert mine[300:].min() > 5 * mine[:300].max() and plain[300:].min() > 5 * plain[:300].max()
+
+
+def test_a_majority_cluster_of_tight_junk_in_a_small_group_leans_on_its_language(spark):
+    rng = np.random.default_rng(9)
+    good, junk = rng.normal(0, 200, (400, 6)), rng.normal(6000, 5, (8, 6))
+    rows = [(i, "en", "a" if i < 400 else "b", *map(int, v)) for i, v in enumerate(np.concatenate([good, junk]))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, lang string, source string, " + ", ".join(f"{s} long" for s in quality.STATS) + ", g int")
+    out = quality.robust_outliers(df, ["lang", "source"])
+    got = {r.id: r.outlier for r in out.collect()}
+    assert out.columns == [*df.columns, "md2", "outlier"]
+    assert all(got[i] for i in range(400, 408)) and sum(got[i] for i in range(400)) == 0
+
+
 def test_rate(spark, sf):
     docs = table(spark, sf, "documents").unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6, "", "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
     got = quality.rate(docs).collect()

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import id_bucket
+from pairlight.llm.common import broadcast_if_small, id_bucket, lowest, materialise
 
 #: Bytes that are no letters (ASCII) become spaces before n-grams are taken.
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -54,13 +54,14 @@ def _cluster(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dims: int = 4096, centroids: int = 4, per_lang: int = 600, max_langs: int = 512, quantile: float = 0.01) -> dict:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dims: int = 4096, centroids: int = 4, per_lang: int = 600, max_langs: int = 8192, quantile: float = 0.01) -> dict:
     """Learn IDF weights, centroids and a rejection limit for each language.
 
     IDF counts every row of ``train``.  Centroids come from a bounded sample of
     labelled rows: at most ``per_lang`` rows for each language, those of the
-    smallest hash of their id, and at most ``max_langs`` languages (more raise
-    an error).  A language's limit is the ``quantile`` of its sample's cosines.
+    lowest hash of their id.  A language takes 64 kB of the model that each
+    worker holds; a table with more than ``max_langs`` values, above all living
+    languages, has another kind of column, and that is an error.  A language's limit is the ``quantile`` of its sample's cosines.
     Rows with a null text or language are left out.
     """
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
@@ -81,9 +82,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
     langs = [r["l"] for r in rows.select("l").distinct().orderBy("l").limit(max_langs + 1).collect()]
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    # Each task keeps its per_lang smallest hashes before the shuffle; at most per_lang x max_langs of them are broadcast.
-    ranks = rows.select("l", "h").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= per_lang).select("l", "h").distinct()
-    sample = rows.join(F.broadcast(ranks), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    ranks = materialise(lowest(rows, "l", "h", per_lang), "lang-few")
+    sample = rows.join(broadcast_if_small(ranks), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
     model = sample.groupBy("l").applyInPandas(lambda pdf: _fit_language(pdf, idf, centroids, quantile), "l string, c array<double>, n int, reject double").orderBy("l").collect()
     parts = [np.array(r["c"]).reshape(r["n"], dims) for r in model]
     return {
@@ -110,6 +110,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     is below the limit of that language, or that there is no language at all; the
     nearest language is given all the same.  A text that is null, empty or has
     no letter gets ``und``, 0 and rejected; so do all if the model is empty.
+    Repeated and null ids keep their own rows; an empty table gives an empty
+    one; columns other than the id come only if carried, under any name.
     """
     carry = carry or {}
     src = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *(c.alias(n) for n, c in carry.items()))

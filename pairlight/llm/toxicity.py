@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import id_bucket
+from pairlight.llm.common import broadcast_if_small, id_bucket, lowest, materialise
 
 #: Hash space of whole words, and of their stems: their first so many letters.
 SPACE, STEMS = 1 << 20, (3, 4, 5, 7)
@@ -241,23 +241,30 @@ def learn(docs: list[np.ndarray], labels: np.ndarray) -> Net:
     return net
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Net | None:
-    """Train on a bounded sample of labelled rows: at most ``per_class`` of each label, those of the smallest hash of their id.
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, longest: int = 200_000, per_class_bytes: int = 24_000_000) -> Net | None:
+    """Train on a bounded sample of labelled rows: at most ``per_class`` of each label, those of the lowest hash of their id.
 
+    Texts above ``longest`` bytes, and those after the ``per_class_bytes`` that come first by hash,
+    stay out of the sample, so that what reaches the driver is bounded in bytes too; scoring knows no such bound.
     All of the sample trains the net; the thresholds are set by the logits that
     nets trained on two thirds of it give to the last one.  Rows with a null text or label are left out.  Returns None where a label has
     no rows at all: everything then scores 0.
     """
-    rows = train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), (F.col(label_col) > 0).cast("int").alias("y"), F.col(text_col).cast("string").alias("t"))
+    text = F.col(text_col).cast("string")
+    rows = train.where(text.isNotNull() & F.col(label_col).isNotNull() & (F.octet_length(text) <= longest))
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), (F.col(label_col) > 0).cast("int").alias("y"), text.alias("t"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known.of(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["h", "y", "d"])
 
-    # Each task keeps its per_class smallest hashes before the shuffle; at most 2 x per_class of them are broadcast.
-    ranks = rows.select("y", "h").withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("n") <= per_class).select("y", "h").distinct()
-    sample = rows.join(F.broadcast(ranks), ["y", "h"]).select("h", "y", "t").mapInArrow(tokens, "h long, y int, d binary").dropDuplicates(["h", "y"]).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    few = materialise(lowest(rows, "y", "h", per_class), "toxic-few")
+    # At most per_class texts of a label: equal ids keep the first text, then bytes are added up by hash.
+    chosen = rows.join(broadcast_if_small(few), ["y", "h"]).groupBy("y", "h").agg(F.min("t").alias("t"))
+    upto = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    chosen = chosen.withColumn("_upto", upto).where(F.col("_upto") <= per_class_bytes).select("h", "y", "t")
+    sample = chosen.mapInArrow(tokens, "h long, y int, d binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     docs = [unpack(d) for d in sample.column("d").to_pylist()]
     y = np.array(sample.column("y").to_pylist(), int)
     if not len(y) or y.min() == y.max():
@@ -269,7 +276,9 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
     """Score every whole text: id, carried columns, score (0 to 1) and predicted (score >= 0.5).
 
     A null or empty text has no tokens and scores as the network scores padding;
-    equal texts score equally; with no network everything scores 0.
+    equal texts score equally; with no network everything scores 0.  Repeated and
+    null ids keep their own rows; an empty table gives an empty one; columns of
+    the input other than the id come only if carried, under any name.
     """
     carry = carry or {}
     src = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *(c.alias(n) for n, c in carry.items()))
@@ -298,16 +307,14 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
 
 
 def train_on(docs: DataFrame, labels: DataFrame, folds: int = 5, hold: int = 0) -> Net | None:
-    """Fit on the labelled documents outside fold ``hold``; of several labels of a document the highest counts."""
-    one = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    some = docs.where(id_bucket("doc_id", folds) != hold).select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    ids = some.select("doc_id").join(one, F.col("doc_id") == F.col("_id")).select("doc_id", "_toxic")
-    return fit(_labelled(some, ids), label_col="_toxic")
-
-
-def _labelled(docs: DataFrame, ids: DataFrame, per_class: int = 3000) -> DataFrame:
-    """Texts of the bounded choice of labelled ids only, so that no other text is shuffled."""
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    rank = F.row_number().over(Window.partitionBy(F.col("_toxic") > 0).orderBy(h))
-    chosen = ids.where("_toxic IS NOT NULL").withColumn("_n", rank).where(F.col("_n") <= per_class).select(F.col("doc_id").alias("_id"), "_toxic").distinct()
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
+    """Fit on the labelled documents outside fold ``hold``; of several labels of a document the highest counts.
+
+    Labels are joined to ids first, and only texts of a chosen few ids go on, so
+    that no other text is shuffled.
+    """
+    one = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic")).where("_toxic IS NOT NULL")
+    some = docs.where(id_bucket("doc_id", folds) != hold).select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = some.where("text IS NOT NULL").select("doc_id").join(one, F.col("doc_id") == F.col("_id"))
+    ids = materialise(ids.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), (F.col("_toxic") > 0).cast("int").alias("_y")), "toxic-ids")
+    chosen = ids.join(broadcast_if_small(materialise(lowest(ids, "_y", "h", 3000), "toxic-chosen")), ["_y", "h"]).select(F.col("doc_id").alias("_id"), F.col("_y").alias("_toxic")).distinct()
+    return fit(some.join(broadcast_if_small(materialise(chosen, "toxic-labels")), F.col("doc_id") == F.col("_id")), label_col="_toxic")

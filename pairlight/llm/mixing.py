@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import WORD, free, materialise, own
+from pairlight.llm.common import WORD, broadcast_if_small, free, materialise, own
 
 
 def cube_flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -127,10 +127,12 @@ def balanced_copies(units: DataFrame, keys: list[str], order: list[str], share:
     decided: list[DataFrame] = []
     level = 0
     while True:
-        # Sizes of groups by a partial count; a group's number of blocks rides along with its rows.
+        # Sizes of groups by a partial count; small as it is, the table meets the rows where they are.
         counts = open_units.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
+        counts = materialise(counts, "mix-groups")
         last = counts.where("_blocks > 1").limit(1).count() == 0
-        dealt = open_units.join(counts, "_g").withColumn("_b", F.pmod(F.xxhash64("_h", F.lit(level)), F.col("_blocks")).cast("int")).drop("_blocks")
+        dealt = open_units.join(broadcast_if_small(counts), "_g").withColumn("_b", F.pmod(F.xxhash64("_h", F.lit(level)), F.col("_blocks")).cast("int")).drop("_blocks")
+        dealt = dealt.repartition("_g", "_b")  # by group alone, as a join may have left it, a hot group would be one task
 
         flown = materialise(dealt.groupBy("_g", "_b").applyInArrow(_flyer(order, size, seed, level, last), fields), "mix-flight")
         done = (F.col("_s") == 0) | (F.col("_s") == 1)
@@ -179,7 +181,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
     extra = list(carry or {})
     base = materialise(sized(docs, carry), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, "source", weights, ceiling).withColumnRenamed("source", "_src")
+    targets = broadcast_if_small(materialise(source_targets(sizes, "source", weights, ceiling).withColumnRenamed("source", "_src"), "mix-targets"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     near = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     units = base.join(targets, F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_rate", near).withColumns({"_sure": F.floor("_rate").cast("int"), "_part": F.col("_rate") - F.floor("_rate")})

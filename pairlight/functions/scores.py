@@ -60,19 +60,36 @@ def cohort_struct(df: DataFrame, code: str) -> Column:
 
 
 def cohort_of(df: DataFrame, code: Column | str | None) -> Column:
-    """The struct of a query's cohort: a plain choice for one code, a map look-up for a column of codes; null if there is none."""
+    """The struct of a query's cohort: a plain choice for one code, one CASE for a column of codes; null if there is none."""
     codes = cohort_codes(df)
     kind = "struct<rho_strength:double,rho:double,p:double,anticorr:int,repression:int,expressed:int>"
     if code is None or not codes:
         return F.lit(None).cast(kind)
     if isinstance(code, str):
         return cohort_struct(df, code.upper()).cast(kind) if code.upper() in codes else F.lit(None).cast(kind)
-    return F.try_element_at(F.create_map(*(x for c in codes for x in (F.lit(c), cohort_struct(df, c).cast(kind)))), F.upper(code))
+    return _choose(code, {c: cohort_struct(df, c).cast(kind) for c in codes})
+
+
+def _choose(code: Column, values: dict[str, Column]) -> Column:
+    """The value of a code; of all values only the chosen one is worked out."""
+    out = None
+    for c, v in values.items():
+        out = (F if out is None else out).when(F.upper(code) == c, v)
+    return F.lit(None) if out is None else out
+
+
+def expressed_of(df: DataFrame, code: Column | str | None) -> Column:
+    """A query's cohort's pair_expressed flag; null without a cohort, or where the table has no such column."""
+    flags = {c: flag(df, f"{c}_pair_expressed") for c in cohort_codes(df) if f"{c}_pair_expressed" in df.columns}
+    if code is None or isinstance(code, str):
+        return flags.get((code or "").upper(), F.lit(None).cast("int"))
+    return _choose(code, flags).cast("int")
 
 
 def with_scores(df: DataFrame, cohort: Column | str | None, pathway_on: Column, weights: Weights = Weights()) -> DataFrame:
     """Append the score and its eleven parts; ``pathway_on`` says whether a query wants the pathway bonus."""
-    c = cohort_of(df, cohort)
+    df = df.withColumn("_cohort", cohort_of(df, cohort))
+    c = F.col("_cohort")
     rho, anti, rep = (F.coalesce(c[n].cast("double"), F.lit(0.0)) for n in ("rho_strength", "anticorr", "repression"))
     hits = "gene_pathway_hits" in df.columns
     parts = {
@@ -92,4 +109,4 @@ def with_scores(df: DataFrame, cohort: Column | str | None, pathway_on: Column,
     total = F.lit(0.0)
     for name, weight in w.items():
         total = total + F.lit(weight) * F.col(name)
-    return df.withColumn("retrieval_score", total)
+    return df.withColumn("retrieval_score", total).drop("_cohort")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pairlight.columns import flag, strip, whole
 from pairlight.functions.identifiers import candidate_names, is_regulator
-from pairlight.functions.scores import Weights, cohort_of, with_scores
+from pairlight.functions.scores import Weights, expressed_of, with_scores
 from pairlight.operators.collapse import rules
 from pairlight.sources.evidence import prepare
 
@@ -33,7 +33,10 @@ def single_query(spark: SparkSession, token: str, query_id: str = "1", **options
     """A query table of one row."""
     if options.get("k", 0) < 0:
         raise ValueError("k must not be negative")
-    return with_defaults(spark.range(1).select(F.lit(query_id).alias("query_id"), F.lit(token).alias("token"), *(F.lit(v).alias(n) for n, v in options.items())))
+    given = {"query_id": query_id, "token": token, **options}
+    # Inline values: Catalyst sees which way the query goes and leaves the other join out.
+    values = spark.sql(f"SELECT * FROM VALUES ({', '.join(f':{n}' for n in given)}) AS t({', '.join(given)})", args=given)
+    return with_defaults(values)
 
 
 def novel_ok(df: DataFrame, on: Column) -> Column:
@@ -50,7 +53,7 @@ def binding_ok(df: DataFrame, on: Column) -> Column:
 
 def expression_ok(df: DataFrame, on: Column, cohort: Column | str | None) -> Column:
     """True where the gate is off, there is no cohort, or the table has no such column for it."""
-    shown = cohort_of(df, cohort)["expressed"]
+    shown = expressed_of(df, cohort)
     return ~on | shown.isNull() | (shown == 1)
 
 
@@ -82,46 +85,70 @@ def matches(evidence: DataFrame, queries: DataFrame, fixed_cohort: str | None =
     return both.where(masks(both, cohort))
 
 
-def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None, weights: Weights = Weights(), collapse: bool = True) -> DataFrame:
-    """Ranked pairs of every query: query_id, rank, pair, collapsed evidence, score and its parts.
+def winners(rows: DataFrame) -> DataFrame:
+    """One row a query: its lowest tier with a match, and the names matched there, sorted and joined by ';'."""
+    name = F.when(F.col("direction") == "mirna_to_targets", F.col("mirna_name")).otherwise(F.col("token"))
+    seen = rows.groupBy("query_id", "tier").agg(F.array_join(F.array_sort(F.collect_set(name)), ";").alias("names"))
+    best = seen.groupBy("query_id").agg(F.min(F.struct("tier", "names")).alias("b"))
+    return best.select("query_id", F.col("b.tier").alias("tier"), F.col("b.names").alias("matched_query_tokens"))
+
+
+def scored_pairs(evidence: DataFrame, queries: DataFrame, weights: Weights = Weights(), collapse: bool = True, cohort: str | None = None) -> DataFrame:
+    """All pairs of every query with their scores and the query's k, unranked.
 
-    Masks act on rows and so before tiers are resolved.  Pairs are collapsed
-    within (query, tier) first, which depends on the name alone; then one
-    exchange by query serves the winning tier, the matched names and the rank.
-    ``max_k``, a bound on all k, lets the plan cut each task's rows before that
-    exchange.  Ties go by names.  Queries without hits give no row.  Without
-    ``collapse`` every surviving row is scored and ranked by itself.
+    Masks act on rows and so before tiers are resolved.  Two scans: a narrow one,
+    of names and gates, finds each query's tier and matched names, aggregated before its
+    shuffle; the other collapses pairs within (query, tier), also aggregated before
+    its shuffle.  The small table of tiers, which carries the query's
+    parameters, then meets the collapsed pairs.  ``cohort`` is the one of all queries, if they share it.
     """
     ev = evidence if {"mirna_key", "gene_key"} <= set(evidence.columns) else prepare(evidence)
     q = with_defaults(queries)
-    params = [c for c in q.columns if c not in ("query_id", "token")]
-    rows = matches(ev, q)
-    keys = ["query_id", "tier", "direction", "mirna_name", "gene_symbol"]
+    rows = matches(ev, q, cohort)
+    chosen = winners(rows).join(q.select("query_id", "cohort", "k", "pathway_enabled", "pathway_mode", "min_gene_sets", "has_keywords"), "query_id")
     if collapse:
-        # A query's parameters follow from its id; as keys they leave only numbers to aggregate, by hash and without a sort.
-        pairs = rows.groupBy(*keys, "token", *params).agg(*rules(rows))
+        pairs = rows.groupBy("query_id", "tier", "direction", "mirna_name", "gene_symbol").agg(*rules(rows))
     else:
-        pairs = rows.drop("key", "mirna_key", "gene_key")
-    by_query = Window.partitionBy("query_id")
-    pairs = pairs.withColumn("_best", F.min("tier").over(by_query)).where("tier = _best")
-    names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("direction") == "mirna_to_targets", F.col("mirna_name")).otherwise(F.col("token"))).over(by_query)), ";")
-    pairs = pairs.withColumn("matched_query_tokens", names).dropna(subset=["mirna_name", "gene_symbol"])
+        pairs = rows.drop("key", "mirna_key", "gene_key", "token", *DEFAULTS)
+    pairs = pairs.join(chosen, ["query_id", "tier"]).dropna(subset=["mirna_name", "gene_symbol"])
     pathway_on = F.col("pathway_enabled") & F.col("has_keywords")
     if "gene_pathway_hits" in pairs.columns:
         pairs = pairs.where(~(pathway_on & (F.lower("pathway_mode") == "filter")) | (whole(pairs, "gene_pathway_hits") >= F.col("min_gene_sets")))
-    scored = with_scores(pairs, F.col("cohort"), pathway_on, weights)
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("retrieval_score"), "mirna_name", "gene_symbol")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
+    scored = with_scores(pairs, cohort if cohort is not None else F.col("cohort"), pathway_on, weights)
+    return scored.drop("tier", *(c for c in DEFAULTS if c != "k"))
+
+
+def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None, weights: Weights = Weights(), collapse: bool = True) -> DataFrame:
+    """Ranked pairs of every query: query_id, rank, pair, collapsed evidence, score and its parts.
+
+    With ``max_k``, a bound on all k, each task keeps at most so many pairs of a query
+    before the exchange by query.  Ties go by names.  Queries without hits give
+    no row.  Without ``collapse`` every surviving row is scored and ranked by
+    itself.
+    """
+    scored = scored_pairs(evidence, queries, weights, collapse)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
     if max_k is not None:
         ranked = ranked.where(F.col("rank") <= max_k)
-    ranked = ranked.where(F.col("rank") <= F.col("k"))
-    return ranked.select("query_id", "rank", "direction", *[c for c in ranked.columns if c not in ("query_id", "rank", "direction", "tier", "_best", "token", *params)])
+    return _shown(ranked.where(F.col("rank") <= F.col("k")))
 
 
-def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, **options) -> DataFrame:
-    """A single query by token and parameters."""
+def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, weights: Weights = Weights(), **options) -> DataFrame:
+    """A single query by token and parameters: each task keeps its k best pairs, and only these meet."""
+    k = options.get("k", DEFAULTS["k"])
     q = single_query(evidence.sparkSession, token, **options)
-    return retrieve(evidence, q, max_k=options.get("k", DEFAULTS["k"]), collapse=collapse).drop("query_id")
+    top = scored_pairs(evidence, q, weights, collapse, cohort=options.get("cohort") or "").orderBy(*_order()).limit(k)
+    # The window sees k rows.
+    return _shown(top.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))).drop("query_id")
+
+
+def _order() -> list[Column]:
+    return [F.desc_nulls_last("retrieval_score"), F.asc("mirna_name"), F.asc("gene_symbol")]
+
+
+def _shown(ranked: DataFrame) -> DataFrame:
+    first = ["query_id", "rank", "direction"]
+    return ranked.select(*first, *(c for c in ranked.columns if c not in (*first, "k")))
 
 
 def unmatched(queries: DataFrame, shortlist: DataFrame) -> DataFrame:

@@ -28,63 +28,72 @@ def json_part(text: Column) -> Column:
     return F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-def _get(path: str, kind: str) -> Column:
-    return F.try_variant_get("v", f"$.{path}", kind)
+#: Fields of a reply.
+FIELDS = ("mirna", "gene", "query_token", "mode", "tcga", "cancer", "phenotype_keywords", "pathway_keywords", "pathway_filter", "novel", "k", "filters", "needs_clarification")
 
 
-def _kind(path: str) -> Column:
-    """OBJECT..., STRING, BIGINT and so on; null if the path isn't there."""
-    return F.schema_of_variant(F.try_variant_get("v", f"$.{path}", "variant"))
+def _fields(json: Column, names: tuple[str, ...], kind: str = "string") -> Column:
+    """These fields of a JSON object.  As string, numbers, objects and lists come as their JSON text; as double, only numbers come."""
+    return F.from_json(json, ", ".join(f"{n} {kind}" for n in names) + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
 
 
-def _text(path: str) -> Column:
-    """A scalar as text; objects and arrays are null."""
-    return F.when(~_kind(path).rlike("^(OBJECT|ARRAY|VOID)"), _get(path, "string"))
+def _text(s: Column) -> Column:
+    """A scalar as text; objects and arrays, and text that begins like one, are null."""
+    return F.when(~s.rlike(r"^[\[{]"), s)
 
 
-def _int(path: str, default: int) -> Column:
-    """Numbers are cut towards zero; text has to be a plain integer; anything else is the default."""
-    kind, s = _kind(path), _get(path, "string")
-    from_text = F.when(s.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(s).try_cast("int"))
-    return F.coalesce(F.when(kind == "STRING", from_text).when(kind == "BOOLEAN", _get(path, "boolean").cast("int")).otherwise(_get(path, "double").try_cast("int")), F.lit(default))
+def _int(s: Column, number: Column, default: int) -> Column:
+    """Numbers are cut towards zero, truth values are 0 or 1; text has to be a plain integer; anything else is the default."""
+    plain = F.when(s.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(s).try_cast("int"))
+    return F.coalesce(number.try_cast("int"), plain, F.when(s == "true", 1).when(s == "false", 0), F.lit(default))
 
 
-def _bool(path: str, default: bool = False) -> Column:
-    return F.coalesce(_get(path, "boolean"), F.lit(default))
+def _bool(s: Column, default: bool = False) -> Column:
+    """A truth value, text that says one ('true', 'false') or a number; anything else is the default.  So 'false' as text is false, not true for being text."""
+    return F.coalesce(s.try_cast("boolean"), s.try_cast("double") != 0, F.lit(default))
 
 
-def _words(path: str) -> Column:
-    return F.coalesce(_get(path, "array<string>"), F.array().cast("array<string>"))
+def _words(s: Column) -> Column:
+    return F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))
 
 
 def normalise_specs(responses: DataFrame) -> DataFrame:
     """(query_id, question, response) to typed specifications; ``error`` says why a row is none.
 
-    A null object counts as absent.  Nothing is dropped: see ``split_rejects``.
+    The cohort is cancer.tcga where cancer is an object, else the top-level tcga
+    of older replies.  A null object counts as absent.  Nothing is dropped: see
+    ``split_rejects``.
     """
-    v = responses.withColumn("v", F.try_parse_json(json_part(F.col("response"))))
-    question = strip(F.coalesce("question", F.lit("")))
-    mode = _text("mode")
-    token = F.coalesce(*(F.nullif(_text(n), F.lit("")) for n in ("mirna", "gene", "query_token")))
-    error = F.when(question == "", "question is empty").when(F.col("v").isNull(), "response holds no JSON object").when(token.isNull(), "no mirna, gene or query_token").when(_int("k", 50) < 0, "k is negative")
-    return v.select(
+    part = responses.select("query_id", strip(F.coalesce("question", F.lit(""))).alias("original_question"), json_part(F.col("response")).alias("j"))
+    part = part.select("query_id", "original_question", _fields(F.col("j"), FIELDS).alias("p"), _fields(F.col("j"), ("k",), "double").alias("pn"))
+    inner = {
+        "cancer": ("name", "tcga"),
+        "pathway_filter": ("enabled", "mode", "min_gene_sets"),
+        "filters": ("min_support", "require_binding_evidence", "require_expression"),
+    }
+    part = part.select("*", *(_fields(F.col(f"p.{f}"), names).alias(f"i_{f}") for f, names in inner.items()), _fields(F.col("p.pathway_filter"), ("min_gene_sets",), "double").alias("n_pathway"), _fields(F.col("p.filters"), ("min_support",), "double").alias("n_filters"))
+    at = lambda f, n: F.col(f"i_{f}.{n}")
+    part = part.select(
         "query_id",
-        question.alias("original_question"),
-        F.when(mode.isin(*MODES), mode).otherwise(F.lit(MODES[0])).alias("mode"),
-        _text("mirna").alias("mirna"),
-        _text("gene").alias("gene"),
-        token.alias("token"),
-        F.struct(_text("cancer.name").alias("name"), _text("cancer.tcga").alias("tcga")).alias("cancer"),
-        F.upper(F.nullif(_text("cancer.tcga"), F.lit(""))).alias("cohort"),
-        _words("phenotype_keywords").alias("phenotype_keywords"),
-        _words("pathway_keywords").alias("pathway_keywords"),
-        F.struct(_bool("pathway_filter.enabled").alias("enabled"), F.coalesce(_text("pathway_filter.mode"), F.lit("boost")).alias("mode"), _int("pathway_filter.min_gene_sets", 1).alias("min_gene_sets")).alias("pathway_filter"),
-        _bool("novel").alias("novel"),
-        _int("k", 50).alias("k"),
-        F.struct(_int("filters.min_support", 1).alias("min_support"), _bool("filters.require_binding_evidence").alias("require_binding_evidence"), _bool("filters.require_expression").alias("require_expression")).alias("filters"),
-        _words("needs_clarification").alias("needs_clarification"),
-        error.alias("error"),
+        "original_question",
+        (F.col("p").isNull() | F.col("p._bad").isNotNull()).alias("broken"),
+        *(_text(F.col(f"p.{f}")).alias(f) for f in ("mirna", "gene", "query_token", "mode")),
+        _text(F.col("p.tcga")).alias("top_tcga"),
+        F.coalesce(F.col("p.cancer").startswith("{"), F.lit(False)).alias("nested"),
+        F.struct(_text(at("cancer", "name")).alias("name"), _text(at("cancer", "tcga")).alias("tcga")).alias("cancer"),
+        *(_words(F.col(f"p.{f}")).alias(f) for f in ("phenotype_keywords", "pathway_keywords", "needs_clarification")),
+        F.struct(_bool(at("pathway_filter", "enabled")).alias("enabled"), F.coalesce(_text(at("pathway_filter", "mode")), F.lit("boost")).alias("mode"), _int(at("pathway_filter", "min_gene_sets"), F.col("n_pathway.min_gene_sets"), 1).alias("min_gene_sets")).alias("pathway_filter"),
+        _bool(F.col("p.novel")).alias("novel"),
+        _int(F.col("p.k"), F.col("pn.k"), 50).alias("k"),
+        F.struct(_int(at("filters", "min_support"), F.col("n_filters.min_support"), 1).alias("min_support"), *(_bool(at("filters", n)).alias(n) for n in ("require_binding_evidence", "require_expression"))).alias("filters"),
     )
+    token = F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in ("mirna", "gene", "query_token")))
+    error = F.when(F.col("original_question") == "", "question is empty").when(F.col("broken"), "response holds no JSON object").when(token.isNull(), "no mirna, gene or query_token").when(F.col("k") < 0, "k is negative")
+    cohort = F.upper(F.nullif(F.when(F.col("nested"), F.col("cancer.tcga")).otherwise(F.col("top_tcga")), F.lit("")))
+    return part.select(
+        "query_id", "original_question", F.when(F.col("mode").isin(*MODES), F.col("mode")).otherwise(F.lit(MODES[0])).alias("mode"), "mirna", "gene", token.alias("token"),
+        "cancer", cohort.alias("cohort"), "phenotype_keywords", "pathway_keywords", "pathway_filter", "novel", "k", "filters", "needs_clarification", error.alias("error"),
+    )
 
 
 def split_rejects(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,9 +121,10 @@ def apply_overrides(specs: DataFrame, requests: DataFrame) -> DataFrame:
     return out.select(*specs.columns)
 
 
-def to_queries(specs: DataFrame) -> DataFrame:
-    """Specifications as the query rows that retrieval takes."""
+def to_queries(specs: DataFrame, *keep: str) -> DataFrame:
+    """Specifications as the query rows that retrieval takes, with further columns to keep."""
     return specs.select(
+        *keep,
         "query_id", "token", "cohort", "novel",
         F.col("filters.min_support").alias("min_support"), F.col("filters.require_binding_evidence").alias("require_binding_evidence"), F.col("filters.require_expression").alias("require_expression"),
         "k", F.col("pathway_filter.enabled").alias("pathway_enabled"), F.col("pathway_filter.mode").alias("pathway_mode"), F.col("pathway_filter.min_gene_sets").alias("min_gene_sets"),

@@ -328,7 +328,7 @@ _RESPONSE = (
 _SPEC_SQL = f"""WITH r AS (SELECT c_custkey, {_RESPONSE} AS response FROM customer),
 j AS (SELECT c_custkey, TRY_CAST(regexp_extract(response, '(?s)(\\{{.*\\}})', 1) AS JSON) AS v FROM r WHERE response LIKE '%{{%}}%'),
 s AS (SELECT CAST(c_custkey AS VARCHAR) AS query_id, coalesce(nullif(v->>'$.mirna', ''), nullif(v->>'$.gene', ''), nullif(v->>'$.query_token', '')) AS token,
-upper(v->>'$.cancer.tcga') AS cohort, CASE WHEN v->>'$.mode' IN ('mirna_to_targets', 'gene_to_mirnas') THEN v->>'$.mode' ELSE 'mirna_to_targets' END AS mode,
+upper(CASE WHEN json_type(v, '$.cancer') = 'OBJECT' THEN v->>'$.cancer.tcga' ELSE v->>'$.tcga' END) AS cohort, CASE WHEN v->>'$.mode' IN ('mirna_to_targets', 'gene_to_mirnas') THEN v->>'$.mode' ELSE 'mirna_to_targets' END AS mode,
 CAST(CASE WHEN json_type(v, '$.k') = 'VARCHAR' THEN CASE WHEN regexp_full_match(v->>'$.k', '[+-]?[0-9]+') THEN CAST(v->>'$.k' AS INT) ELSE 50 END WHEN (v->>'$.k') IS NULL THEN 50 ELSE trunc(CAST(v->>'$.k' AS DOUBLE)) END AS INT) AS k,
 coalesce(CAST(v->>'$.novel' AS BOOLEAN), FALSE) AS novel, coalesce(CAST(v->>'$.filters.min_support' AS INT), 1) AS min_support, coalesce(CAST(v->>'$.pathway_filter.enabled' AS BOOLEAN), FALSE) AS pathway_enabled,
 coalesce(v->>'$.pathway_filter.mode', 'boost') AS pathway_mode, coalesce(CAST(v->>'$.pathway_filter.min_gene_sets' AS INT), 1) AS min_gene_sets, (v->>'$.pathway_keywords[0]') IS NOT NULL AS has_keywords FROM j)"""
@@ -342,8 +342,7 @@ def _specs(spark, sf_dir):
 
 @query(_SPEC_SQL + " SELECT mode, " + ", ".join(_SPEC_COLS) + " FROM s")
 def spec_normalise(spark, sf_dir):
-    specs = _specs(spark, sf_dir)[0]
-    return S.to_queries(specs).select(*_SPEC_COLS).join(specs.select("query_id", "mode"), "query_id")
+    return S.to_queries(_specs(spark, sf_dir)[0], "mode").select("mode", *_SPEC_COLS)
 
 
 _REQUESTS = "SELECT CAST(c_custkey AS {0}) AS query_id, concat('question ', c_custkey) AS question, c_custkey % 2 = 0 AS novel, CAST(c_custkey % 7 AS INT) AS k, CAST(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 3 END AS INT) AS min_support, CASE c_custkey % 3 WHEN 0 THEN ' Filter' WHEN 1 THEN 'other' ELSE NULL END AS pathway_mode"

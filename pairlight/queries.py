@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pairlight.plans import answers as A
 from pairlight.plans import prompts as P
 from pairlight.plans import specs as S
 from pairlight.plans.cards import cards as make_cards
+from pairlight.plans.chain import job_documents
 from pairlight.sources import jobs as J
 from pairlight.sources.evidence import prepare, read_evidence
 from pairlight.streaming import requests as Q
@@ -350,8 +352,7 @@ _REQUESTS = "SELECT CAST(c_custkey AS {0}) AS query_id, concat('question ', c_cu
 
 @query(_SPEC_SQL + f", q AS ({_REQUESTS.format('VARCHAR')} FROM customer) SELECT query_id, q.k, q.novel, coalesce(q.min_support, 1) AS min_support, s.pathway_enabled OR q.pathway_mode IS NOT DISTINCT FROM ' Filter' AS pathway_enabled, CASE WHEN q.pathway_mode = ' Filter' THEN 'filter' ELSE s.pathway_mode END AS pathway_mode FROM s JOIN q USING (query_id)")
 def spec_overrides(spark, sf_dir):
-    _table(spark, sf_dir, "customer").createOrReplaceTempView("pairlight_customer")
-    req = spark.sql(_REQUESTS.format("STRING") + " FROM pairlight_customer")
+    req = _customers(spark, sf_dir, _REQUESTS.format("STRING") + " FROM customer")
     return S.to_queries(S.apply_overrides(_specs(spark, sf_dir)[0], req)).select("query_id", "k", "novel", "min_support", "pathway_enabled", "pathway_mode")
 
 
@@ -429,18 +430,113 @@ def result_json(spark, sf_dir):
     return v.select("query_id", F.try_variant_get("v", "$.status", "string").alias("status"), n.alias("n"), F.coalesce(F.try_variant_get("v", "$.shortlist[0].gene_symbol", "string"), F.lit("")).alias("first_gene"))
 
 
-@query()
+_STREAMED = "SELECT CAST(c_custkey AS {0}) AS query_id, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE concat('miR-', c_custkey % 40) END AS question, CAST(CASE WHEN c_custkey % 13 = 0 THEN -1 ELSE c_custkey % 5 END AS INT) AS k FROM customer"
+
+
+def _shared(spark: SparkSession, tag: str) -> str:
+    """A new folder below the one that driver and executors share; only a local session may do without a named one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
+    return f"{top.rstrip('/')}/{tag}-{uuid4().hex}"
+
+
+def _customers(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(sql)
+
+
+@query(f"""WITH {EV}, h AS (SELECT regexp_extract(lower(mirna_name), '^(?:hsa-)?mir-([0-9]+)', 1) AS n, CASE WHEN mirna_name LIKE '%-5p' THEN 0 WHEN mirna_name LIKE '%-3p' THEN 2 ELSE 1 END AS tier, mirna_name, gene_symbol
+FROM ev WHERE mirtarbase_pos = 0 AND support_count >= 1 AND lower(mirna_name) LIKE '%mir-%'),
+b AS (SELECT n, min(tier) AS tier FROM h GROUP BY n), c AS (SELECT n, count(DISTINCT mirna_name || ' ' || gene_symbol) AS pairs FROM h JOIN b USING (n, tier) WHERE gene_symbol IS NOT NULL GROUP BY n),
+r AS ({_STREAMED.format('VARCHAR')})
+SELECT r.query_id, CASE WHEN question = ' ' OR k < 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN question = ' ' OR k < 0 THEN 0 ELSE least(k, coalesce(pairs, 0)) END AS n_pairs,
+CASE WHEN question = ' ' THEN 'question is empty' WHEN k < 0 THEN 'k is negative' END AS error FROM r LEFT JOIN c ON r.question = 'miR-' || c.n""")
 def stream_requests(spark, sf_dir):
     """A request for every customer, streamed from files, answered in micro-batches and read back with its status."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    root = f"{top.rstrip('/')}/requests-{spark.sql('SELECT uuid()').first()[0]}"
-    _table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS query_id", "concat('miR-', c_custkey % 40) AS question", "CAST(c_custkey % 5 AS INT) AS k").write.json(f"{root}/in")
+    root = _shared(spark, "requests")
+    _customers(spark, sf_dir, _STREAMED.format("STRING")).write.json(f"{root}/in")
     ev = prepare(evidence(spark, sf_dir))
 
     def answer(batch: DataFrame) -> DataFrame:
         return R.retrieve(ev, batch.withColumn("token", F.col("question")), max_k=200).select("query_id", "rank", "mirna_name", "gene_symbol")
 
     Q.serve(Q.read_requests(spark, f"{root}/in"), answer, f"{root}/out", f"{root}/log", f"{root}/state").awaitTermination()
-    status = J.latest_status(spark.read.parquet(f"{root}/log"), spark.read.schema("query_id string").json(f"{root}/in"))
+    log = spark.read.parquet(f"{root}/log")
+    status = J.latest_status(log, spark.read.schema("query_id string").json(f"{root}/in"))
+    errors = log.where("error IS NOT NULL").groupBy("query_id").agg(F.max("error").alias("error"))
     found = spark.read.parquet(f"{root}/out").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    return status.join(found, "query_id", "left").select("query_id", "status", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
+    return status.join(found, "query_id", "left").join(errors, "query_id", "left").select("query_id", "status", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "error")
+
+
+# The whole chain, and parts that only show in it
+
+
+def _chain(spark, sf_dir):
+    rows = _customers(spark, sf_dir, f"{_REQUESTS.format('STRING')}, {_RESPONSE} AS response FROM customer")
+    outputs = rows.where("CAST(query_id AS INT) % 2 = 0").select("query_id", F.concat(F.lit("answer to "), "question").alias("text"))
+    return job_documents(prepare(evidence(spark, sf_dir)), rows.drop("response"), rows.select("query_id", "response"), outputs, max_k=10)
+
+
+_CHAIN_SQL = _SPEC_SQL + f""", {EV}, rq AS ({_REQUESTS.format('VARCHAR')} FROM customer),
+job AS (SELECT query_id, s.token, rq.k, rq.novel, coalesce(rq.min_support, 1) AS ms, s.has_keywords AND (s.pathway_mode = 'filter' OR rq.pathway_mode IS NOT DISTINCT FROM ' Filter') AS filt, s.min_gene_sets AS least FROM s JOIN rq USING (query_id)),
+ask AS (SELECT DISTINCT token, novel, ms, filt, least FROM job),
+hit AS (SELECT a.*, ev.mirna_name, ev.gene_symbol, ev.gene_pathway_hits AS hits, CASE WHEN token NOT LIKE '%miR%' THEN 0 WHEN token LIKE '%-3p' THEN CASE lower(mirna_name) WHEN lower(token) THEN 0 WHEN replace(lower(token), '-3p', '') THEN 1 END
+    ELSE CASE lower(replace(mirna_name, 'hsa-', '')) WHEN lower(token) || '-5p' THEN 0 WHEN lower(token) THEN 1 WHEN lower(token) || '-3p' THEN 2 END END AS tier
+    FROM ask a JOIN ev ON (CASE WHEN token LIKE '%miR%' THEN lower(replace(mirna_name, 'hsa-', '')) LIKE replace(replace(lower(token), 'hsa-', ''), '-3p', '') || '%' ELSE gene_symbol = token END)
+    AND (NOT a.novel OR mirtarbase_pos = 0) AND (a.ms <= 0 OR support_count >= a.ms)),
+best AS (SELECT token, novel, ms, filt, least, min(tier) AS tier FROM hit WHERE tier IS NOT NULL GROUP BY ALL),
+pair AS (SELECT token, novel, ms, filt, least, mirna_name, gene_symbol FROM hit JOIN best USING (token, novel, ms, filt, least, tier) WHERE gene_symbol IS NOT NULL GROUP BY ALL HAVING NOT filt OR max(hits) >= least),
+n AS (SELECT token, novel, ms, filt, least, count(*) AS n FROM pair GROUP BY ALL)"""
+
+
+@query(_CHAIN_SQL + """ SELECT query_id, 'done' AS status, CAST(least(job.k, coalesce(n.n, 0)) AS BIGINT) AS n_pairs, TRUE AS has_prompt, CASE WHEN CAST(query_id AS INT) % 2 = 0 THEN 'answer to question ' || query_id END AS summary, CAST(NULL AS VARCHAR) AS error
+FROM job LEFT JOIN n USING (token, novel, ms, filt, least) UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'error', NULL, FALSE, NULL, 'response holds no JSON object' FROM customer WHERE c_custkey % 6 = 3""")
+def job_chain(spark, sf_dir):
+    """Requests and planner replies of all customers to stored documents, read back from the sink."""
+    path = _shared(spark, "documents")
+    J.write_documents(_chain(spark, sf_dir), path)
+    docs = spark.read.schema("query_id string, document string").json(path)
+    v = docs.select("query_id", F.parse_json("document").alias("v"))
+    text = lambda p: F.try_variant_get("v", p, "string")
+    return v.select("query_id", text("$.status").alias("status"), F.when(text("$.status") == "done", F.size(F.try_variant_get("v", "$.shortlist", "array<variant>"))).cast("long").alias("n_pairs"), text("$.bundle.user_prompt").isNotNull().alias("has_prompt"), text("$.answer.summary").alias("summary"), text("$.error").alias("error"))
+
+
+@query("""SELECT substr(sha256('{"question":"question ' || c_custkey || '","novel":' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"k":' || c_custkey % 7 || ',"min_support":' || CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 3 END ||
+',"require_binding_evidence":false,"require_expression":false,"pathway_mode":"' || CASE c_custkey % 3 WHEN 0 THEN ' Filter' WHEN 1 THEN 'other' ELSE 'auto' END || '"}'), 1, 16) AS query_id, 'question ' || c_custkey AS question FROM customer""")
+def request_ids(spark, sf_dir):
+    rows = _customers(spark, sf_dir, _REQUESTS.format("STRING") + " FROM customer").drop("query_id")
+    return S.request_defaults(rows).select("query_id", "question")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS query_id, CASE WHEN c_custkey % 3 = 0 THEN 'question is empty' WHEN c_custkey % 3 = 1 THEN 'no mirna, gene or query_token' END AS error FROM customer WHERE c_custkey % 3 < 2")
+def empty_questions(spark, sf_dir):
+    rows = _customers(spark, sf_dir, """SELECT CAST(c_custkey AS STRING) AS query_id, CASE WHEN c_custkey % 3 = 0 THEN ' \t' ELSE 'q' END AS question, CASE WHEN c_custkey % 3 = 1 THEN '{"mirna":""}' ELSE '{"gene":"A"}' END AS response FROM customer""")
+    return S.split_rejects(S.normalise_specs(rows))[1]
+
+
+@query(f"""WITH t AS (SELECT l_suppkey % 50 AS s, {_TISSUES} AS tissues, l_linenumber % 2 AS encori, {_ROW} FROM lineitem), g AS (SELECT s, max(encori) AS encori FROM t GROUP BY s),
+r AS (SELECT s, tissues, row_number() OVER (PARTITION BY s ORDER BY (tissues IS NULL), {_ROW}) AS n FROM t)
+SELECT 'G' || s AS name, 'support_count=' || encori || '; ENCORI(CLIP_sum=0, sites=0)' AS evidence, 'ENCORI tissues: ' || replace(nullif(tissues, ''), '|', ', ') AS notes FROM r JOIN g USING (s) WHERE n = 1""")
+def card_notes(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem").selectExpr("concat('G', l_suppkey % 50) AS gene_symbol", f"{_TISSUES} AS text", "CAST(l_linenumber % 2 AS INT) AS encori", f"struct({_ROW}) AS row_ord")
+    df = df.withColumn("tissues", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", r"\|")))
+    one = df.groupBy("gene_symbol").agg(F.max("encori").alias("support_encori"), F.max("encori").alias("support_count"), first_nonnull(df, "tissues").alias("cellline_tissue_set")).withColumn("mirna_name", F.lit(None).cast("string"))
+    return make_cards(one).select("name", "evidence", "notes")
+
+
+@query(f"SELECT query_id, '{P.SYSTEM}' AS system_prompt, novel, cohort, CAST(count(gene_symbol) AS BIGINT) AS n_cards FROM ({_batch_sql('SELECT q.query_id, q.novel, q.cohort, top.gene_symbol FROM q LEFT JOIN top USING (query_id)')}) GROUP BY ALL")
+def bundle_meta(spark, sf_dir):
+    """Prompts from a shortlist by a builder of one's own, with the specification in the bundle."""
+    builder = lambda short: short.select("query_id", "rank", F.col("gene_symbol").alias("name"), F.lit("e").alias("evidence"), F.lit(None).cast("string").alias("notes"))
+    out = P.prompts(batch(spark).select("query_id", "novel", "cohort"), shortlist=_ranked(spark, sf_dir), card_builder=builder)
+    return out.select("query_id", "system_prompt", "meta.novel", "meta.cohort", F.regexp_count("user_prompt", F.lit("Candidate: ")).cast("long").alias("n_cards"))
+
+
+@query(_COLLAPSED_SQL + """ SELECT mirna_name, gene_symbol, round(support_count + 0.7 * coalesce(mirdb_best_score, 0) / 100.0, 6) AS retrieval_score FROM pair""")
+def absent_columns(spark, sf_dir):
+    """A table with few of the optional columns: absent parts count nothing, whatever the cohort."""
+    df = evidence(spark, sf_dir).select("mirna_name", "gene_symbol", "support_count", "mirdb_best_score")
+    return with_scores(collapse_pairs(df), "BRCA", F.lit(True)).select("mirna_name", "gene_symbol", F.round("retrieval_score", 6).alias("retrieval_score"))

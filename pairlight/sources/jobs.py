@@ -46,8 +46,9 @@ def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def error_records(rejects: DataFrame) -> DataFrame:
-    """Rejected inputs as job records."""
-    return rejects.select("query_id", F.to_json(F.struct(F.lit("error").alias("status"), "error")).alias("document"))
+    """Rejected or failed inputs as job records, with the traceback where there is one."""
+    fields = [F.lit("error").alias("status"), *(c for c in ("error", "traceback") if c in rejects.columns)]
+    return rejects.select("query_id", F.to_json(F.struct(*fields)).alias("document"))
 
 
 def latest_status(log: DataFrame, ids: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from traceback import format_exc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pairlight.columns import strip
 from pairlight.plans.specs import REQUEST_SCHEMA, request_defaults
 
 
@@ -17,23 +19,42 @@ def read_requests(spark: SparkSession, folder: str, schema: str = REQUEST_SCHEMA
 
 
 def status_rows(queries: DataFrame, status: str, seq: int) -> DataFrame:
-    return queries.select("query_id", F.lit(status).alias("status"), F.lit(seq).cast("long").alias("seq"))
+    """Log entries; error and traceback are those of the rows, where they have any."""
+    told = [F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c) for c in ("error", "traceback")]
+    return queries.select("query_id", F.lit(status).alias("status"), F.lit(seq).cast("long").alias("seq"), *told)
+
+
+def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that can be answered, and those that can't with the reason in ``error``."""
+    reason = F.when(strip(F.coalesce("question", F.lit(""))) == "", "question is empty").when(F.col("k") < 0, "k is negative")
+    told = requests.withColumn("error", reason)
+    return told.where("error IS NULL").drop("error"), told.where("error IS NOT NULL")
 
 
 def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results: str, log: str, checkpoint: str, once: bool = True, every: str = "10 seconds") -> StreamingQuery:
     """Answer each micro-batch by ``answer`` (requests to result rows) and append to the status log.
 
-    Results and log entries of a batch go to a folder of their own that is
-    overwritten, so a replay of the batch after a failure writes the same rows
-    and adds none.
+    Unusable requests get an error entry.  If ``answer`` fails, every request of
+    the batch gets one, with the message and the traceback, and the stream goes
+    on, so that a poisonous batch isn't tried for ever.  Results and log entries
+    of a batch go to a folder of their own that is overwritten, so a replay of
+    the batch after a failure writes the same rows and adds none.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = request_defaults(batch)
-        start = 4 * batch_id
-        status_rows(batch, "queued", start).unionByName(status_rows(batch, "running", start + 1)).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}/part=begin")
-        answer(batch).write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
-        status_rows(batch, "done", start + 2).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}/part=end")
+        batch = request_defaults(batch).persist()  # read once for all that follows
+        start, at = 4 * batch_id, f"{log}/batch_id={batch_id}"
+        good, bad = split_requests(batch)
+        begun = status_rows(batch, "queued", start).unionByName(status_rows(good, "running", start + 1)).unionByName(status_rows(bad, "error", start + 2))
+        begun.write.mode("overwrite").parquet(f"{at}/part=begin")
+        try:
+            answer(good).write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+            ended = status_rows(good, "done", start + 2)
+        except Exception as e:
+            failed = good.withColumns({"error": F.lit(str(e)[:2000]), "traceback": F.lit(format_exc()[:20_000])})
+            ended = status_rows(failed, "error", start + 2)
+        ended.write.mode("overwrite").parquet(f"{at}/part=end")
+        batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

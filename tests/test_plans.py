@@ -90,3 +90,22 @@ def test_stream_replays_add_nothing(spark, tmp_path):
     assert spark.read.parquet(out).count() == 6
     status = J.latest_status(spark.read.parquet(log), spark.range(7).selectExpr("CAST(id AS STRING) AS query_id"))
     assert sorted((r.query_id, r.status) for r in status.collect()) == [*((str(i), "done") for i in range(6)), ("6", "unknown")]
+
+
+def test_failing_answers_are_told_and_the_stream_goes_on(spark, tmp_path):
+    box, out, log, state = (str(tmp_path / n) for n in ("in", "out", "log", "state"))
+    spark.createDataFrame([("1", "q", 5), ("2", " ", 5), ("3", "q", -1)], "query_id string, question string, k int").coalesce(1).write.json(box)
+    broken = lambda df: df.select(F.raise_error(F.lit("no such thing")).alias("x"))
+    Q.serve(Q.read_requests(spark, box), broken, out, log, state).awaitTermination()
+    rows = {r.query_id: r for r in spark.read.parquet(log).where("status = 'error'").collect()}
+    assert "no such thing" in rows["1"].error and "Traceback" in rows["1"].traceback
+    assert (rows["2"].error, rows["3"].error) == ("question is empty", "k is negative")
+    ids = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "query_id string")
+    assert {r.query_id: r.status for r in J.latest_status(spark.read.parquet(log), ids).collect()} == {"1": "error", "2": "error", "3": "error", "4": "unknown"}
+
+
+def test_cohort_of_old_replies(spark):
+    rows = [("a", "q", '{"mirna":"miR-1","tcga":"coad"}'), ("b", "q", '{"mirna":"miR-1","tcga":"coad","cancer":{"tcga":"brca"}}'), ("c", "q", '{"mirna":"miR-1","tcga":"coad","cancer":{}}'), ("d", "q", '{"mirna":"miR-1","tcga":"coad","cancer":"x","k":true,"novel":"false"}')]
+    got = {r.query_id: r for r in S.normalise_specs(spark.createDataFrame(rows, "query_id string, question string, response string")).collect()}
+    assert {k: r.cohort for k, r in got.items()} == {"a": "COAD", "b": "BRCA", "c": None, "d": "COAD"}
+    assert got["d"].k == 1 and got["d"].novel is False

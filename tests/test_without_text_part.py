@@ -3,12 +3,17 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def test_rest_works_without_the_text_part(tmp_path):
-    """The entry module and the evidence queries need neither pairlight/llm nor corpus_pipeline.py."""
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_rest_works_without_the_text_part(tmp_path, pipeline):
+    """The entry module and the evidence queries need no pairlight/llm, whether corpus_pipeline.py is still there or not."""
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if pipeline and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     shutil.copytree(ROOT / "pairlight", tmp_path / "pairlight", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'topk_batch' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})

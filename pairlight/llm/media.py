@@ -109,10 +109,10 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target pixel's area, fractions included, from one integral image."""
+    """Mean over each target pixel's area, fractions included, from an integral image, of which only the rows at the edges are kept."""
     h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    total[1:, 1:] = image.astype(np.float64).cumsum(0).cumsum(1)
+    if not h or not w:
+        raise ValueError("empty image")
 
     def cut(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(parts + 1) * size / parts
@@ -121,8 +121,14 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
     ly, fy = cut(h, height)
     lx, fx = cut(w, width)
-    rows = total[ly] * (1 - fy)[:, None] + total[ly + 1] * fy[:, None]
-    both = rows[:, lx] * (1 - fx) + rows[:, lx + 1] * fx
+    # The integral image at the target's row edges only: column sums above them, then sums along each of these rows.
+    need = np.unique(np.concatenate([ly, ly + 1]))
+    bands = np.add.reduceat(image, need[need < h], axis=0, dtype=np.int64)
+    above = np.concatenate([np.zeros((1, w)), bands.cumsum(0)])
+    rows = above[np.searchsorted(need, ly)] * (1 - fy)[:, None] + above[np.searchsorted(need, ly + 1)] * fy[:, None]
+    total = np.zeros((height + 1, w + 1))
+    total[:, 1:] = rows.cumsum(1)
+    both = total[:, lx] * (1 - fx) + total[:, lx + 1] * fx
     sums = both[1:, 1:] - both[:-1, 1:] - both[1:, :-1] + both[:-1, :-1]
     return sums / ((h / height) * (w / width))
 
@@ -178,3 +184,35 @@ def image_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = ["_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "media_bytes", "media_sha256", "tile", "feature"]
     schema = f"_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, media_bytes long, media_sha256 string, tile binary, feature string"
     return src.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+
+def decode_images(images: DataFrame, id_col: str = "id", bytes_col: str = "bytes", tile: int = 16) -> DataFrame:
+    """Describe a column of Netpbm and BMP files: id, height, width, bands, tile (NPY bytes), feature (difference hash), error.
+
+    A null, empty, broken or unknown image is a row of nulls with the reason in
+    ``error``; for all others that is null.  Repeated and null ids keep their own
+    rows, an empty table gives an empty one, other columns play no part.  Works
+    image by image without a shuffle.
+    """
+
+    def describe(data: bytes | None) -> tuple:
+        try:
+            if not data:
+                raise ValueError("no image")
+            image = decode(data)
+            return image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy_tile(image, tile), difference_hash(image), None
+        except (ValueError, IndexError, OverflowError) as e:
+            return None, None, None, None, None, str(e) or "broken image"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(len(batch) * 16_000_000 / max(1, batch.nbytes)))  # few large images at once
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                cols = zip(*(describe(x.as_py()) for x in part.column(1)), strict=True)
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["_id", "height", "width", "bands", "tile", "feature", "error"])
+
+    src = images.select(F.col(id_col).alias("_id"), F.col(bytes_col).cast("binary").alias("_bytes"))
+    schema = f"_id {src.schema['_id'].dataType.simpleString()}, height int, width int, bands int, tile binary, feature string, error string"
+    return src.mapInArrow(run, schema).withColumnRenamed("_id", id_col)

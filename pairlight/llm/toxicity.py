@@ -144,42 +144,48 @@ class Net:
         pooled = np.maximum(pooled, 0)
         return pooled @ self.out + self.bias, pooled, ids, acts, starts
 
+    def gradient(self, docs: list[np.ndarray], labels: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], np.ndarray, float]:
+        """Of the mean logistic loss: rows and their gradients for each table, filters, output weights, bias.  It flows through each layer's largest window only."""
+        n = self.filters[0].shape[2]
+        logit, pooled, ids, acts, starts = self.forward(docs)
+        err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels).astype(np.float32) / len(docs)
+        grads = [np.zeros_like(p) for p in self.filters]
+        touched: list[tuple[np.ndarray, np.ndarray]] = []
+        ends = np.append(starts[1:], len(acts[0]))
+        for w, (z, layer) in enumerate(zip(acts, LAYERS, strict=True)):
+            f = self.filters[layer]
+            g = err[:, None] * self.out[w * n : (w + 1) * n] * (pooled[:, w * n : (w + 1) * n] > 0)
+            at = np.stack([s + z[s:e].argmax(0) for s, e in zip(starts, ends, strict=True)])  # text x filter
+            for j in range(len(f)):
+                x = self._vectors(ids, at + j)  # text x filter x dim
+                grads[layer][j] += np.einsum("bfd,bf->df", x, g)
+                touched.append(((at + j).reshape(-1), (g[:, :, None] * f[j].T[None]).reshape(-1, f.shape[1])))
+        spots, flow = (np.concatenate(t) for t in zip(*touched, strict=True))
+        tables = []
+        for k in range(KINDS):
+            rows, where = np.unique(ids[k][spots], return_inverse=True)
+            g = np.zeros((len(rows), flow.shape[1]), np.float32)
+            np.add.at(g, where, flow)
+            g[rows == 0] = 0
+            tables.append((rows, g))
+        return tables, grads, pooled.T @ err, float(err.sum())
+
     def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 3) -> None:
-        """Adagrad on the logistic loss; the gradient flows through each layer's largest window only."""
+        """Adagrad on the logistic loss."""
         rng = np.random.default_rng(seed)
         sums = [np.full_like(p, 1e-2) for p in self.params()]
-        n = self.filters[0].shape[2]
         for _ in range(epochs):
             order = rng.permutation(len(docs))
             for lo in range(0, len(order), batch):
                 part = order[lo : lo + batch]
-                own = [docs[i] for i in part]
-                logit, pooled, ids, acts, starts = self.forward(own)
-                err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]).astype(np.float32) / len(part)
-                grads = [np.zeros_like(p) for p in self.filters]
-                touched: list[tuple[np.ndarray, np.ndarray]] = []
-                ends = np.append(starts[1:], len(acts[0]))
-                for w, (z, layer) in enumerate(zip(acts, LAYERS, strict=True)):
-                    f = self.filters[layer]
-                    g = err[:, None] * self.out[w * n : (w + 1) * n] * (pooled[:, w * n : (w + 1) * n] > 0)
-                    at = np.stack([s + z[s:e].argmax(0) for s, e in zip(starts, ends, strict=True)])  # text x filter
-                    for j in range(len(f)):
-                        x = self._vectors(ids, at + j)  # text x filter x dim
-                        grads[layer][j] += np.einsum("bfd,bf->df", x, g)
-                        touched.append(((at + j).reshape(-1), (g[:, :, None] * f[j].T[None]).reshape(-1, f.shape[1])))
-                spots, flow = (np.concatenate(t) for t in zip(*touched, strict=True))
-                step_out = pooled.T @ err
-                for k in range(KINDS):
-                    rows, where = np.unique(ids[k][spots], return_inverse=True)
-                    g = np.zeros((len(rows), flow.shape[1]), np.float32)
-                    np.add.at(g, where, flow)
-                    g[rows == 0] = 0
+                tables, grads, step_out, step_bias = self.gradient([docs[i] for i in part], labels[part])
+                for k, (rows, g) in enumerate(tables):
                     sums[k][rows] += g * g
                     self.tables[k][rows] -= rate * g / np.sqrt(sums[k][rows])
                 for k, g in enumerate([*grads, step_out], KINDS):
                     sums[k] += g * g
                     self.params()[k][...] -= rate * g / np.sqrt(sums[k])
-                self.bias -= np.float32(rate * err.sum())
+                self.bias -= np.float32(rate * step_bias)
 
     def logits(self, docs: list[np.ndarray]) -> np.ndarray:
         return np.concatenate([self.forward(docs[i : i + 64])[0] for i in range(0, len(docs), 64)])

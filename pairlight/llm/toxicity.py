@@ -129,6 +129,8 @@ class Net:
             rows[at] = self.rows[kind].take(_hashes(whole, kind))
             ids.append(rows)
         x = self._vectors(ids, slice(None))
+        pads = np.ones(int(ends[-1]), bool)
+        pads[at] = False
         acts, tops = [], []
         for k, layer in enumerate(LAYERS):
             if k and layer == LAYERS[k - 1]:
@@ -138,6 +140,7 @@ class Net:
                 z = x[: int(ends[-1])] @ f[0]
                 for j in range(1, len(f)):
                     z += x[j : int(ends[-1]) + j] @ f[j]
+                z[pads] = 0  # a window that starts behind its text would reach into the next one
             acts.append(z)
             tops.append(np.maximum.reduceat(z, starts, axis=0))
         pooled = np.concatenate(tops, axis=1)

@@ -40,3 +40,9 @@ def test_toxic_rows_go(spark, sf):
     left = {r.doc_id for r in P.drop_toxic(spark, docs, sf).select("doc_id").collect()}
     assert len(toxic - left) >= len(toxic) / 2
     assert len(clean & left) >= 0.98 * len(clean)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id < 60").selectExpr("*", "1 AS `odd.name`", "2 AS _row", "3 AS _gone", "4 AS predicted")
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns

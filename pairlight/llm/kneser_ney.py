@@ -163,6 +163,8 @@ class Model:
 
 #: A word's row: its hash, its tokens, how many words follow it once, twice, more often, and how many come before it.
 _WORD_KINDS = {"hash": "u8", "count": "u8", "n1": "u8", "n2": "u8", "n3": "u8", "left": "u8"}
+#: What one part knows of a word: kinds of neighbours are at most its distinct pairs, so four bytes hold them.
+_SENT_KINDS = {"hash": "u8", "count": "u8", "n1": "u4", "n2": "u4", "n3": "u4", "left": "u4"}
 #: Counts take four bytes; those that need more stand in arrays of their own, and TOP in their place.
 _PAIR_KINDS = {"hash": "u8", "count": "u4"}
 _LARGE_KINDS = {"large_hash": "u8", "large_count": "u8"}
@@ -233,7 +235,7 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, blo
             zero = np.zeros(len(hw), np.int64)
             whole = [np.concatenate([hv, hw]), *(np.concatenate([x, zero]) for x in cols), np.concatenate([np.zeros(len(hv), np.int64), left])]
             step = np.uint64(-(-(1 << 64) // parts))
-            out = _packed(whole[0] // step, whole, parts, list(_WORD_KINDS.values()))
+            out = _packed(whole[0] // step, whole, parts, list(_SENT_KINDS.values()))
         times = np.array([np.count_nonzero(c == i) for i in (1, 2, 3, 4)], np.int64)
         note = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([times.tobytes()]), *(pa.array([b""], pa.binary()) for _ in range(5))], names=out.schema.names)
         return pa.Table.from_batches([out, note.cast(out.schema)])
@@ -243,7 +245,7 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, blo
 
     def add_words(t: pa.Table) -> pa.Table:
         k = int(t.column("part")[0].as_py())
-        h, *cols = _whole(t, list(_WORD_KINDS.values()))
+        h, *cols = _whole(t, list(_SENT_KINDS.values()))
         u, at = np.unique(h, return_inverse=True)
         sums = [_added(at, c, len(u)) for c in cols]
         _save(root, f"word-{k}", {name: x.astype(kind) for (name, kind), x in zip(_WORD_KINDS.items(), [u, *sums], strict=True)})

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from pairlight.llm.common import free, materialise, own
 
-#: Shortest candidate.
-LEAST = 16
+#: Shortest candidate, where nothing but its form speaks for it, and where a secret's name is set to it.
+LEAST, LEAST_NAMED = 16, 6
 _RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: A run is a candidate if it has a digit, a capital after a small letter, or capitals only.
 _ODD = r"[0-9]|[a-z][A-Z]|^[A-Z]+$"
@@ -23,46 +23,76 @@ FORMATS = {
     "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google_api_key": r"AIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"[rs]k_live_[0-9A-Za-z]{16,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{10,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)*",
 }
 NEAR_SECRET = "key|token|secret|passw|pwd|passphrase|auth|credential|bearer|apikey|private"
 NEAR_HARMLESS = "sha|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|phone|card|isbn|version|build|invoice|order|http|www"
 DICTIONARY = "the|and|ing|tion|ment|data|file|test|example|sample|image|page|index|config|user|name|value|string|number|class|module|python|build|version|debug|error|public|static|return|import|default|message|request|response|session|service|server|client|system|local|update|create|delete|sch|ung|eau|eux|que|cion"
 HARMLESS_PATH = "test|example|sample|mock|fixture|doc|vendor|lock"
+STAND_INS = r"^[<\[{$%*]|^(?:(.)\1+)$|(?i)^your|changeme|placeholder|redacted|example|\(|\.env"
 
-FEATURES = ["length", "digits", "capitals", "smalls", "signs", "changes", "letter_digit", "distinct", "vowel_pairs", "hex_only", "dictionary", "in_path", "harmless_path", "assigned", "near_secret", "near_harmless", "known_format"]
+_OPEN, _END = r"[\"'`(\[]{0,2}", r"[\"'`]?[,;.)\]}]*$"
+#: What a secret's name is set to: 'password = "..."', 'api_key: ...'.  The last word of the text it is sought in holds the value.
+_NAMED = rf"(?i)(?:{NEAR_SECRET})[A-Za-z0-9_.-]{{0,20}}[\"'`\])]{{0,2}}\s*[:=]+>?\s*{_OPEN}([^\s\"'`]{{{LEAST_NAMED},}}?){_END}"
+#: The password of an address: 'scheme://name:...@host'.
+_USERINFO = rf"://[^/\s:@]+:([^\s/@]{{{LEAST_NAMED},}})@"
+#: A text without this has no named value.
+_SET = rf"(?i)(?:{NEAR_SECRET})[A-Za-z0-9_.-]{{0,20}}[\"'`\])]{{0,2}}[\x20\x09-\x0D]*[:=]|://[^/\s:@]+:[^\s/@]+@"
+
+FEATURES = ["length", "digits", "capitals", "smalls", "signs", "changes", "letter_digit", "distinct", "vowel_pairs", "hex_only", "dictionary", "corpus_words", "in_path", "harmless_path", "assigned", "near_secret", "near_harmless", "userinfo", "stand_in", "known_format"]
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 500) -> list[str]:
+    """The ``most`` words of 4 to 20 letters that stand in most documents, ties by the word; counted over all whole texts."""
+    plain = F.filter(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}+/_=-]+"), lambda w: w.rlike(r"^\p{L}{4,20}$"))
+    counts = docs.select(F.explode(F.array_distinct(plain)).alias("w")).groupBy("w").count()
+    return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """Every run of at least LEAST key characters that isn't plain prose: doc_id, at (the word's place), candidate, word, before, after, path.
+    """Every value that may be a secret: doc_id, at (the word's place), candidate, word, before, after, path.
 
-    Words are parted by white space; ``before`` holds what precedes the run in
+    Candidates are runs of at least LEAST key characters that aren't plain prose,
+    and values of any signs of at least LEAST_NAMED characters that a secret's name
+    is set to (in the same word or the two before it) or that stand as the password of an address.
+    Words are parted by white space; ``before`` holds what precedes the candidate in
     its word and the two words before it.
     """
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
-    ws = docs.where(F.col(text_col).rlike(_RUN)).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(F.col(text_col), r"[\x20\x09-\x0D]+").alias("ws"))
-    hits = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (F.length(F.get("ws", i)) >= LEAST) & F.get("ws", i).rlike(_RUN))
+    text = F.col(text_col).cast("string")
+    ws = docs.where(text.rlike(_RUN) | text.rlike(_SET)).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+").alias("ws"))
+    long_run = lambda w: (F.length(w) >= LEAST) & w.rlike(_RUN)
+    named = lambda i: (F.length(F.get("ws", i)) >= LEAST_NAMED) & (F.get("ws", i).rlike("[:=]") | F.coalesce(F.get("ws", i - 1).rlike(r"[:=]>?[\"'`(\[]{0,2}$"), F.lit(False)))
+    hits = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: long_run(F.get("ws", i)) | named(i))
     # No filter on the hits, and an outer generator, which implies none: pushed down, it would split the text again for every word.
     found = ws.select("doc_id", "path", "ws", hits.alias("hits"))
     # Only the few words of interest leave the array, so that it isn't copied for each.
     near = F.transform("hits", lambda i: F.struct(i.alias("at"), F.get("ws", i).alias("word"), F.concat_ws(" ", F.get("ws", i - 2), F.get("ws", i - 1)).alias("prior"), F.get("ws", i + 1).alias("after")))
     rows = found.select("doc_id", "path", near.alias("near")).select("doc_id", "path", F.inline_outer("near")).where("at IS NOT NULL")
-    runs = rows.withColumn("candidate", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({_RUN})"), 1))))
     # 'password=...' is one run: the name before the sign belongs to the context.
-    name = F.regexp_extract("candidate", r"^([A-Za-z_-]{2,40}=)", 1)
-    runs = runs.withColumn("name", name).withColumn("candidate", F.expr("substring(candidate, length(name) + 1)"))
-    runs = runs.where((F.length("candidate") >= LEAST) & F.col("candidate").rlike(_ODD))
+    runs = F.transform(F.regexp_extract_all("word", F.lit(f"({_RUN})"), 1), lambda r: F.regexp_replace(r, r"^[A-Za-z_-]{2,40}=", ""))
+    runs = F.filter(runs, lambda r: (F.length(r) >= LEAST) & r.rlike(_ODD))
+    # A value that reaches back over the word's start is another word's.
+    value = F.regexp_extract(F.concat_ws(" ", "prior", "word"), _NAMED, 1)
+    values = F.filter(F.array(value, F.regexp_extract("word", _USERINFO, 1)), lambda v: (v != "") & F.contains(F.col("word"), v))
+    rows = rows.select("doc_id", "path", "at", "word", "prior", "after", values.alias("values"), runs.alias("runs"))
+    # A run within a longer value is no candidate of its own.
+    alone = F.filter("runs", lambda r: ~F.exists("values", lambda v: F.contains(v, r) & (v != r)))
+    rows = rows.withColumn("candidate", F.explode(F.array_distinct(F.concat("values", alone))))
     lead = F.expr("substring(word, 1, greatest(locate(candidate, word) - 1, 0))")
-    return runs.select("doc_id", "at", "candidate", "word", F.concat_ws(" ", "prior", lead).alias("before"), "after", "path")
+    return rows.select("doc_id", "at", "candidate", "word", F.concat_ws(" ", "prior", lead).alias("before"), "after", "path")
 
 
-def _features(found: DataFrame) -> DataFrame:
+def _features(found: DataFrame, words: list[str]) -> DataFrame:
+    known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     c, low = F.col("candidate"), F.lower("candidate")
     before, path = F.lower(F.coalesce("before", F.lit(""))), F.lower(F.coalesce("path", F.lit("")))
     n = F.length(c).cast("double")
     count = lambda pattern, of=c: F.regexp_count(of, F.lit(pattern)).cast("double")
     flag = lambda b: F.coalesce(b, F.lit(False)).cast("double")
     covered = n - F.length(F.regexp_replace(low, DICTIONARY, ""))
+    parts = F.transform(F.regexp_extract_all(c, F.lit(r"(\p{Lu}?\p{Ll}+|\p{Lu}+)"), 1), F.lower)
+    in_words = F.aggregate(F.filter(parts, lambda w: F.array_contains(known, w)), F.lit(0), lambda a, w: a + F.length(w))
     values = {
         "length": n,
         "digits": count("[0-9]") / n,
@@ -75,22 +105,29 @@ def _features(found: DataFrame) -> DataFrame:
         "vowel_pairs": count("[aeiou](?=[bcdfghjklmnpqrstvwxyz])|[bcdfghjklmnpqrstvwxyz](?=[aeiou])", low) / n,
         "hex_only": flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "dictionary": covered / n,
+        "corpus_words": in_words / n,
         "in_path": flag(F.col("word").rlike(r"://|^www\.|/[^/]+/|\.[a-z]{2,4}(/|$)|@")),
         "harmless_path": flag(path.rlike(HARMLESS_PATH)),
-        "assigned": flag(before.rlike(r"[=:]\s*[\"']?\s*$")),
+        "assigned": flag(before.rlike(r"[=:]>?\s*[\"'`(\[]{0,2}\s*$")),
         "near_secret": flag(before.rlike(NEAR_SECRET)),
         "near_harmless": flag(before.rlike(NEAR_HARMLESS)),
+        "userinfo": flag(F.col("word").rlike(_USERINFO)),
+        "stand_in": flag(c.rlike(STAND_INS)),
         "known_format": flag(c.rlike("|".join(f"^(?:{p})$" for p in FORMATS.values()))),
     }
     return found.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in values.items()})
 
 
-def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
+def labelled_findings(spark: SparkSession, words: list[str], each: int = 150) -> DataFrame:
     """Labelled findings by rule, for want of a reviewed table: ``each`` rows of every kind, label 1 for secrets.
 
-    Columns candidate, word, before, path and label; a reviewed table of the same
+    Names, prose values and the words before a candidate are made of the corpus's own
+    frequent ``words``.  Columns candidate, word, before, path and label; a reviewed table of the same
     columns can take its place.
     """
+    words = words or DICTIONARY.split("|")
+    own_word = lambda salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(F.lit(salt), "i"), F.lit(len(words))) + 1).cast("int"))
+    prose = lambda salt: F.concat_ws(" ", own_word(salt), own_word(salt + "2"), F.lit(""))
     h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("i").cast("string")), 256)
     b64 = lambda salt: F.regexp_replace(F.base64(F.unhex(h(salt))), "=+$", "")
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.pmod(F.xxhash64("i"), F.lit(len(v))) + 1).cast("int"))
@@ -98,8 +135,22 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     secret = pick("api_key", "token", "client_secret", "password", "auth_token", "access key", "the private key", "secret")
     sign = pick(" = ", "=", ": ", ' = "', "='")
     digits = F.regexp_replace(F.translate(h("d"), "abcdef", "123456"), "^0", "7")
-    words = pick("responseMessageHandler2", "user-session-service-config1", "test_example_module_v2", "publicStaticReturnValue", "defaultRequestNumber10", "theandingtionment-2024", "index_page_image_file_01", "SystemLocalUpdateClient")
+    names = pick("responseMessageHandler2", "user-session-service-config1", "test_example_module_v2", "publicStaticReturnValue", "defaultRequestNumber10", "theandingtionment-2024", "index_page_image_file_01", "SystemLocalUpdateClient")
+    joint = pick("_", "-", "/")
+    end = pick("!", "&3", "#", "$7", "@1", "", "*", "?9")
+    mixed = F.concat(b64("p").substr(1, 4), pick("!", "@", "#", "%", "&", "-", "_", ""), cut(b64("q"), 2, 9), h("r").substr(1, 1))
+    spelled = F.concat(F.initcap(F.translate(own_word("s"), "aeio", "a3i0")), h("t").substr(1, 1), F.regexp_extract(digits, "^(.{2})", 1), end)
+    name = F.concat(pick("api_key", "token", "password", "key", "secret", "auth", "Password", "credentials"), sign)
     kinds = [
+        (1, mixed, name, F.lit("src/app")),
+        (1, spelled, name, F.lit("data")),
+        (1, mixed, pick("postgres://app:", "https://user:", "ftp://root:", "amqp://svc:"), F.lit("src/app")),
+        (0, own_word("u"), name, F.lit("data")),
+        (0, F.translate(h("v").substr(1, 9), "0123456789", "eanirstoul"), name, F.lit("data")),
+        (0, pick("required", "undefined", "yourpassword", "<password>", "${TOKEN}", "changeme", "********", "process.env.KEY", "get_token()", "placeholder", "xxxxxxxx", "{{secret}}"), name, F.lit("src/app")),
+        (0, F.date_format(F.date_add(F.lit("2015-01-01"), F.col("i").cast("int") * 23), "yyyy-MM-dd"), name, F.lit("log")),
+        (0, F.concat(own_word("w"), joint, own_word("x"), joint, pick("2", "v3", "10", "2024")), F.concat(prose("y"), pick("", "", "key = ", "token: ")), F.lit("src/app")),
+        (0, F.concat(own_word("w"), F.initcap(own_word("x")), F.initcap(own_word("z")), pick("", "2", "10")), prose("y"), F.lit("data")),
         (1, cut(h("a"), 18, 64), F.concat(secret, sign), F.lit("src/app")),
         (1, cut(b64("b"), 20, 43), F.concat(secret, sign), F.lit("src/app")),
         (1, F.concat(F.lit("AKIA"), F.upper(F.translate(h("c").substr(1, 16), "0189", "ghjk"))), pick("see the ", "id ", "", "export X="), F.lit("src/app")),
@@ -108,8 +159,8 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (0, cut(h("f"), 32, 64), pick("commit ", "sha256: ", "md5 = ", "checksum ", "etag: ", "digest="), F.lit("docs")),
         (0, F.concat_ws("-", h("g").substr(1, 8), h("g").substr(9, 4), h("g").substr(13, 4), h("g").substr(17, 4), h("g").substr(21, 12)), pick("uuid ", "id: ", "request ", "guid = "), F.lit("log")),
         (0, digits.substr(1, 16), pick("card ", "order ", "number ", "the ", "of "), F.lit("data")),
-        (0, words, pick("class ", "import ", "see ", "the ", "token ", "key = "), F.lit("src/app")),
-        (0, F.concat(words, F.lit("/"), h("k").substr(1, 8)), pick("https://host/", "www.host/", "open /usr/lib/", "/var/"), F.lit("docs")),
+        (0, names, pick("class ", "import ", "see ", "the ", "token ", "key = "), F.lit("src/app")),
+        (0, F.concat(names, F.lit("/"), h("k").substr(1, 8)), pick("https://host/", "www.host/", "open /usr/lib/", "/var/"), F.lit("docs")),
         (0, F.concat(F.upper(F.translate(h("m").substr(1, 20), "0123456789", "thenadsior"))), pick("the ", "of ", "and ", ""), F.lit("data")),
         (0, F.concat(F.lit("example"), h("o").substr(1, 12)), F.concat(secret, sign), F.lit("test/fixture")),
     ]
@@ -119,12 +170,13 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         part = base.select(c.alias("candidate"), before.alias("before"), path.alias("path"), F.lit(label).alias("label"))
         out = part if out is None else out.unionByName(part)
     last = F.regexp_extract("before", r"(\S*)$", 1)
-    return out.withColumn("word", F.concat(last, "candidate")).coalesce(1)
+    host = F.when(F.col("before").contains("://") & ~F.col("candidate").contains("/") & (F.col("label") == 1), F.lit("@host")).otherwise(F.lit(""))
+    return out.withColumn("word", F.concat(last, "candidate", host)).coalesce(1)
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
+def train(findings: DataFrame, words: list[str], trees: int = 24, depth: int = 8) -> RandomForestClassificationModel:
     """A random forest on labelled findings (candidate, word, before, path, label)."""
-    known = materialise(_features(findings).select(*FEATURES, F.col("label").cast("double").alias("label")), "secret-findings")
+    known = materialise(_features(findings, words).select(*FEATURES, F.col("label").cast("double").alias("label")), "secret-findings")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(known).select("v", "label")
     return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=11).fit(rows)
 
@@ -141,10 +193,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
     Null and empty texts and texts without a candidate give no row; a candidate
     that occurs several times in a text gives a row for each word it stands in.
-    A null path counts as no path.  No shuffle: each task scans its own texts.
+    A null path counts as no path.  Repeated and null ids keep their own rows; an empty table gives an
+    empty one.  The corpus's frequent words are counted first; the scan itself shuffles
+    nothing: each task scans its own texts.
     """
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(_features(candidates(docs, id_col, text_col, path_col)))
+    words = frequent_words(docs, text_col)
+    model = train(labelled_findings(docs.sparkSession, words) if findings is None else findings, words)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(_features(candidates(docs, id_col, text_col, path_col), words))
     scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "at", "candidate", _rule().alias("rule"), F.col("length").cast("long").alias("length"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 

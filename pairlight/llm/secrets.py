@@ -44,7 +44,8 @@ FEATURES = ["length", "digits", "capitals", "smalls", "signs", "changes", "lette
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 500) -> list[str]:
     """The ``most`` words of 4 to 20 letters that stand in most documents, ties by the word; counted over all whole texts."""
-    plain = F.filter(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}+/_=-]+"), lambda w: w.rlike(r"^\p{L}{4,20}$"))
+    edge = r"[\p{L}\p{N}+/_=-]"
+    plain = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(rf"(?<!{edge})(\p{{L}}{{4,20}})(?!{edge})"), 1)
     counts = docs.select(F.explode(F.array_distinct(plain)).alias("w")).groupBy("w").count()
     return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()]
 
@@ -60,7 +61,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     text = F.col(text_col).cast("string")
-    ws = docs.where(text.rlike(_RUN) | text.rlike(_SET)).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+").alias("ws"))
+    sign = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))  # most texts have none and need no search for names
+    ws = docs.where(text.rlike(_RUN) | (sign & text.rlike(_SET))).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+").alias("ws"))
     long_run = lambda w: (F.length(w) >= LEAST) & w.rlike(_RUN)
     named = lambda i: (F.length(F.get("ws", i)) >= LEAST_NAMED) & (F.get("ws", i).rlike("[:=]") | F.coalesce(F.get("ws", i - 1).rlike(r"[:=]>?[\"'`(\[]{0,2}$"), F.lit(False)))
     hits = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: long_run(F.get("ws", i)) | named(i))

@@ -276,6 +276,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     sample = chosen.mapInArrow(tokens, "h long, y int, d binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     docs = [unpack(d) for d in sample.column("d").to_pylist()]
     y = np.array(sample.column("y").to_pylist(), int)
+    del sample  # its copies of the tokens would stay in the driver throughout training
     if not len(y) or y.min() == y.max():
         return None
     return learn(docs, y)

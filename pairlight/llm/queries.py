@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import kneser_ney, langid, linededup, media, mixing, neardup, packing, quality, secrets, toxicity
+from pairlight.llm import centroids, kneser_ney, langid, linededup, media, mixing, neardup, packing, quality, secrets, toxicity, vectordup
 from pairlight.llm.common import id_bucket, table
 
 
@@ -59,10 +59,36 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_minhash_neardup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_toxicity, op8_media_columns, op9_secret_scan, op10_language_id)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, salt="3")
+
+
+def op12_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.link(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_minhash_neardup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_toxicity, op8_media_columns, op9_secret_scan, op10_language_id, op11_centroid_clustering, op12_embedding_neardup)}
 
 _SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds written out one after the other; vectors and centroids have a row a component."""
+    usable = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64"
+    near = lambda r: f"""d{r} AS MATERIALIZED (SELECT vec_id, c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{r} c USING (j) GROUP BY vec_id, c),
+a{r} AS MATERIALIZED (SELECT vec_id, min(d) AS d, min(c) AS c FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS low FROM d{r}) WHERE d = low GROUP BY vec_id)"""
+    mean = lambda r: f"c{r + 1} AS MATERIALIZED (SELECT c.c, c.j, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{r} c LEFT JOIN (SELECT c, j, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY c, j) m ON m.c = c.c AND m.j = c.j)"
+    steps = ",\n".join(f"{near(r)},\n{mean(r)}" for r in range(rounds))
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS x, generate_subscripts(embedding, 1) AS j FROM embeddings WHERE {usable}),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v) QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT CAST(c AS INT) AS c, j, x FROM s JOIN v USING (vec_id)),
+{steps},
+{near(rounds)},
+h AS (SELECT c, sha256(string_agg(x, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (c)"""
+
+
 #: The others train, sample, pack or hash by functions that DuckDB lacks; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op2_line_dedup": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
@@ -84,4 +110,10 @@ links AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (na + nb - shared)),
 reach(a, b) AS (SELECT rep, rep FROM g UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 c AS (SELECT a AS rep, min(b) AS comp FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.comp, s.doc_id) AS component_id, s.doc_id = coalesce(c.comp, s.doc_id) AS kept FROM s LEFT JOIN g ON list_sort(s.s) = g.s LEFT JOIN c ON c.rep = g.rep""",
+    "op11_centroid_clustering": _clusters_sql(),
+    "op12_embedding_neardup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS comp FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(comp, vec_id) AS component_id, vec_id = coalesce(comp, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
 }

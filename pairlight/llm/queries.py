@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import centroids, kneser_ney, langid, linededup, media, mixing, neardup, packing, quality, secrets, toxicity, vectordup
+from pairlight.llm import centroids, kneser_ney, langid, linededup, media, mixing, neardup, packing, quality, secrets, toxicity, trie, vectordup
 from pairlight.llm.common import id_bucket, table
 
 
@@ -67,7 +67,12 @@ def op12_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.link(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_minhash_neardup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_toxicity, op8_media_columns, op9_secret_scan, op10_language_id, op11_centroid_clustering, op12_embedding_neardup)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.trie(trie.rebuild(trie.sequences(table(spark, sf_dir, "conversations")), family=20, most=4))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_minhash_neardup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_toxicity, op8_media_columns, op9_secret_scan, op10_language_id, op11_centroid_clustering, op12_embedding_neardup, op13_prefix_trie)}
 
 _SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -116,4 +121,15 @@ links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON
 reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 c AS (SELECT a, min(b) AS comp FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(comp, vec_id) AS component_id, vec_id = coalesce(comp, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    # The reduction is CRC-32: bit by bit over the id's digits.
+    "op13_prefix_trie": """WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list({'i': md5(length(role) || ':' || role || text), 'w': len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))} ORDER BY turn NULLS FIRST) AS own FROM t GROUP BY c),
+z AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM s),
+r AS (SELECT z.c, coalesce(b.own, [])[1:z.h] || z.own[z.h + 1:] AS turns FROM z LEFT JOIN s b ON b.c = z.c - z.c % 20),
+p AS (SELECT c, d, CASE WHEN d = 0 THEN '' ELSE array_to_string(list_transform(turns[1:d], lambda x: x.i), '') END AS path, CASE WHEN d = 0 THEN 0 ELSE turns[d].w END AS w, d = len(turns) AS stops FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own, string_agg(CASE WHEN stops THEN c END, ',' ORDER BY c) AS ends FROM p GROUP BY path, d),
+k AS (SELECT left(path, (d - 1) * 32) AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+u AS (SELECT a.path, sum(b.own) AS saved, count(*) FILTER (NOT EXISTS (SELECT 1 FROM k WHERE k.path = b.path)) AS leaves FROM n b JOIN n a ON a.d <= b.d AND left(b.path, a.d * 32) = a.path GROUP BY a.path)
+SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN u ON u.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n o ON n.d > 0 AND o.d = n.d - 1 AND o.path = left(n.path, (n.d - 1) * 32)""",
 }

@@ -23,59 +23,68 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Powers:
-    """Powers of the hash's base, grown on demand."""
+#: Characters that are worked on at once; a longer line gives its variants in several pieces.
+PIECE = 1 << 18
+_POWERS = np.concatenate([[np.uint64(1)], np.full(PIECE, _P).cumprod(dtype=np.uint64)])
 
-    def __init__(self):
-        self.table = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.table) <= n:
-            self.table = np.concatenate([[np.uint64(1)], np.full(2 * n + 1, _P).cumprod()]).astype(np.uint64)
-        return self.table
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def variants(line: str, bound: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the deletion neighbourhood, and whether a key is the line itself compared with longer lines.
+def variants(line: str, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the deletion neighbourhood, and whether a key is the line itself compared with longer lines, piece by piece.
 
     For a bound of 1 the keys are of two kinds.  'Same place': the line without
     its i-th character, with i and the length; lines that share one differ in
     that character only.  'Any place': the line itself, and the line without any
     one character; a line and one that is longer by a character share one.  Both
     are exact, so a shared key, up to hash collisions, is an edit distance of at
-    most 1.  A bound of 0 leaves the line itself.
+    most 1.  A bound of 0 leaves the line itself.  Pieces cover so many places each
+    that memory beside the line's own is bounded; a key may come in two of them.
     """
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(c)
-    p = powers.upto(n + 1)
-    term = (c + np.uint64(1)) * p[:n]
-    head = np.concatenate([[np.uint64(0)], np.cumsum(term, dtype=np.uint64)])
-    whole = head[-1]
-    if bound == 0 or n == 0:
-        return _mix(np.array([whole + np.uint64(n) * _Q])), np.ones(1, bool)
-    # Horner's form from the left: dropping character i shifts all after it down by one power.
-    tail = whole - head[1:]
+    n = len(line)
+    cuts = range(0, n, PIECE)
+    first = [np.uint64(pow(int(_P), lo, 1 << 64)) for lo in cuts]
+    heads = [np.uint64(0)]
+    for lo, power in zip(cuts, first, strict=True):
+        c = _codes(line[lo : lo + PIECE])
+        heads.append(heads[-1] + ((c + np.uint64(1)) * _POWERS[: len(c)]).sum(dtype=np.uint64) * power)
+    whole = heads[-1]
+    yield _mix(np.array([whole + np.uint64(n) * _Q])), np.ones(1, bool)
+    if bound == 0:
+        return
     inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-    without = head[:-1] + tail * inverse
-    same = _mix(without + _mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 32)))
-    away = np.unique(_mix(without + np.uint64(n - 1) * _Q))
-    own = _mix(np.array([whole + np.uint64(n) * _Q]))
-    return np.concatenate([same, away, own]), np.concatenate([np.zeros(len(same) + len(away), bool), [True]])
+    for lo, power, before in zip(cuts, first, heads[:-1], strict=True):
+        c = _codes(line[lo : lo + PIECE])
+        upto = np.cumsum((c + np.uint64(1)) * (_POWERS[: len(c)] * power), dtype=np.uint64) + before
+        head = np.concatenate([[before], upto[:-1]])
+        # Horner's form from the left: dropping character i shifts all after it down by one power.
+        without = head + (whole - upto) * inverse
+        same = _mix(without + _mix(np.arange(lo, lo + len(c), dtype=np.uint64) + np.uint64(n << 32)))
+        away = np.unique(_mix(without + np.uint64(n - 1) * _Q))
+        yield np.concatenate([same, away]), np.zeros(len(same) + len(away), bool)
 
 
 def _neighbourhoods(lines: DataFrame, bound: int) -> DataFrame:
     """key, itself, and the line's place (d, t, k) for every variant of every line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for b in batches:
-            for lo in range(0, len(b), 200):
-                part = b.slice(lo, 200)
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for at, text in enumerate(b.column(3).to_pylist()):
                 with np.errstate(over="ignore"):  # hashes wrap around
-                    each = [variants(t, bound, powers) for t in part.column(3).to_pylist()]
-                size = [len(k) for k, _ in each]
-                at = pa.array(np.repeat(np.arange(len(part)), size))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in each]).view(np.int64)), pa.array(np.concatenate([w for _, w in each])), *(part.column(i).take(at) for i in range(3))], names=["key", "itself", *PLACE])
+                    for keys, itself in variants(text, bound):
+                        held.append((at, keys, itself))
+                        if sum(len(k) for _, k, _ in held) >= PIECE:
+                            yield rows(b, held)
+                            held = []
+            if held:
+                yield rows(b, held)
+
+    def rows(b: pa.RecordBatch, held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        at = pa.array(np.repeat([i for i, _, _ in held], [len(k) for _, k, _ in held]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k, _ in held]).view(np.int64)), pa.array(np.concatenate([w for _, _, w in held])), *(b.column(i).take(at) for i in range(3))], names=["key", "itself", *PLACE])
 
     return lines.select(*PLACE, "line").mapInArrow(run, f"key long, itself boolean, d {lines.schema['d'].dataType.simpleString()}, t long, k int")
 
@@ -88,6 +97,11 @@ def _eligible(line: Column, least: int) -> Column:
     return F.length(F.trim(line)) >= least
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """d, t, k, line (trimmed) of every line that takes part; t is the text's hash, which tells rows of one id apart."""
     text = F.col("text").cast("string")
@@ -160,7 +174,9 @@ def dedup_lines(docs: DataFrame, bound: int = 1, least: int = 20) -> DataFrame:
     text = F.col("text").cast("string")
     joined = docs.select(*(own(docs, c) for c in own_cols)).join(places, (F.col("doc_id") == F.col(d)) & (F.xxhash64(text) == F.col(t)), "left")
     parts = _split(text)
-    left = F.filter(parts, lambda x, i: ~_eligible(x, least) | F.array_contains(F.coalesce(F.col(stay), F.array().cast("array<int>")), i))
+    # Places of the lines that stay, in order; looking each line up among them would cost the square of their number.
+    short = lambda p: F.filter(F.transform(p, lambda x, i: F.when(~_eligible(x, least), i)), lambda i: i.isNotNull())
+    left = _let(parts, lambda p: F.transform(F.sort_array(F.concat(F.coalesce(F.col(stay), F.array().cast("array<int>")), short(p))), lambda i: F.get(p, i)))
     joined = joined.withColumn(kept, F.when(F.col("doc_id").isNull(), parts).otherwise(left))
     n = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     n = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n)

@@ -167,6 +167,19 @@ def _flyer(order: list[str], size: str, seed: int, level: int, last: bool):
     return fly
 
 
+def numbered(rows: DataFrame, same: str, name: str) -> DataFrame:
+    """A stored table with the number of each row among those of an equal ``same``, from 0; equal rows are numbered a task's part at a time."""
+    row, part, key, before = free(rows, "_row", "_part", "_key", "_before")
+    own_part = materialise(rows.withColumn(row, F.monotonically_increasing_id()), "mix-parts").withColumn(part, F.shiftright(row, 33))
+    sums = own_part.groupBy(same, part).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(same).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # A row a task and key; keys of one row are left out of the join.
+    sums = sums.withColumns({before: F.coalesce(F.sum("n").over(upto), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(same))}).where("all > 1").select(F.col(same).alias(key), F.col(part).alias("p"), before)
+    local = F.row_number().over(Window.partitionBy(same, part).orderBy(row)) - 1
+    joined = own_part.withColumn(name, local).join(broadcast_if_small(materialise(sums, "mix-equals")), (F.col(same) == F.col(key)) & (F.col(part) == F.col("p")), "left")
+    return joined.withColumn(name, F.col(name) + F.coalesce(F.col(before), F.lit(0))).drop(row, part, key, "p", before)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0, carry: dict[str, Column] | None = None, block: int = 4096) -> DataFrame:
     """How often the mix takes each document: doc_id, carried columns, source, size, source_size, target, copies, taken.
 
@@ -176,17 +189,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
     one document of its target and no document is taken more than ``ceiling``
     times.  Documents without words are taken once if their source's rate is at
     least 1 and drawn by it otherwise.  Null sources form one source; repeated
-    ids are separate documents.
+    ids are separate documents.  Where ids are null or repeat, documents are dealt and ordered by
+    their text too, and equal ones by their number among their equals, so that they
+    spread over all blocks and reruns agree.
     """
     extra = list(carry or {})
-    base = materialise(sized(docs, carry), "mix-sizes")
+    same, copy = free(docs.select("doc_id", "source", *(c.alias(n) for n, c in (carry or {}).items())), "_same", "_copy")
+    base = materialise(sized(docs, {**(carry or {}), same: F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "source", "text")))}), "mix-sizes")
+    ids = base.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    apart = [same, copy] if ids["rows"] != ids["ids"] else []
+    base = materialise(numbered(base, same, copy), "mix-numbered") if apart else base
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = broadcast_if_small(materialise(source_targets(sizes, "source", weights, ceiling).withColumnRenamed("source", "_src"), "mix-targets"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     near = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     units = base.join(targets, F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_rate", near).withColumns({"_sure": F.floor("_rate").cast("int"), "_part": F.col("_rate") - F.floor("_rate")})
-    drawn = balanced_copies(units, ["source"], ["doc_id", "size", *extra], "_part", "size", block)
-    return drawn.withColumn("copies", F.least(F.col("_sure") + F.col("taken_once"), F.lit(int(ceiling)))).withColumn("taken", F.col("copies") * F.col("size")).drop("_rate", "_sure", "_part", "taken_once")
+    drawn = balanced_copies(units, ["source"], ["doc_id", "size", *extra, *apart], "_part", "size", block)
+    return drawn.withColumn("copies", F.least(F.col("_sure") + F.col("taken_once"), F.lit(int(ceiling)))).withColumn("taken", F.col("copies") * F.col("size")).drop("_rate", "_sure", "_part", "taken_once", same, copy)
 
 
 def take(docs: DataFrame, **options) -> DataFrame:

@@ -45,16 +45,17 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int | None], c
 
 
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """Cut documents into pieces of at most ``capacity`` words: doc_id, source, cluster, piece, first_word, size.
+    """Cut documents into pieces of at most ``capacity`` words: doc_id, row, source, cluster, piece, first_word, size.
 
     The cluster of a document is its exact text; near copies get one where the
     caller gives a ``cluster`` column, such as a component of near-duplicates,
     in which a null is no cluster at all.  Texts that are null or have no words
-    give no piece.  Words are counted once: the counts are stored.
+    give no piece.  Words are counted once: the counts are stored, with a
+    number of each row, which tells rows of one id apart.
     """
     n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
     cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else F.md5(F.col("text"))
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), cluster.alias("cluster"), n.alias("n_words")).where("n_words > 0")
+    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), n.alias("n_words")).where("n_words > 0")
     base = materialise(base, "pack-sizes")
     cut = base.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / capacity).cast("int"))))
     return cut.withColumn("first_word", F.col("piece") * capacity).withColumn("size", F.least(F.lit(capacity), F.col("n_words") - F.col("first_word"))).drop("n_words")
@@ -64,9 +65,9 @@ def pack(docs: DataFrame, capacity: int = 2048, shard: int = 4096) -> DataFrame:
     """Pack all documents into bins of ``capacity`` words.
 
     Returns a row a piece: doc_id, piece, first_word, size, bin (a long that is
-    unique in the result), offset, source.  Pieces are dealt by hash into shards
-    of about ``shard``, so a hot source or a large cluster spreads over all of
-    them; each shard packs its pieces, largest first, by ``best_fit``.  Bins
+    unique in the result), offset, source.  Pieces are dealt by a hash of their row's number into shards
+    of about ``shard``, so a hot source, a large cluster and rows of one null or
+    repeated id spread over all of them; each shard packs its pieces, largest first, by ``best_fit``.  Bins
     never hold two pieces of a source (null counts as one) or of a cluster, so
     neither two pieces of one document.  Every word is packed once.  Repeated
     rows are packed each; ties go by id and piece.  Ids keep their type and
@@ -75,7 +76,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard: int = 4096) -> DataFrame:
     """
     cut = pieces(docs, capacity)
     shards = max(1, -(-cut.count() // shard))
-    rank = F.xxhash64(F.col("doc_id").cast("string"), F.col("piece"), F.lit("pack"))
+    rank = F.xxhash64(F.col("row"), F.col("piece"), F.lit("pack"))
     dealt = cut.withColumn("_shard", F.pmod(rank, F.lit(shards)))
     names = ["doc_id", "piece", "first_word", "size", "bin", "offset", "source"]
 
@@ -85,7 +86,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard: int = 4096) -> DataFrame:
         codes = {c: t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist() for c in ("source", "cluster")}
         bits = [None if missing else c for c, missing in zip(codes["cluster"], t.column("cluster").is_null().to_pylist(), strict=True)]
         bins, offsets = best_fit(t.column("size").to_pylist(), codes["source"], bits, capacity)
-        first = t.column("_shard")[0].as_py() << 20
+        first = t.column("_shard")[0].as_py() << 32
         t = t.append_column("bin", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int32()))
         return t.select(names)
 

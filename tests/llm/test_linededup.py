@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -53,10 +54,10 @@ def test_against_brute_force(spark):
 @pytest.mark.filterwarnings("ignore:overflow")
 def test_variants_meet_exactly_within_one_edit():
     rng = random.Random(4)
-    powers = linededup.Powers()
     words = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(60)}
-    keys = {w: set(linededup.variants(w, 1, powers)[0].tolist()) for w in words}
-    owner = {w: int(linededup.variants(w, 1, powers)[0][-1]) for w in words}
+    pieces = {w: list(linededup.variants(w, 1)) for w in words}
+    keys = {w: {x for k, _ in p for x in k.tolist()} for w, p in pieces.items()}
+    owner = {w: next(int(k[0]) for k, itself in p if itself.any()) for w, p in pieces.items()}
     for a in words:
         for b in words:
             shared = keys[a] & keys[b]
@@ -87,3 +88,31 @@ def test_string_ids_and_null_ids(spark):
     line = "a long line that repeats itself"
     df = spark.createDataFrame([("b", line), ("a", line), (None, line)], "doc_id string, text string")
     assert sorted(map(str, (r.doc_id if r.text else f"-{r.doc_id}" for r in linededup.dedup_lines(df).collect()))) == ["-b", "None", "a"]
+
+
+@pytest.mark.filterwarnings("ignore:overflow")
+def test_pieces_give_the_keys_of_the_whole(monkeypatch):
+    line = "".join(random.Random(9).choice("abc\u00e9") for _ in range(1000))
+    whole = {x for k, _ in linededup.variants(line, 1) for x in k.tolist()}
+    monkeypatch.setattr(linededup, "PIECE", 64)
+    parts = list(linededup.variants(line, 1))
+    assert len(parts) == 17 and {x for k, _ in parts for x in k.tolist()} == whole
+
+
+def test_a_text_of_very_many_lines(spark):
+    n = 200_000
+    lines = [f"line number {i:08d} of a long log" if i % 3 else "short" for i in range(n)]
+    lines[7] = lines[1]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, lines[4] + "\nown words of the second text")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in linededup.dedup_lines(df, bound=0).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1].n_removed == 1 and got[1].text == "\n".join(lines[:7] + lines[8:])
+    assert got[2].text == "own words of the second text"
+
+
+def test_very_long_lines(spark):
+    line = "".join(random.Random(5).choices("abcdefgh ", k=600_000))
+    near = line[:300_000] + "X" + line[300_001:]
+    df = spark.createDataFrame([(1, line), (2, near), (3, line[:300_000])], "doc_id long, text string")
+    assert {r.doc_id: len(r.text) for r in linededup.dedup_lines(df).collect()} == {1: 600_000, 2: 0, 3: 300_000}

@@ -145,3 +145,25 @@ def test_landing_is_the_best_choice():
         goal = float(rng.random(6) @ size)
         best = min(abs(sum(z for i, z in enumerate(size) if m >> i & 1) - goal) for m in range(64))
         assert abs(mixing.landing(np.full(6, 0.5), size, goal) @ size - goal) == pytest.approx(best)
+
+
+def test_rows_of_one_id_spread(spark):
+    n = 50_000
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), (F.col("id") % 7).cast("string")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 500).cast("string")).alias("source"))
+    for ids in (df, df.withColumn("doc_id", F.lit(5).cast("long"))):
+        shards = packing.pack(ids, capacity=50, shard=4096).groupBy(F.shiftright("bin", 32).alias("shard")).count().collect()
+        assert len(shards) == 13 and max(r["count"] for r in shards) < 6000
+        one = ids.withColumn("source", F.lit("a")).withColumn("text", F.when(F.rand(3) < 0.5, F.col("text")).otherwise(F.lit("equal words")))
+        base = mixing.sized(one, {"same": F.xxhash64("text")})
+        marks = mixing.numbered(base, "same", "copy")
+        assert marks.select("same", "copy").distinct().count() == n
+        assert all(r.low == 0 and r.top == r.n - 1 for r in marks.groupBy("same").agg(F.min("copy").alias("low"), F.max("copy").alias("top"), F.count(F.lit(1)).alias("n")).collect())
+
+
+def test_mixing_null_ids_agrees_again(spark):
+    df = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 40).cast("int")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
+    count = lambda d: sorted((r.source, r.size, r.copies) for r in mixing.mix(d, block=500).collect())
+    one = count(df)
+    assert one == count(df.repartition(9, F.rand(1)))
+    want = water({s: sum(z for x, z, _ in one if x == s) for s in {x for x, _, _ in one}})
+    assert all(abs(sum(z * c for x, z, c in one if x == s) - t) <= 80 for s, t in want.items())

@@ -21,6 +21,11 @@ QUERY_SCHEMA = T.StructType([
 #: What a query has where it says nothing.
 DEFAULTS = {"cohort": None, "novel": False, "min_support": 1, "require_binding_evidence": False, "require_expression": False, "k": 200, "pathway_enabled": False, "pathway_mode": "boost", "min_gene_sets": 1, "has_keywords": False}
 
+#: Parameters that pairs need once they are collapsed.
+PARAMETERS = ["cohort", "k", "pathway_enabled", "pathway_mode", "min_gene_sets", "has_keywords"]
+#: The key column that a query of each direction is matched by.
+KINDS = {"mirna_to_targets": "mirna_key", "gene_to_mirnas": "gene_key"}
+
 
 def with_defaults(queries: DataFrame) -> DataFrame:
     """Queries with every parameter; absent columns and nulls take the defaults."""
@@ -34,7 +39,6 @@ def single_query(spark: SparkSession, token: str, query_id: str = "1", **options
     if options.get("k", 0) < 0:
         raise ValueError("k must not be negative")
     given = {"query_id": query_id, "token": token, **options}
-    # Inline values: Catalyst sees which way the query goes and leaves the other join out.
     values = spark.sql(f"SELECT * FROM VALUES ({', '.join(f':{n}' for n in given)}) AS t({', '.join(given)})", args=given)
     return with_defaults(values)
 
@@ -73,82 +77,114 @@ def query_keys(queries: DataFrame) -> DataFrame:
 def matches(evidence: DataFrame, queries: DataFrame, fixed_cohort: str | None = None) -> DataFrame:
     """Evidence rows beside the queries that they pass and match, tiers not yet resolved.
 
-    Two equi-joins, by regulator and by gene.  Catalyst broadcasts the query side
+    One scan and one equi-join for both directions: every row shows its two keys,
+    each with its kind, and these meet the queries' keys.  Catalyst broadcasts the query side
     if it is small by its measured size and joins by a shuffle otherwise.
     """
-    keys = query_keys(queries)
-    side = lambda d: keys.where(F.col("direction") == d)
-    cohort = fixed_cohort if fixed_cohort is not None else F.col("cohort")
-    reg = evidence.join(side("mirna_to_targets"), F.col("mirna_key") == F.col("key"))
-    gene = evidence.join(side("gene_to_mirnas"), F.col("gene_key") == F.col("key"))
-    both = reg.unionByName(gene)
-    return both.where(masks(both, cohort))
+    shown = F.array(*(F.struct(F.lit(d).alias("direction"), F.col(c).alias("key")) for d, c in KINDS.items()))
+    both = evidence.select("*", F.inline(shown)).join(query_keys(queries), ["direction", "key"])
+    return both.where(masks(both, fixed_cohort if fixed_cohort is not None else F.col("cohort")))
+
+
+def matches_one(evidence: DataFrame, token: str, options: dict) -> tuple[DataFrame, Column, Column | None]:
+    """As ``matches`` for one query: its names become literals in a filter, which the scan of a stored table uses to skip row groups.
+
+    Returns the rows, the tier as an expression of mirna_name, and for a gene the name matched, which is the token.
+    """
+    params = single_query(evidence.sparkSession, token, **options)
+    text = strip(F.col("token"))
+    # A projection of inline values: the driver works it out without a job.
+    known = params.select(text.alias("token"), is_regulator(text).alias("regulator"), candidate_names(text).alias("names"), F.upper(text).alias("gene"), *DEFAULTS, "query_id").collect()[0]
+    regulator, gene = KINDS
+    if known["regulator"]:
+        tiers = {name: t for t, name in known["names"]}
+        hit = evidence.where(F.col("mirna_key").isin(list(tiers)) if tiers else F.lit(False))
+        places = F.create_map(*(F.lit(x) for pair in tiers.items() for x in pair)) if tiers else F.create_map().cast("map<string,int>")
+        tier, name = places[F.lower("mirna_name")], None
+    else:
+        hit, tier, name = evidence.where(F.col("gene_key") == known["gene"]), F.lit(0), F.lit(known["token"])
+    told = {"query_id": known["query_id"], "direction": regulator if known["regulator"] else gene}
+    given = {**{c: F.lit(known[c]).cast(params.schema[c].dataType) for c in DEFAULTS}, **{c: F.lit(v) for c, v in told.items()}}
+    rows = hit.select("*", *(v.alias(c) for c, v in given.items()))
+    return rows.where(masks(rows, known["cohort"] or "")), tier, name
 
 
-def winners(rows: DataFrame) -> DataFrame:
-    """One row a query: its lowest tier with a match, and the names matched there, sorted and joined by ';'."""
+def matched_names(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The names matched in each tier, sorted and joined by ';'."""
     name = F.when(F.col("direction") == "mirna_to_targets", F.col("mirna_name")).otherwise(F.col("token"))
-    seen = rows.groupBy("query_id", "tier").agg(F.array_join(F.array_sort(F.collect_set(name)), ";").alias("names"))
-    best = seen.groupBy("query_id").agg(F.min(F.struct("tier", "names")).alias("b"))
-    return best.select("query_id", F.col("b.tier").alias("tier"), F.col("b.names").alias("matched_query_tokens"))
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(name)), ";").alias("matched_query_tokens"))
 
 
-def scored_pairs(evidence: DataFrame, queries: DataFrame, weights: Weights = Weights(), collapse: bool = True, cohort: str | None = None) -> DataFrame:
-    """All pairs of every query with their scores and the query's k, unranked.
+def scored_pairs(rows: DataFrame, cohort: Column | str | None, weights: Weights = Weights(), collapse: bool = True, tier: Column | None = None) -> DataFrame:
+    """The pairs of every (query, tier) with their scores, the query's k and ``shown``, which says whether a pair may be a result.
 
-    Masks act on rows and so before tiers are resolved.  Two scans: a narrow one,
-    of names and gates, finds each query's tier and matched names, aggregated before its
-    shuffle; the other collapses pairs within (query, tier), also aggregated before
-    its shuffle.  The small table of tiers, which carries the query's
-    parameters, then meets the collapsed pairs.  ``cohort`` is the one of all queries, if they share it.
+    Masks act on rows and so before tiers are resolved.  The query's parameters are grouping keys, so that
+    pairs need no join to be scored.  A pair without a name or below a pathway filter still
+    counts as a match of its tier, so it stays, not to be shown.  ``tier`` gives the tier of a name where the rows don't have it.
     """
-    ev = evidence if {"mirna_key", "gene_key"} <= set(evidence.columns) else prepare(evidence)
-    q = with_defaults(queries)
-    rows = matches(ev, q, cohort)
-    chosen = winners(rows).join(q.select("query_id", "cohort", "k", "pathway_enabled", "pathway_mode", "min_gene_sets", "has_keywords"), "query_id")
     if collapse:
-        pairs = rows.groupBy("query_id", "tier", "direction", "mirna_name", "gene_symbol").agg(*rules(rows))
+        pairs = rows.groupBy("query_id", *(["tier"] if tier is None else []), "direction", *PARAMETERS, "mirna_name", "gene_symbol").agg(*rules(rows))
     else:
-        pairs = rows.drop("key", "mirna_key", "gene_key", "token", *DEFAULTS)
-    pairs = pairs.join(chosen, ["query_id", "tier"]).dropna(subset=["mirna_name", "gene_symbol"])
+        pairs = rows.drop("key", "mirna_key", "gene_key", "token", *(c for c in DEFAULTS if c not in PARAMETERS))
+    pairs = pairs if tier is None else pairs.withColumn("tier", tier)
+    shown = F.col("mirna_name").isNotNull() & F.col("gene_symbol").isNotNull()
     pathway_on = F.col("pathway_enabled") & F.col("has_keywords")
     if "gene_pathway_hits" in pairs.columns:
-        pairs = pairs.where(~(pathway_on & (F.lower("pathway_mode") == "filter")) | (whole(pairs, "gene_pathway_hits") >= F.col("min_gene_sets")))
-    scored = with_scores(pairs, cohort if cohort is not None else F.col("cohort"), pathway_on, weights)
-    return scored.drop("tier", *(c for c in DEFAULTS if c != "k"))
+        shown = shown & (~(pathway_on & (F.lower("pathway_mode") == "filter")) | (whole(pairs, "gene_pathway_hits") >= F.col("min_gene_sets")))
+    return with_scores(pairs.withColumn("shown", shown), cohort, pathway_on, weights).drop(*(c for c in PARAMETERS if c != "k"))
 
 
 def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None, weights: Weights = Weights(), collapse: bool = True) -> DataFrame:
     """Ranked pairs of every query: query_id, rank, pair, collapsed evidence, score and its parts.
 
-    With ``max_k``, a bound on all k, each task keeps at most so many pairs of a query
-    before the exchange by query.  Ties go by names.  Queries without hits give
+    Pairs are ranked by tier first, so the lowest tier of a query is that of its first
+    pair and needs no join.  With ``max_k``, a bound on all k, each task keeps at most so many pairs of a query
+    before the exchange by query, be the query ever so hot.  Ties go by names.  Queries without hits give
     no row.  Without ``collapse`` every surviving row is scored and ranked by
-    itself.
+    itself.  The names matched are found by a second, narrow scan, which
+    Catalyst leaves out if nobody reads them.
     """
-    scored = scored_pairs(evidence, queries, weights, collapse)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
+    rows = matches(_with_keys(evidence), with_defaults(queries))
+    return rank_pairs(scored_pairs(rows, F.col("cohort"), weights, collapse), matched_names(rows, ["query_id", "tier"]), max_k)
+
+
+def rank_pairs(scored: DataFrame, names: DataFrame, max_k: int | None = None) -> DataFrame:
+    """The best pairs of each query's lowest tier, with the names matched there."""
+    line = Window.partitionBy("query_id").orderBy(*_order())
+    ranked = scored.withColumns({"rank": F.row_number().over(line), "_best": F.first("tier").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
     if max_k is not None:
         ranked = ranked.where(F.col("rank") <= max_k)
-    return _shown(ranked.where(F.col("rank") <= F.col("k")))
+    return _shown(ranked.where(F.col("rank") <= F.col("k")), names)
 
 
 def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, weights: Weights = Weights(), **options) -> DataFrame:
-    """A single query by token and parameters: each task keeps its k best pairs, and only these meet."""
+    """A single query by token and parameters: its keys are filters of the scan, each task keeps its k best pairs, and only these meet."""
     k = options.get("k", DEFAULTS["k"])
-    q = single_query(evidence.sparkSession, token, **options)
-    top = scored_pairs(evidence, q, weights, collapse, cohort=options.get("cohort") or "").orderBy(*_order()).limit(k)
+    rows, tier, name = matches_one(_with_keys(evidence), token, options)
+    top = scored_pairs(rows, options.get("cohort") or "", weights, collapse, tier).orderBy(*_order()).limit(k)
     # The window sees k rows.
-    return _shown(top.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))).drop("query_id")
+    line = Window.orderBy(*_order())
+    ranked = top.withColumns({"rank": F.row_number().over(line), "_best": F.first("tier").over(line)})
+    if name is not None:
+        return _shown(ranked.withColumn("matched_query_tokens", name)).drop("query_id")
+    names = rows.select("mirna_name", "direction", F.lit(None).cast("string").alias("token")).distinct().withColumn("tier", tier)
+    return _shown(ranked, matched_names(names, ["tier"])).drop("query_id")
+
+
+def _with_keys(evidence: DataFrame) -> DataFrame:
+    return evidence if {"mirna_key", "gene_key"} <= set(evidence.columns) else prepare(evidence)
 
 
 def _order() -> list[Column]:
-    return [F.desc_nulls_last("retrieval_score"), F.asc("mirna_name"), F.asc("gene_symbol")]
+    return [F.asc("tier"), F.desc("shown"), F.desc_nulls_last("retrieval_score"), F.asc("mirna_name"), F.asc("gene_symbol")]
 
 
-def _shown(ranked: DataFrame) -> DataFrame:
-    first = ["query_id", "rank", "direction"]
-    return ranked.select(*first, *(c for c in ranked.columns if c not in (*first, "k")))
+def _shown(ranked: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    first, last = ["query_id", "rank", "direction"], "matched_query_tokens"
+    kept = ranked.where(F.col("shown") & (F.col("tier") == F.col("_best")))
+    if names is not None:
+        kept = kept.join(names, [c for c in ("query_id", "tier") if c in names.columns], "left")
+    return kept.select(*first, *(c for c in ranked.columns if c not in (*first, last, "k", "tier", "shown", "_best")), last)
 
 
 def unmatched(queries: DataFrame, shortlist: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The whole job as one plan: requests and planner replies to result documents."""
+"""The whole job in stages: requests and planner replies to result documents."""
 
 from __future__ import annotations
 
@@ -9,26 +9,27 @@ from pairlight.operators.retrieve import retrieve
 from pairlight.plans.answers import envelope
 from pairlight.plans.cards import cards
 from pairlight.plans.prompts import prompts
-from pairlight.plans.specs import apply_overrides, normalise_specs, request_defaults, split_rejects, to_queries
+from pairlight.plans.specs import apply_overrides, normalise_specs, request_defaults, to_queries
 from pairlight.sources.jobs import error_records, nest_shortlist, result_documents
+from pairlight.sources.stages import stored
 
 
-def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame, outputs: DataFrame | None = None, max_k: int | None = None) -> DataFrame:
+def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame, outputs: DataFrame | None = None, max_k: int | None = None, folder: str | None = None) -> DataFrame:
     """(query_id, document) for every request: specification, shortlist, prompt bundle and answer, or the error.
 
     ``responses`` (query_id, response) are the planner's replies, ``outputs``
     (query_id, text) a model's answers, if there are any yet.  A request without a
-    reply is an error, as is one that ``normalise_specs`` rejects.
+    reply is an error, as is one that ``normalise_specs`` rejects.  Requests with their replies,
+    specifications and shortlists are stored in turn, below ``folder`` or else in the
+    shared folder, so that each input is read once and a later stage knows the size of what it reads.
     """
-    asked = request_defaults(requests)
-    replies = asked.select("query_id", "question").join(responses.select("query_id", "response"), "query_id", "left")
-    specs, rejects = split_rejects(normalise_specs(replies))
-    specs = apply_overrides(specs, asked)
-    wrong = specs.where("k < 0").select("query_id", F.lit("k is negative").alias("error"))
-    specs = specs.where("k >= 0")
-    shortlist = retrieve(evidence, to_queries(specs), max_k=max_k)
-    shown = shortlist.join(specs.select("query_id", "cohort"), "query_id")
-    bundles = prompts(specs, cards=cards(shown, F.col("cohort")))
-    answers = None if outputs is None else envelope(outputs)
-    done = result_documents(specs, nest_shortlist(shortlist), bundles, answers)
-    return done.unionByName(error_records(rejects.unionByName(wrong)))
+    asked = request_defaults(requests).join(responses.select("query_id", "response"), "query_id", "left")
+    asked = stored(asked, "asked", folder)
+    specs = apply_overrides(normalise_specs(asked.select("query_id", "question", "response")), asked)
+    specs = stored(specs.withColumn("error", F.coalesce("error", F.when(F.col("k") < 0, "k is negative"))), "specs", folder)
+    good, bad = specs.where("error IS NULL").drop("error"), specs.where("error IS NOT NULL")
+    most = max_k if max_k is not None else good.agg(F.max("k")).first()[0] or 0
+    shortlist = stored(retrieve(evidence, to_queries(good), max_k=most), "shortlist", folder)
+    bundles = prompts(good, cards=cards(shortlist.join(good.select("query_id", "cohort"), "query_id"), F.col("cohort")))
+    done = result_documents(good, nest_shortlist(shortlist), bundles, None if outputs is None else envelope(outputs))
+    return done.unionByName(error_records(bad.select("query_id", "error")))

@@ -6,9 +6,7 @@ planner responses, answers and status entries, all made from the given tables.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +23,7 @@ from pairlight.plans.cards import cards as make_cards
 from pairlight.plans.chain import job_documents
 from pairlight.sources import jobs as J
 from pairlight.sources.evidence import prepare, read_evidence
+from pairlight.sources.stages import shared_folder
 from pairlight.streaming import requests as Q
 
 M, ARM = "(l_partkey % 40)", "(l_partkey % 3)"
@@ -433,16 +432,6 @@ def result_json(spark, sf_dir):
 _STREAMED = "SELECT CAST(c_custkey AS {0}) AS query_id, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE concat('miR-', c_custkey % 40) END AS question, CAST(CASE WHEN c_custkey % 13 = 0 THEN -1 ELSE c_custkey % 5 END AS INT) AS k FROM customer"
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    """A new folder below the one that driver and executors share; only a local session may do without a named one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/{tag}-{uuid4().hex}"
-
-
 def _customers(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     _table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     return spark.sql(sql)
@@ -456,7 +445,7 @@ SELECT r.query_id, CASE WHEN question = ' ' OR k < 0 THEN 'error' ELSE 'done' EN
 CASE WHEN question = ' ' THEN 'question is empty' WHEN k < 0 THEN 'k is negative' END AS error FROM r LEFT JOIN c ON r.question = 'miR-' || c.n""")
 def stream_requests(spark, sf_dir):
     """A request for every customer, streamed from files, answered in micro-batches and read back with its status."""
-    root = _shared(spark, "requests")
+    root = shared_folder(spark, "requests")
     _customers(spark, sf_dir, _STREAMED.format("STRING")).write.json(f"{root}/in")
     ev = prepare(evidence(spark, sf_dir))
 
@@ -496,7 +485,7 @@ n AS (SELECT token, novel, ms, filt, least, count(*) AS n FROM pair GROUP BY ALL
 FROM job LEFT JOIN n USING (token, novel, ms, filt, least) UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'error', NULL, FALSE, NULL, 'response holds no JSON object' FROM customer WHERE c_custkey % 6 = 3""")
 def job_chain(spark, sf_dir):
     """Requests and planner replies of all customers to stored documents, read back from the sink."""
-    path = _shared(spark, "documents")
+    path = shared_folder(spark, "documents")
     J.write_documents(_chain(spark, sf_dir), path)
     docs = spark.read.schema("query_id string, document string").json(path)
     v = docs.select("query_id", F.parse_json("document").alias("v"))

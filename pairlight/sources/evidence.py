@@ -21,8 +21,7 @@ def read_evidence(spark: SparkSession, path: str, ordered: bool = False) -> Data
 def prepare(evidence: DataFrame, row_order: Column | None = None) -> DataFrame:
     """Check the required columns and add mirna_key and gene_key, in one case, for joins.
 
-    A stored table that keeps these keys and is sorted by them lets Parquet skip
-    row groups.  ``row_order`` sets row_ord, which only list columns need.
+    ``row_order`` sets row_ord, which only list columns need.
     """
     require(evidence, REQUIRED)
     keys = {"mirna_key": F.lower("mirna_name"), "gene_key": F.upper("gene_symbol")}
@@ -31,8 +30,14 @@ def prepare(evidence: DataFrame, row_order: Column | None = None) -> DataFrame:
     return evidence.withColumns({k: v for k, v in keys.items() if k == "row_ord" or k not in evidence.columns})
 
 
-def write_evidence(evidence: DataFrame, path: str, files: int = 0) -> None:
-    """Store prepared evidence sorted by its keys within range partitions."""
-    df = prepare(evidence)
-    parts = [files] if files else []
-    df.repartitionByRange(*parts, "mirna_key", "gene_key").sortWithinPartitions("mirna_key", "gene_key").write.mode("overwrite").parquet(path)
+def write_evidence(evidence: DataFrame, path: str, files: int = 0, first: str = "mirna_key") -> None:
+    """Store prepared evidence sorted by its keys within range partitions, with Bloom filters on both keys.
+
+    A filter on the key named ``first`` then skips row groups by their least and
+    greatest keys, one on the other key by their Bloom filters.
+    """
+    keys = [first, *(k for k in ("mirna_key", "gene_key") if k != first)]
+    out = prepare(evidence).repartitionByRange(*([files] if files else []), *keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    for k in keys:
+        out = out.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{k}", "true")
+    out.parquet(path)

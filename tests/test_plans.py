@@ -109,3 +109,20 @@ def test_cohort_of_old_replies(spark):
     got = {r.query_id: r for r in S.normalise_specs(spark.createDataFrame(rows, "query_id string, question string, response string")).collect()}
     assert {k: r.cohort for k, r in got.items()} == {"a": "COAD", "b": "BRCA", "c": None, "d": "COAD"}
     assert got["d"].k == 1 and got["d"].novel is False
+
+
+def test_chain_reads_each_input_once(spark, sf, tmp_path):
+    from pairlight import queries as E
+    from pairlight.plans.chain import job_documents
+    from pairlight.sources.evidence import prepare
+
+    requests = spark.createDataFrame([("1", "q", 5), ("2", "q", -1), ("3", " ", 5), ("4", "q", 7)], "query_id string, question string, k int")
+    responses = spark.createDataFrame([("1", '{"mirna":"miR-12"}'), ("2", '{"gene":"GENE3"}'), ("3", "{}"), ("5", "{}")], "query_id string, response string")
+    requests.write.parquet(f"{tmp_path}/requests")
+    docs = job_documents(prepare(E.evidence(spark, sf)), spark.read.parquet(f"{tmp_path}/requests"), responses, folder=f"{tmp_path}/stages")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and f"{tmp_path}/requests" not in plan
+    got = {r.query_id: json.loads(r.document) for r in docs.collect()}
+    assert got["1"]["status"] == "done" and len(got["1"]["shortlist"]) == 5 and got["1"]["bundle"]["user_prompt"].count("Candidate:") == 5
+    assert {i: got[i]["error"] for i in "234"} == {"2": "k is negative", "3": "question is empty", "4": "response holds no JSON object"}
+    assert spark.read.parquet(f"{tmp_path}/stages/shortlist").count() == 5

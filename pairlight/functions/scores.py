@@ -59,10 +59,30 @@ def cohort_struct(df: DataFrame, code: str) -> Column:
     )
 
 
+#: Prefix of columns that hold the evidence of each row's own cohort, whichever that is.
+OWN = "cohort"
+
+
+def own_struct(df: DataFrame) -> Column:
+    """As ``cohort_struct`` from the columns of a row's own cohort; flags that the cohort's table has no column of are null there."""
+    rho, p = (F.col(f"{OWN}_{n}") for n in ("spearman_rho", "spearman_p"))
+    derived = ((F.coalesce(rho, F.lit(0.0)) < 0) & (F.coalesce(p, F.lit(1.0)) <= 0.05)).cast("int")
+    return F.struct(
+        clamp(-F.coalesce(rho, F.lit(0.0)), 0.0, 1.0).alias("rho_strength"),
+        rho.alias("rho"),
+        p.alias("p"),
+        F.coalesce(f"{OWN}_anticorrelated", derived).alias("anticorr"),
+        flag(df, f"{OWN}_repression_evidence").alias("repression"),
+        F.col(f"{OWN}_pair_expressed").alias("expressed"),
+    )
+
+
 def cohort_of(df: DataFrame, code: Column | str | None) -> Column:
     """The struct of a query's cohort: a plain choice for one code, one CASE for a column of codes; null if there is none."""
     codes = cohort_codes(df)
     kind = "struct<rho_strength:double,rho:double,p:double,anticorr:int,repression:int,expressed:int>"
+    if isinstance(code, str) and code == OWN:
+        return own_struct(df).cast(kind)
     if code is None or not codes:
         return F.lit(None).cast(kind)
     if isinstance(code, str):

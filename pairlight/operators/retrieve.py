@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from pairlight.columns import flag, strip, whole
 from pairlight.functions.identifiers import candidate_names, is_regulator
-from pairlight.functions.scores import Weights, expressed_of, with_scores
+from pairlight.functions.scores import OWN, Weights, expressed_of, with_scores
+from pairlight.operators.cohorts import asked_cohorts, with_cohort
 from pairlight.operators.collapse import rules
 from pairlight.sources.evidence import prepare
 
@@ -86,10 +87,10 @@ def matches(evidence: DataFrame, queries: DataFrame, fixed_cohort: str | None =
     return both.where(masks(both, fixed_cohort if fixed_cohort is not None else F.col("cohort")))
 
 
-def matches_one(evidence: DataFrame, token: str, options: dict) -> tuple[DataFrame, Column, Column | None]:
+def matches_one(evidence: DataFrame, token: str, options: dict) -> tuple[DataFrame, Column, Column, Column | None]:
     """As ``matches`` for one query: its names become literals in a filter, which the scan of a stored table uses to skip row groups.
 
-    Returns the rows, the tier as an expression of mirna_name, and for a gene the name matched, which is the token.
+    Returns the rows, that filter, the tier as an expression of mirna_name, and for a gene the name matched, which is the token.
     """
     params = single_query(evidence.sparkSession, token, **options)
     text = strip(F.col("token"))
@@ -98,15 +99,15 @@ def matches_one(evidence: DataFrame, token: str, options: dict) -> tuple[DataFra
     regulator, gene = KINDS
     if known["regulator"]:
         tiers = {name: t for t, name in known["names"]}
-        hit = evidence.where(F.col("mirna_key").isin(list(tiers)) if tiers else F.lit(False))
+        hit = F.col("mirna_key").isin(list(tiers)) if tiers else F.lit(False)
         places = F.create_map(*(F.lit(x) for pair in tiers.items() for x in pair)) if tiers else F.create_map().cast("map<string,int>")
         tier, name = places[F.lower("mirna_name")], None
     else:
-        hit, tier, name = evidence.where(F.col("gene_key") == known["gene"]), F.lit(0), F.lit(known["token"])
+        hit, tier, name = F.col("gene_key") == known["gene"], F.lit(0), F.lit(known["token"])
     told = {"query_id": known["query_id"], "direction": regulator if known["regulator"] else gene}
     given = {**{c: F.lit(known[c]).cast(params.schema[c].dataType) for c in DEFAULTS}, **{c: F.lit(v) for c, v in told.items()}}
-    rows = hit.select("*", *(v.alias(c) for c, v in given.items()))
-    return rows.where(masks(rows, known["cohort"] or "")), tier, name
+    rows = evidence.where(hit).select("*", *(v.alias(c) for c, v in given.items()))
+    return rows.where(masks(rows, known["cohort"] or "")), hit, tier, name
 
 
 def matched_names(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,7 +135,7 @@ def scored_pairs(rows: DataFrame, cohort: Column | str | None, weights: Weights
     return with_scores(pairs.withColumn("shown", shown), cohort, pathway_on, weights).drop(*(c for c in PARAMETERS if c != "k"))
 
 
-def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None, weights: Weights = Weights(), collapse: bool = True) -> DataFrame:
+def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None, weights: Weights = Weights(), collapse: bool = True, cohorts: DataFrame | None = None) -> DataFrame:
     """Ranked pairs of every query: query_id, rank, pair, collapsed evidence, score and its parts.
 
     Pairs are ranked by tier first, so the lowest tier of a query is that of its first
@@ -142,10 +143,15 @@ def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None,
     before the exchange by query, be the query ever so hot.  Ties go by names.  Queries without hits give
     no row.  Without ``collapse`` every surviving row is scored and ranked by
     itself.  The names matched are found by a second, narrow scan, which
-    Catalyst leaves out if nobody reads them.
+    Catalyst leaves out if nobody reads them.  ``cohorts`` is the long table that
+    belongs to ``evidence``, where cohorts aren't columns of it.
     """
-    rows = matches(_with_keys(evidence), with_defaults(queries))
-    return rank_pairs(scored_pairs(rows, F.col("cohort"), weights, collapse), matched_names(rows, ["query_id", "tier"]), max_k)
+    asked = with_defaults(queries)
+    rows = matches(_with_keys(evidence), asked)
+    if cohorts is not None:
+        rows = with_cohort(rows, cohorts, asked_cohorts(cohorts, asked))
+    own = OWN if cohorts is not None else F.col("cohort")
+    return rank_pairs(scored_pairs(rows, own, weights, collapse), matched_names(rows, ["query_id", "tier"]), max_k)
 
 
 def rank_pairs(scored: DataFrame, names: DataFrame, max_k: int | None = None) -> DataFrame:
@@ -157,11 +163,14 @@ def rank_pairs(scored: DataFrame, names: DataFrame, max_k: int | None = None) ->
     return _shown(ranked.where(F.col("rank") <= F.col("k")), names)
 
 
-def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, weights: Weights = Weights(), **options) -> DataFrame:
+def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, weights: Weights = Weights(), cohorts: DataFrame | None = None, **options) -> DataFrame:
     """A single query by token and parameters: its keys are filters of the scan, each task keeps its k best pairs, and only these meet."""
     k = options.get("k", DEFAULTS["k"])
-    rows, tier, name = matches_one(_with_keys(evidence), token, options)
-    top = scored_pairs(rows, options.get("cohort") or "", weights, collapse, tier).orderBy(*_order()).limit(k)
+    rows, hit, tier, name = matches_one(_with_keys(evidence), token, options)
+    own = options.get("cohort") or ""
+    if cohorts is not None:
+        rows, own = with_cohort(rows, cohorts.where(hit), [own.upper()]), OWN
+    top = scored_pairs(rows, own, weights, collapse, tier).orderBy(*_order()).limit(k)
     # The window sees k rows.
     line = Window.orderBy(*_order())
     ranked = top.withColumns({"rank": F.row_number().over(line), "_best": F.first("tier").over(line)})

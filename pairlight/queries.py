@@ -15,6 +15,7 @@ from pairlight import columns as C
 from pairlight.functions import identifiers as ids
 from pairlight.functions.scores import with_scores
 from pairlight.operators import retrieve as R
+from pairlight.operators.cohorts import read_cohorts, write_cohorts
 from pairlight.operators.collapse import collapse_pairs, first_nonnull
 from pairlight.plans import answers as A
 from pairlight.plans import prompts as P
@@ -316,6 +317,16 @@ def unmatched_queries(spark, sf_dir):
     return R.unmatched(batch(spark), _ranked(spark, sf_dir)).select("query_id")
 
 
+@query(_batch_sql("SELECT query_id, CAST(rank AS INT) AS rank, mirna_name, gene_symbol, round(score, 6) AS retrieval_score, round(s_cohort, 6) AS retrieval_tcga_contrib, round(p, 6) AS retrieval_tcga_p, CAST(anticor AS INT) AS retrieval_tcga_anticorr_flag FROM top"))
+def cohort_table(spark, sf_dir):
+    """The batch over evidence whose cohorts are rows of a table of their own: the same pairs and scores as from columns."""
+    folder = shared_folder(spark, "cohorts")
+    write_cohorts(evidence(spark, sf_dir), folder)
+    rows, cohorts = read_cohorts(spark, folder)
+    out = R.retrieve(rows, batch(spark), max_k=MAX_K, cohorts=cohorts)
+    return out.select("query_id", "rank", "mirna_name", "gene_symbol", *(F.round(c, 6).alias(c) for c in ("retrieval_score", "retrieval_tcga_contrib", "retrieval_tcga_p")), "retrieval_tcga_anticorr_flag")
+
+
 # Specifications
 
 _N = "CAST(c_custkey % {0} AS VARCHAR(10))"

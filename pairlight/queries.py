@@ -448,22 +448,25 @@ def _customers(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-@query(f"""WITH {EV}, h AS (SELECT regexp_extract(lower(mirna_name), '^(?:hsa-)?mir-([0-9]+)', 1) AS n, CASE WHEN mirna_name LIKE '%-5p' THEN 0 WHEN mirna_name LIKE '%-3p' THEN 2 ELSE 1 END AS tier, mirna_name, gene_symbol
+_STREAM_SQL = f"""WITH {EV}, h AS (SELECT regexp_extract(lower(mirna_name), '^(?:hsa-)?mir-([0-9]+)', 1) AS n, CASE WHEN mirna_name LIKE '%-5p' THEN 0 WHEN mirna_name LIKE '%-3p' THEN 2 ELSE 1 END AS tier, mirna_name, gene_symbol
 FROM ev WHERE mirtarbase_pos = 0 AND support_count >= 1 AND lower(mirna_name) LIKE '%mir-%'),
 b AS (SELECT n, min(tier) AS tier FROM h GROUP BY n), c AS (SELECT n, count(DISTINCT mirna_name || ' ' || gene_symbol) AS pairs FROM h JOIN b USING (n, tier) WHERE gene_symbol IS NOT NULL GROUP BY n),
 r AS ({_STREAMED.format('VARCHAR')})
 SELECT r.query_id, CASE WHEN question = ' ' OR k < 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN question = ' ' OR k < 0 THEN 0 ELSE least(k, coalesce(pairs, 0)) END AS n_pairs,
-CASE WHEN question = ' ' THEN 'question is empty' WHEN k < 0 THEN 'k is negative' END AS error FROM r LEFT JOIN c ON r.question = 'miR-' || c.n""")
-def stream_requests(spark, sf_dir):
-    """A request for every customer, streamed from files, answered in micro-batches and read back with its status."""
+CASE WHEN question = ' ' THEN 'question is empty' WHEN k < 0 THEN 'k is negative' END AS error FROM r LEFT JOIN c ON r.question = 'miR-' || c.n"""
+
+
+def _answered(spark, sf_dir, times):
+    """Requests of all customers, sent so many times, answered in micro-batches and read back with their status."""
     root = shared_folder(spark, "requests")
-    _customers(spark, sf_dir, _STREAMED.format("STRING")).write.json(f"{root}/in")
     ev = prepare(evidence(spark, sf_dir))
 
     def answer(batch: DataFrame) -> DataFrame:
         return R.retrieve(ev, batch.withColumn("token", F.col("question")), max_k=200).select("query_id", "rank", "mirna_name", "gene_symbol")
 
-    Q.serve(Q.read_requests(spark, f"{root}/in"), answer, f"{root}/out", f"{root}/log", f"{root}/state").awaitTermination()
+    for _ in range(times):
+        _customers(spark, sf_dir, _STREAMED.format("STRING")).write.mode("append").json(f"{root}/in")
+        Q.serve(Q.read_requests(spark, f"{root}/in"), answer, f"{root}/out", f"{root}/log", f"{root}/state").awaitTermination()
     log = spark.read.parquet(f"{root}/log")
     status = J.latest_status(log, spark.read.schema("query_id string").json(f"{root}/in"))
     errors = log.where("error IS NOT NULL").groupBy("query_id").agg(F.max("error").alias("error"))
@@ -471,6 +474,18 @@ def stream_requests(spark, sf_dir):
     return status.join(found, "query_id", "left").join(errors, "query_id", "left").select("query_id", "status", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "error")
 
 
+@query(_STREAM_SQL)
+def stream_requests(spark, sf_dir):
+    """A request for every customer, streamed from files, answered in micro-batches and read back with its status."""
+    return _answered(spark, sf_dir, 1)
+
+
+@query(_STREAM_SQL)
+def stream_resent(spark, sf_dir):
+    """The same requests sent again later, in other files, are answered once."""
+    return _answered(spark, sf_dir, 2)
+
+
 # The whole chain, and parts that only show in it
 
 
@@ -492,16 +507,62 @@ pair AS (SELECT token, novel, ms, filt, least, mirna_name, gene_symbol FROM hit
 n AS (SELECT token, novel, ms, filt, least, count(*) AS n FROM pair GROUP BY ALL)"""
 
 
-@query(_CHAIN_SQL + """ SELECT query_id, 'done' AS status, CAST(least(job.k, coalesce(n.n, 0)) AS BIGINT) AS n_pairs, TRUE AS has_prompt, CASE WHEN CAST(query_id AS INT) % 2 = 0 THEN 'answer to question ' || query_id END AS summary, CAST(NULL AS VARCHAR) AS error
-FROM job LEFT JOIN n USING (token, novel, ms, filt, least) UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'error', NULL, FALSE, NULL, 'response holds no JSON object' FROM customer WHERE c_custkey % 6 = 3""")
+_JOBS_SQL = (
+    _CHAIN_SQL + """ SELECT query_id, 'done' AS status, CAST(least(job.k, coalesce(n.n, 0)) AS BIGINT) AS n_pairs, TRUE AS has_prompt, CASE WHEN CAST(query_id AS INT) % 2 = 0 THEN 'answer to question ' || query_id END AS summary, CAST(NULL AS VARCHAR) AS error
+FROM job LEFT JOIN n USING (token, novel, ms, filt, least) UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'error', NULL, FALSE, NULL, 'response holds no JSON object' FROM customer WHERE c_custkey % 6 = 3"""
+)
+
+
+def _told(docs: DataFrame) -> DataFrame:
+    """What stored documents say."""
+    v = docs.select("query_id", F.parse_json("document").alias("v"))
+    text = lambda p: F.try_variant_get("v", p, "string")
+    return v.select("query_id", text("$.status").alias("status"), F.when(text("$.status") == "done", F.size(F.try_variant_get("v", "$.shortlist", "array<variant>"))).cast("long").alias("n_pairs"), text("$.bundle.user_prompt").isNotNull().alias("has_prompt"), text("$.answer.summary").alias("summary"), text("$.error").alias("error"))
+
+
+@query(_JOBS_SQL)
 def job_chain(spark, sf_dir):
     """Requests and planner replies of all customers to stored documents, read back from the sink."""
     path = shared_folder(spark, "documents")
     J.write_documents(_chain(spark, sf_dir), path)
-    docs = spark.read.schema("query_id string, document string").json(path)
-    v = docs.select("query_id", F.parse_json("document").alias("v"))
-    text = lambda p: F.try_variant_get("v", p, "string")
-    return v.select("query_id", text("$.status").alias("status"), F.when(text("$.status") == "done", F.size(F.try_variant_get("v", "$.shortlist", "array<variant>"))).cast("long").alias("n_pairs"), text("$.bundle.user_prompt").isNotNull().alias("has_prompt"), text("$.answer.summary").alias("summary"), text("$.error").alias("error"))
+    return _told(spark.read.schema("query_id string, document string").json(path))
+
+
+@query(_JOBS_SQL)
+def stream_jobs(spark, sf_dir):
+    """The same through the request stream, whose documents are kept by id."""
+    root = shared_folder(spark, "jobs")
+    rows = _customers(spark, sf_dir, f"{_REQUESTS.format('STRING')}, {_RESPONSE} AS response FROM customer")
+    outputs = rows.where("CAST(query_id AS INT) % 2 = 0").select("query_id", F.concat(F.lit("answer to "), "question").alias("text"))
+    rows.drop("response").write.json(f"{root}/in")
+    stream = Q.read_requests(spark, f"{root}/in")
+    Q.serve_jobs(stream, prepare(evidence(spark, sf_dir)), rows.select("query_id", "response"), f"{root}/documents", f"{root}/log", f"{root}/state", outputs).awaitTermination()
+    return _told(J.read_documents(spark, f"{root}/documents"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS query_id, CASE WHEN c_custkey % 10 = 3 THEN 'second' ELSE 'first' END AS document FROM customer UNION ALL SELECT 'new', 'second'")
+def rewrite_documents(spark, sf_dir):
+    """A tenth of the customers' documents and a new one put a second time: the others stay."""
+    path = shared_folder(spark, "documents")
+    ids = _customers(spark, sf_dir, "SELECT CAST(c_custkey AS STRING) AS query_id, c_custkey FROM customer")
+    J.put_documents(ids.select("query_id", F.lit("first").alias("document")), path)
+    again = ids.where("c_custkey % 10 = 3").select("query_id").unionByName(spark.sql("SELECT 'new' AS query_id"))
+    J.put_documents(again.select("query_id", F.lit("second").alias("document")), path)
+    return J.read_documents(spark, path)
+
+
+@query(ORACLES["latest_status"])
+def status_snapshot(spark, sf_dir):
+    """Orders as a log of ten batches: two snapshots on the way, the look-up reads the second and the batches since."""
+    root = shared_folder(spark, "status")
+    log = _table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey AS STRING) AS query_id", "o_orderstatus AS status", "CAST(o_orderkey AS LONG) AS seq", "CAST(NULL AS STRING) AS error", "CAST(NULL AS STRING) AS traceback")
+    top = log.agg(F.max("seq")).first()[0]
+    log = log.withColumns({"batch_id": F.floor(F.col("seq") * 10 / (top + 1)).cast("long"), "part": F.lit("end")})
+    for some in ("batch_id < 4", "batch_id IN (4, 5, 6)", "batch_id > 6"):
+        if some != "batch_id < 4":
+            J.compact_status(spark, f"{root}/log", f"{root}/snapshot")
+        log.where(some).write.mode("append").partitionBy("batch_id", "part").parquet(f"{root}/log")
+    return J.status_of(spark, f"{root}/log", f"{root}/snapshot", _table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS query_id"))
 
 
 @query("""SELECT substr(sha256('{"question":"question ' || c_custkey || '","novel":' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"k":' || c_custkey % 7 || ',"min_support":' || CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 3 END ||

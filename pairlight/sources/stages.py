@@ -23,3 +23,8 @@ def stored(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     path = f"{folder.rstrip('/')}/{tag}" if folder else shared_folder(df.sparkSession, tag)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairlight.columns import strip
+from pairlight.plans.chain import job_documents
 from pairlight.plans.specs import REQUEST_SCHEMA, request_defaults
+from pairlight.sources.jobs import put_documents
 
 
 def read_requests(spark: SparkSession, folder: str, schema: str = REQUEST_SCHEMA) -> DataFrame:
@@ -31,14 +33,25 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told.where("error IS NULL").drop("error"), told.where("error IS NOT NULL")
 
 
-def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results: str, log: str, checkpoint: str, once: bool = True, every: str = "10 seconds") -> StreamingQuery:
+def first_of_each(requests: DataFrame, remember: str) -> DataFrame:
+    """A stream without requests of an id that came before, which the state remembers for so long since they came."""
+    arrived = request_defaults(requests).withColumn("_arrived", F.current_timestamp())
+    return arrived.withWatermark("_arrived", remember).dropDuplicatesWithinWatermark(["query_id"]).drop("_arrived")
+
+
+def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results: str | Callable[[DataFrame], DataFrame], log: str, checkpoint: str, once: bool = True, every: str = "10 seconds", remember: str | None = "30 days") -> StreamingQuery:
     """Answer each micro-batch by ``answer`` (requests to result rows) and append to the status log.
 
     Unusable requests get an error entry.  If ``answer`` fails, every request of
     the batch gets one, with the message and the traceback, and the stream goes
     on, so that a poisonous batch isn't tried for ever.  Results and log entries
     of a batch go to a folder of their own that is overwritten, so a replay of
-    the batch after a failure writes the same rows and adds none.
+    the batch after a failure writes the same rows and adds none.  ``results`` may
+    also be a function that stores the answers in a way that bears a replay and returns the
+    status of each (query_id, status, error).
+
+    A request whose id was seen within ``remember`` isn't answered again, be it in this batch or a
+    later one; ids made from the content make a resent request the same one.  None answers all.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -48,13 +61,27 @@ def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results
         begun = status_rows(batch, "queued", start).unionByName(status_rows(good, "running", start + 1)).unionByName(status_rows(bad, "error", start + 2))
         begun.write.mode("overwrite").parquet(f"{at}/part=begin")
         try:
-            answer(good).write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
-            ended = status_rows(good, "done", start + 2)
+            if callable(results):
+                ended = status_rows(good, "done", start + 2).drop("status", "error").join(results(answer(good)), "query_id").select("query_id", "status", "seq", "error", "traceback")
+            else:
+                answer(good).write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+                ended = status_rows(good, "done", start + 2)
         except Exception as e:
             failed = good.withColumns({"error": F.lit(str(e)[:2000]), "traceback": F.lit(format_exc()[:20_000])})
             ended = status_rows(failed, "error", start + 2)
         ended.write.mode("overwrite").parquet(f"{at}/part=end")
         batch.unpersist()
 
-    writer = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    seen = requests if remember is None else first_of_each(requests, remember)
+    writer = seen.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def serve_jobs(requests: DataFrame, evidence: DataFrame, responses: DataFrame, documents: str, log: str, checkpoint: str, outputs: DataFrame | None = None, **options) -> StreamingQuery:
+    """The whole job of each request: a result document by its id, replacing an older one, and its status in the log."""
+
+    def store(docs: DataFrame) -> DataFrame:
+        kept = put_documents(docs, documents)
+        return kept.select("query_id", F.get_json_object("document", "$.status").alias("status"), F.get_json_object("document", "$.error").alias("error"))
+
+    return serve(requests, lambda batch: job_documents(evidence, batch, responses, outputs), store, log, checkpoint, **options)

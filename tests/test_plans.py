@@ -126,3 +126,57 @@ def test_chain_reads_each_input_once(spark, sf, tmp_path):
     assert got["1"]["status"] == "done" and len(got["1"]["shortlist"]) == 5 and got["1"]["bundle"]["user_prompt"].count("Candidate:") == 5
     assert {i: got[i]["error"] for i in "234"} == {"2": "k is negative", "3": "question is empty", "4": "response holds no JSON object"}
     assert spark.read.parquet(f"{tmp_path}/stages/shortlist").count() == 5
+
+
+def test_documents_are_replaced_by_id(spark, tmp_path):
+    path = f"{tmp_path}/docs"
+    docs = lambda ids, text: spark.createDataFrame([(str(i), f"{text} {i}") for i in ids], "query_id string, document string")
+    J.put_documents(docs(range(40), "old"), path, 16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "docs").glob("bucket=*/*.json")}
+    J.put_documents(docs([7], "new"), path, 16)
+    J.put_documents(docs([7], "new"), path, 16)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "docs").glob("bucket=*/*.json")}
+    assert len({p.parent for p in set(before) - set(after)}) == 1 and all(after[p] == before[p] for p in set(before) & set(after))
+    assert {r.query_id: r.document for r in J.read_documents(spark, path).collect()} == {str(i): f"{'new' if i == 7 else 'old'} {i}" for i in range(40)}
+    one = J.read_documents(spark, path, "7", 16)
+    assert [r.document for r in one.collect()] == ["new 7"] and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+    assert J.read_documents(spark, path, "99", 16).count() == 0
+    J.put_documents(docs([], "none"), path, 16)
+    assert J.read_documents(spark, path).count() == 40
+
+
+def test_snapshots_of_the_status_log(spark, tmp_path):
+    log, snap = f"{tmp_path}/log", f"{tmp_path}/snapshot"
+    kind = "query_id string, status string, seq long, error string, traceback string"
+
+    def batch(n, part, *rows):
+        spark.createDataFrame([(*r, None, None) for r in rows], kind).write.mode("overwrite").parquet(f"{log}/batch_id={n}/part={part}")
+
+    ids = spark.createDataFrame([(x,) for x in "abcz"], "query_id string")
+    told = lambda: {r.query_id: r.status for r in J.status_of(spark, log, snap, ids, 4).collect()}
+    batch(0, "begin", ("a", "queued", 0), ("b", "queued", 0))
+    assert J.compact_status(spark, log, snap, 4) == -1  # nothing is finished yet
+    assert told() == {"a": "queued", "b": "queued", "c": "unknown", "z": "unknown"}
+    batch(0, "end", ("a", "done", 2), ("b", "error", 2))
+    assert J.compact_status(spark, log, snap, 4) == 0 and J.compact_status(spark, log, snap, 4) == 0
+    batch(1, "begin", ("c", "queued", 4), ("b", "queued", 4))
+    assert told() == {"a": "done", "b": "queued", "c": "queued", "z": "unknown"}
+    batch(1, "end", ("c", None, 6), ("b", "done", 6))
+    assert J.compact_status(spark, log, snap, 4) == 1
+    assert told() == {"a": "done", "b": "done", "c": "running", "z": "unknown"}
+    asked = J.status_of(spark, log, snap, ids, 4)
+    assert "(batch_id#" in asked._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1]
+    assert {x.split("upto=")[1][0] for x in asked.inputFiles() if "upto=" in x} == {"1"}
+
+
+def test_resent_requests_are_answered_once(spark, tmp_path):
+    box, out, log, state = (str(tmp_path / n) for n in ("in", "out", "log", "state"))
+    put = lambda *texts: spark.createDataFrame([(t,) for t in texts], "question string").coalesce(1).write.mode("append").json(box)
+    answer = lambda df: df.select("query_id", "question")
+    for sent, want in ((("x", "y", "x"), ["x", "y"]), (("x", "z"), ["x", "y", "z"])):
+        put(*sent)
+        Q.serve(Q.read_requests(spark, box), answer, out, log, state).awaitTermination()
+        assert sorted(r.question for r in spark.read.parquet(out).collect()) == want
+    again = str(tmp_path / "all")
+    Q.serve(Q.read_requests(spark, box), answer, again, log, f"{state}2", remember=None).awaitTermination()
+    assert spark.read.parquet(again).count() == 5

@@ -40,15 +40,15 @@ class Layout:
         return Layout(padded, blocks, width, math.floor((SCALE * share * (1 + 1e-9) + math.sqrt(width) + 1) ** 2))
 
 
-def coordinates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, and their rotation as whole numbers.
+def coordinates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors scaled by a power of two, as unit vectors, and the rotation of these as whole numbers.
 
     The rotation is two rounds of random signs and a Walsh-Hadamard transform.
     Each row is worked out by the same operations whatever rows stand beside
     it, so that every task has the same whole numbers of a vector.
     """
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])  # exact, and no square overflows
     square = np.zeros(len(x))
     for j in range(x.shape[1]):
         square += x[:, j] * x[:, j]
@@ -59,7 +59,13 @@ def coordinates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, padded])
     for _ in range(2):
         y = transform(y * rng.choice([-1.0, 1.0], padded)) / math.sqrt(padded)
-    return unit, np.rint(y * SCALE)
+    return x, unit, np.rint(y * SCALE)
+
+
+def cosine_of(x: np.ndarray, y: np.ndarray) -> float:
+    """Of sums that are rounded once, so that neither the order of the two nor that of the components matters."""
+    dot, one, two = (math.fsum((a * b).tolist()) for a, b in ((x, y), (x, x), (y, y)))
+    return dot / math.sqrt(one * two)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, length: int) -> np.ndarray:
@@ -86,7 +92,7 @@ def _centre_sums(cosine: float):
         for b in batches:
             for n, part in _by_length(b, 2000):
                 lay = Layout.of(n, cosine)
-                _, q = coordinates(_matrix(part.column("x"), n))
+                *_, q = coordinates(_matrix(part.column("x"), n))
                 s = q.reshape(len(part), lay.blocks, lay.width)[:, :, :MOST_SPLITS].sum(0).ravel()
                 sums[n] = sums.get(n, 0) + s
                 counts[n] = counts.get(n, 0) + len(part)
@@ -151,7 +157,7 @@ def _cells(cosine: float, planes: dict[int, np.ndarray], counts_only: bool):
         for b in batches:
             for length, part in _by_length(b, 500):
                 lay = Layout.of(length, cosine)
-                _, q = coordinates(_matrix(part.column("x"), length))
+                *_, q = coordinates(_matrix(part.column("x"), length))
                 q = q.reshape(len(part), lay.blocks, lay.width)
                 for k in range(lay.blocks):
                     cuts = planes[length][k] if length in planes else np.zeros(0)
@@ -179,12 +185,12 @@ def _tile(cosine: float):
         length, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
         lay = Layout.of(length, cosine)
         left, right = t.filter(t.column("left")), t.filter(pc.invert(t.column("left")))
-        ul, ql = coordinates(_matrix(left.column("x"), length)) if len(left) else (None, None)
-        ur, qr = coordinates(_matrix(right.column("x"), length)) if len(right) else (None, None)
         a: list[np.ndarray] = [np.zeros(0, np.int64)]
         b: list[np.ndarray] = [np.zeros(0, np.int64)]
         n: list[np.ndarray] = [np.zeros(0, np.int64)]
         if len(left) and len(right):
+            xl, ul, ql = coordinates(_matrix(left.column("x"), length))
+            xr, ur, qr = coordinates(_matrix(right.column("x"), length))
             nl, nr = left.column("nid").to_numpy(), right.column("nid").to_numpy()
             ml, mr = left.column("copies").to_numpy().astype(float), right.column("copies").to_numpy().astype(float)
             beside = right.column("owner").to_numpy()  # in the cell itself: each pair only once
@@ -210,7 +216,7 @@ def _tile(cosine: float):
                 link &= dot >= cosine - 1e-12
                 doubt = np.argwhere(link & (dot < cosine + 1e-12))
                 for i, j in doubt.tolist():
-                    link[i, j] = math.fsum((ul[rows[i]] * ur[cols[j]]).tolist()) >= cosine
+                    link[i, j] = cosine_of(xl[rows[i]], xr[cols[j]]) >= cosine
                 for k in range(block):
                     if not link.any():
                         break

@@ -19,26 +19,52 @@ def _no_nan(df: DataFrame, name: str) -> Column:
     return F.nanvl(c, F.lit(None)) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
 
 
-def first_nonnull(df: DataFrame, name: str, order: str = "row_ord") -> Column:
-    """First value that isn't null in row order; if that one is an empty list the result is null."""
-    first = F.min_by(F.col(f"`{name}`"), F.when(F.col(f"`{name}`").isNotNull(), F.col(order)))
-    return F.when(F.size(first) > 0, first) if isinstance(df.schema[name].dataType, T.ArrayType) else first
+def place(name: str) -> str:
+    """Name of the column that says where a list's value lies."""
+    return f"_at_{name}"
+
+
+def first_places(lists: list[str], order: str = "row_ord") -> list[Column]:
+    """For each list column, where its first value lies that isn't null: the least row order, a number as a rule, so that rows aggregate by hash."""
+    return [F.min(F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(place(c)) for c in lists]
+
+
+def fetch_lists(df: DataFrame, rows: DataFrame, lists: list[str], order: str = "row_ord") -> DataFrame:
+    """The values of the chosen rows in the stead of their places; an empty list becomes null, later rows are not tried.
+
+    ``rows`` has each row order once.  Only the chosen rows' lists are moved, so this comes
+    best after ranking, when few are left.
+    """
+    for c in lists:
+        value = F.when(F.size(c) > 0, F.col(c)) if isinstance(rows.schema[c].dataType, T.ArrayType) else F.col(c)
+        # Rows with a null are never chosen.
+        values = rows.where(F.col(c).isNotNull()).select(F.col(order).alias(place(c)), value.alias(c))
+        df = df.join(values, place(c), "left").drop(place(c))
+    return df
+
+
+def list_columns(df: DataFrame, order: str = "row_ord") -> list[str]:
+    """Columns that are collapsed to their first value; without a row order there are none."""
+    return [c for c in df.columns if c in LISTS] if order in df.columns else []
+
+
+def first_values(df: DataFrame, by: list[str], lists: list[str], order: str = "row_ord") -> DataFrame:
+    """Of each group the first value that isn't null in row order; if that one is an empty list the result is null."""
+    return fetch_lists(df.groupBy(*by).agg(*first_places(lists, order)), df, lists, order)
 
 
 def rules(df: DataFrame, order: str = "row_ord") -> list[Column]:
-    """The aggregate of every column that survives; all others go. Lists need the row order column."""
+    """The aggregate of every column that survives, for lists their places; all others go. Lists need the row order column."""
     out = []
     for c in df.columns:
         if c in SMALLEST or c.endswith(SMALLEST_ENDS):
             out.append(F.min(_no_nan(df, c)).alias(c))
         elif c in LARGEST or c.endswith(LARGEST_ENDS):
             out.append(F.max(_no_nan(df, c)).alias(c))
-        elif c in LISTS and order in df.columns:
-            out.append(first_nonnull(df, c, order).alias(c))
-    return out
+    return out + first_places(list_columns(df, order), order)
 
 
 def collapse_pairs(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row for each (mirna_name, gene_symbol); rows with a null key go. Partial aggregation precedes the shuffle."""
     keys = ["mirna_name", "gene_symbol"]
-    return df.dropna(subset=keys).groupBy(*(by or []), *keys).agg(*rules(df))
+    return fetch_lists(df.dropna(subset=keys).groupBy(*(by or []), *keys).agg(*rules(df)), df, list_columns(df))

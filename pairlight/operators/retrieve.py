@@ -10,7 +10,7 @@ from pairlight.columns import flag, strip, whole
 from pairlight.functions.identifiers import candidate_names, is_regulator
 from pairlight.functions.scores import OWN, Weights, expressed_of, with_scores
 from pairlight.operators.cohorts import asked_cohorts, with_cohort
-from pairlight.operators.collapse import rules
+from pairlight.operators.collapse import fetch_lists, list_columns, rules
 from pairlight.sources.evidence import prepare
 
 QUERY_SCHEMA = T.StructType([
@@ -146,12 +146,13 @@ def retrieve(evidence: DataFrame, queries: DataFrame, max_k: int | None = None,
     Catalyst leaves out if nobody reads them.  ``cohorts`` is the long table that
     belongs to ``evidence``, where cohorts aren't columns of it.
     """
-    asked = with_defaults(queries)
-    rows = matches(_with_keys(evidence), asked)
+    asked, evidence = with_defaults(queries), _with_keys(evidence)
+    rows = matches(evidence, asked)
     if cohorts is not None:
         rows = with_cohort(rows, cohorts, asked_cohorts(cohorts, asked))
     own = OWN if cohorts is not None else F.col("cohort")
-    return rank_pairs(scored_pairs(rows, own, weights, collapse), matched_names(rows, ["query_id", "tier"]), max_k)
+    ranked = rank_pairs(scored_pairs(rows, own, weights, collapse), matched_names(rows, ["query_id", "tier"]), max_k)
+    return fetch_lists(ranked, evidence, list_columns(evidence)) if collapse else ranked
 
 
 def rank_pairs(scored: DataFrame, names: DataFrame, max_k: int | None = None) -> DataFrame:
@@ -166,7 +167,8 @@ def rank_pairs(scored: DataFrame, names: DataFrame, max_k: int | None = None) ->
 def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, weights: Weights = Weights(), cohorts: DataFrame | None = None, **options) -> DataFrame:
     """A single query by token and parameters: its keys are filters of the scan, each task keeps its k best pairs, and only these meet."""
     k = options.get("k", DEFAULTS["k"])
-    rows, hit, tier, name = matches_one(_with_keys(evidence), token, options)
+    evidence = _with_keys(evidence)
+    rows, hit, tier, name = matches_one(evidence, token, options)
     own = options.get("cohort") or ""
     if cohorts is not None:
         rows, own = with_cohort(rows, cohorts.where(hit), [own.upper()]), OWN
@@ -175,9 +177,11 @@ def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, weights
     line = Window.orderBy(*_order())
     ranked = top.withColumns({"rank": F.row_number().over(line), "_best": F.first("tier").over(line)})
     if name is not None:
-        return _shown(ranked.withColumn("matched_query_tokens", name)).drop("query_id")
-    names = rows.select("mirna_name", "direction", F.lit(None).cast("string").alias("token")).distinct().withColumn("tier", tier)
-    return _shown(ranked, matched_names(names, ["tier"])).drop("query_id")
+        out = _shown(ranked.withColumn("matched_query_tokens", name))
+    else:
+        names = rows.select("mirna_name", "direction", F.lit(None).cast("string").alias("token")).distinct().withColumn("tier", tier)
+        out = _shown(ranked, matched_names(names, ["tier"]))
+    return (fetch_lists(out, evidence.where(hit), list_columns(evidence)) if collapse else out).drop("query_id")
 
 
 def _with_keys(evidence: DataFrame) -> DataFrame:

@@ -16,14 +16,14 @@ from pairlight.functions import identifiers as ids
 from pairlight.functions.scores import with_scores
 from pairlight.operators import retrieve as R
 from pairlight.operators.cohorts import read_cohorts, write_cohorts
-from pairlight.operators.collapse import collapse_pairs, first_nonnull
+from pairlight.operators.collapse import collapse_pairs, first_values
 from pairlight.plans import answers as A
 from pairlight.plans import prompts as P
 from pairlight.plans import specs as S
 from pairlight.plans.cards import cards as make_cards
 from pairlight.plans.chain import job_documents
 from pairlight.sources import jobs as J
-from pairlight.sources.evidence import prepare, read_evidence
+from pairlight.sources.evidence import numbered, prepare, read_evidence
 from pairlight.sources.stages import shared_folder
 from pairlight.streaming import requests as Q
 
@@ -252,9 +252,10 @@ _ROW = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpr
 r AS (SELECT m, s, tissues, row_number() OVER (PARTITION BY m, s ORDER BY (tissues IS NULL), {_ROW}) AS n FROM t)
 SELECT m, s, nullif(tissues, '') AS tissues FROM r WHERE n = 1""", name="first_nonnull")
 def first_nonnull_list(spark, sf_dir):
-    df = _table(spark, sf_dir, "lineitem").selectExpr(f"{M} AS m", "l_suppkey % 50 AS s", f"{_TISSUES} AS text", f"struct({_ROW}) AS row_ord")
+    df = _table(spark, sf_dir, "lineitem").selectExpr(f"{M} AS m", "l_suppkey % 50 AS s", f"{_TISSUES} AS text", *_ROW.split(", "))
+    df = numbered(df, *_ROW.split(", ")).select("m", "s", "text", "row_ord")
     df = df.withColumn("tissues", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", r"\|")))
-    return df.groupBy("m", "s").agg(F.array_join(first_nonnull(df, "tissues"), "|").alias("tissues"))
+    return first_values(df, ["m", "s"], ["tissues"]).select("m", "s", F.array_join("tissues", "|").alias("tissues"))
 
 
 _PARTS = {"retrieval_support": "s_support", "retrieval_ts_contrib": "s_ts", "retrieval_clip_contrib": "s_clip", "retrieval_mirdb_contrib": "s_mirdb", "retrieval_tcga_contrib": "s_cohort", "retrieval_pathway_bonus": "s_path", "retrieval_score": "score", "retrieval_tcga_p": "p"}
@@ -582,9 +583,11 @@ def empty_questions(spark, sf_dir):
 r AS (SELECT s, tissues, row_number() OVER (PARTITION BY s ORDER BY (tissues IS NULL), {_ROW}) AS n FROM t)
 SELECT 'G' || s AS name, 'support_count=' || encori || '; ENCORI(CLIP_sum=0, sites=0)' AS evidence, 'ENCORI tissues: ' || replace(nullif(tissues, ''), '|', ', ') AS notes FROM r JOIN g USING (s) WHERE n = 1""")
 def card_notes(spark, sf_dir):
-    df = _table(spark, sf_dir, "lineitem").selectExpr("concat('G', l_suppkey % 50) AS gene_symbol", f"{_TISSUES} AS text", "CAST(l_linenumber % 2 AS INT) AS encori", f"struct({_ROW}) AS row_ord")
+    df = _table(spark, sf_dir, "lineitem").selectExpr("concat('G', l_suppkey % 50) AS gene_symbol", f"{_TISSUES} AS text", "CAST(l_linenumber % 2 AS INT) AS encori", *_ROW.split(", "))
+    df = numbered(df, *_ROW.split(", ")).select("gene_symbol", "text", "encori", "row_ord")
     df = df.withColumn("tissues", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", r"\|")))
-    one = df.groupBy("gene_symbol").agg(F.max("encori").alias("support_encori"), F.max("encori").alias("support_count"), first_nonnull(df, "tissues").alias("cellline_tissue_set")).withColumn("mirna_name", F.lit(None).cast("string"))
+    one = df.groupBy("gene_symbol").agg(F.max("encori").alias("support_encori"), F.max("encori").alias("support_count")).join(first_values(df, ["gene_symbol"], ["tissues"]), "gene_symbol")
+    one = one.select("*", F.col("tissues").alias("cellline_tissue_set"), F.lit(None).cast("string").alias("mirna_name"))
     return make_cards(one).select("name", "evidence", "notes")
 
 

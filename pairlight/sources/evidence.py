@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlight.columns import require
+from pairlight.sources.stages import stored
 
 REQUIRED = ["mirna_name", "gene_symbol", "support_count"]
 
 
 def read_evidence(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """Scan a Parquet evidence table; ``ordered`` adds row_ord, the file and the row's place in it."""
+    """Scan a Parquet evidence table; ``ordered`` adds row_ord, a number that rises by file and by the row's place in it.
+
+    Files are numbered by their paths in a small table of their own, which is read from the files' footers.
+    """
     df = spark.read.parquet(path)
     if not ordered:
         return df
-    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("row_ord"))
+    name, row = (F.col(f"_metadata.{c}") for c in ("file_path", "row_index"))
+    files = df.select(name.alias("_file")).distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    placed = df.select("*", name.alias("_file"), row.alias("_row")).join(files, "_file")
+    return placed.select(*df.columns, (F.shiftleft("_number", 40) + F.col("_row")).alias("row_ord"))
+
+
+def numbered(evidence: DataFrame, *order: Column | str) -> DataFrame:
+    """Evidence with row_ord numbered in the order of columns, by a range sort; stored, so that every reader sees the same numbers."""
+    return stored(evidence.orderBy(*order).withColumn("row_ord", F.monotonically_increasing_id()), "numbered")
 
 
 def prepare(evidence: DataFrame, row_order: Column | None = None) -> DataFrame:

@@ -36,10 +36,21 @@ _OPEN, _END = r"[\"'`(\[]{0,2}", r"[\"'`]?[,;.)\]}]*$"
 _NAMED = rf"(?i)(?:{NEAR_SECRET})[A-Za-z0-9_.-]{{0,20}}[\"'`\])]{{0,2}}\s*[:=]+>?\s*{_OPEN}([^\s\"'`]{{{LEAST_NAMED},}}?){_END}"
 #: The password of an address: 'scheme://name:...@host'.
 _USERINFO = rf"://[^/\s:@]+:([^\s/@]{{{LEAST_NAMED},}})@"
+#: What stands in a secret's element, after a command's user option, or after a sentence's 'password is'.
+_TAGGED = rf"(?i)<[a-z0-9_.:-]{{0,20}}(?:{NEAR_SECRET})[a-z0-9_.-]{{0,20}}>([^\s<>]{{{LEAST_NAMED},}})</"
+_USER = r"(?:^|\s)(?:-u|--user)[\s=]+[\"']?[^\s:@/\"']+:"
+_USER_VALUE = rf"{_USER}([^\s\"']{{{LEAST_NAMED},}})"
+_SAID = r"(?i)(?:password|passphrase|passcode|passwd|pwd|secret|token|api.?key|access.?key)\s+(?:is|was)\s+"
+_SAID_VALUE = rf"{_SAID}{_OPEN}([^\s\"'`]{{{LEAST_NAMED},}}?){_END}"
+#: What an encoded picture or an integrity digest begins with: public, though it looks random.
+_ENCODED, _INTEGRITY = r"(?i)base64,\s*$|(?i)sha-?[0-9]{1,3}[-:]\s*$", r"(?i)^sha-?[0-9]{1,3}-"
 #: A text without this has no named value.
 _SET = rf"(?i)(?:{NEAR_SECRET})[A-Za-z0-9_.-]{{0,20}}[\"'`\])]{{0,2}}[\x20\x09-\x0D]*[:=]|://[^/\s:@]+:[^\s/@]+@"
 
-FEATURES = ["length", "digits", "capitals", "smalls", "signs", "changes", "letter_digit", "distinct", "vowel_pairs", "hex_only", "dictionary", "corpus_words", "in_path", "harmless_path", "assigned", "near_secret", "near_harmless", "userinfo", "stand_in", "known_format"]
+#: Nor is there one without this in a text that has no sign of assignment.
+_SET_BESIDE = rf"{_TAGGED}|(?:^|\s)(?:-u|--user)\s|{_SAID}"
+
+FEATURES = ["length", "digits", "capitals", "smalls", "signs", "changes", "letter_digit", "distinct", "vowel_pairs", "hex_only", "dictionary", "corpus_words", "in_path", "harmless_path", "assigned", "near_secret", "near_harmless", "userinfo", "stand_in", "known_format", "encoded"]
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 500) -> list[str]:
@@ -55,16 +66,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates are runs of at least LEAST key characters that aren't plain prose,
     and values of any signs of at least LEAST_NAMED characters that a secret's name
-    is set to (in the same word or the two before it) or that stand as the password of an address.
+    is set to (in the same word or the two before it), that stand as the password of an address, in an
+    element of a secret's name or after a command's user option, or of which a sentence says that they are the password.
     Words are parted by white space; ``before`` holds what precedes the candidate in
     its word and the two words before it.
     """
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     text = F.col(text_col).cast("string")
     sign = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))  # most texts have none and need no search for names
-    ws = docs.where(text.rlike(_RUN) | (sign & text.rlike(_SET))).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+").alias("ws"))
+    ws = docs.where(text.rlike(_RUN) | (sign & text.rlike(_SET)) | text.rlike(_SET_BESIDE)).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.split(text, r"[\x20\x09-\x0D]+").alias("ws"))
     long_run = lambda w: (F.length(w) >= LEAST) & w.rlike(_RUN)
-    named = lambda i: (F.length(F.get("ws", i)) >= LEAST_NAMED) & (F.get("ws", i).rlike("[:=]") | F.coalesce(F.get("ws", i - 1).rlike(r"[:=]>?[\"'`(\[]{0,2}$"), F.lit(False)))
+    named = lambda i: (F.length(F.get("ws", i)) >= LEAST_NAMED) & (F.get("ws", i).rlike("[:=]") | F.coalesce(F.get("ws", i - 1).rlike(r"[:=]>?[\"'`(\[]{0,2}$"), F.lit(False)) | F.contains(F.get("ws", i), F.lit("</")) | F.coalesce(F.lower(F.get("ws", i - 1)).isin("is", "was", "-u", "--user"), F.lit(False)))
     hits = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: long_run(F.get("ws", i)) | named(i))
     # No filter on the hits, and an outer generator, which implies none: pushed down, it would split the text again for every word.
     found = ws.select("doc_id", "path", "ws", hits.alias("hits"))
@@ -75,8 +87,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = F.transform(F.regexp_extract_all("word", F.lit(f"({_RUN})"), 1), lambda r: F.regexp_replace(r, r"^[A-Za-z_-]{2,40}=", ""))
     runs = F.filter(runs, lambda r: (F.length(r) >= LEAST) & r.rlike(_ODD))
     # A value that reaches back over the word's start is another word's.
-    value = F.regexp_extract(F.concat_ws(" ", "prior", "word"), _NAMED, 1)
-    values = F.filter(F.array(value, F.regexp_extract("word", _USERINFO, 1)), lambda v: (v != "") & F.contains(F.col("word"), v))
+    around = F.concat_ws(" ", "prior", "word")
+    shapes = F.array(*(F.regexp_extract(around, p, 1) for p in (_NAMED, _USER_VALUE, _SAID_VALUE)), *(F.regexp_extract("word", p, 1) for p in (_USERINFO, _TAGGED)))
+    values = F.filter(shapes, lambda v: (v != "") & F.contains(F.col("word"), v))
     rows = rows.select("doc_id", "path", "at", "word", "prior", "after", values.alias("values"), runs.alias("runs"))
     # A run within a longer value is no candidate of its own.
     alone = F.filter("runs", lambda r: ~F.exists("values", lambda v: F.contains(v, r) & (v != r)))
@@ -110,12 +123,13 @@ def _features(found: DataFrame, words: list[str]) -> DataFrame:
         "corpus_words": in_words / n,
         "in_path": flag(F.col("word").rlike(r"://|^www\.|/[^/]+/|\.[a-z]{2,4}(/|$)|@")),
         "harmless_path": flag(path.rlike(HARMLESS_PATH)),
-        "assigned": flag(before.rlike(r"[=:]>?\s*[\"'`(\[]{0,2}\s*$")),
+        "assigned": flag(before.rlike(r"([=:]>?|>|\s(is|was))\s*[\"'`(\[]{0,2}\s*$")),
         "near_secret": flag(before.rlike(NEAR_SECRET)),
         "near_harmless": flag(before.rlike(NEAR_HARMLESS)),
-        "userinfo": flag(F.col("word").rlike(_USERINFO)),
+        "userinfo": flag(F.col("word").rlike(_USERINFO) | before.rlike(_USER)),
         "stand_in": flag(c.rlike(STAND_INS)),
         "known_format": flag(c.rlike("|".join(f"^(?:{p})$" for p in FORMATS.values()))),
+        "encoded": flag(before.rlike(_ENCODED) | c.rlike(_INTEGRITY)),
     }
     return found.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in values.items()})
 
@@ -143,7 +157,22 @@ def labelled_findings(spark: SparkSession, words: list[str], each: int = 150) ->
     mixed = F.concat(b64("p").substr(1, 4), pick("!", "@", "#", "%", "&", "-", "_", ""), cut(b64("q"), 2, 9), h("r").substr(1, 1))
     spelled = F.concat(F.initcap(F.translate(own_word("s"), "aeio", "a3i0")), h("t").substr(1, 1), F.regexp_extract(digits, "^(.{2})", 1), end)
     name = F.concat(pick("api_key", "token", "password", "key", "secret", "auth", "Password", "credentials"), sign)
+    blob = F.concat_ws("", *(b64(f"blob{k}") for k in range(8)))
+    told = pick("the password is ", "my password was ", "passphrase is ", "the secret is ", "new token is ", "its api key is ")
+    tag = pick("<password>", "<secret>", "<api-token>", "<authToken>", "<db.password>", "<pwd>")
+    user = pick("-u admin:", "--user bob:", "curl -u svc:", "-u 'root:")
     kinds = [
+        (1, mixed, told, F.lit("docs")),
+        (1, spelled, told, F.lit("data")),
+        (1, mixed, tag, F.lit("src/app")),
+        (1, spelled, tag, F.lit("data")),
+        (1, mixed, user, F.lit("src/app")),
+        (1, spelled, user, F.lit("data")),
+        (0, own_word("said"), told, F.lit("data")),
+        (0, own_word("tag"), tag, F.lit("docs")),
+        (0, own_word("user"), user, F.lit("docs")),
+        (0, cut(blob, 24, 340), pick("data:image/png;base64,", 'src="data:image/gif;base64,', "url(data:font/woff2;base64,", "data:application/pdf;base64,"), F.lit("src/app")),
+        (0, F.concat(pick("sha256-", "sha384-", "sha512-", "sha1-"), cut(blob, 27, 86), pick("=", "==", "")), pick('integrity="', "integrity: ", '"integrity": "', "", "the "), F.lit("data")),
         (1, mixed, name, F.lit("src/app")),
         (1, spelled, name, F.lit("data")),
         (1, mixed, pick("postgres://app:", "https://user:", "ftp://root:", "amqp://svc:"), F.lit("src/app")),

@@ -94,3 +94,84 @@ def test_edges(spark):
     got = sorted(((x.doc_id is None, x.doc_id, x.candidate) for x in secrets.scan(df).collect()), key=str)
     assert got == [(False, 4, "Zk7!pq2zQ4"), (True, None, "Xk7!pq2z"), (True, None, "Xk7!pq2z")]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def held_back(r):
+    """Shapes of secrets and of look-alikes that the forest's findings weren't written by."""
+    rand = lambda n, chars=ALNUM: "".join(r.choice(chars) for _ in range(n))
+    hexa, b64 = "0123456789abcdef", ALNUM + "+/"
+    strong = rand(1, ALNUM[:26]) + rand(r.randrange(9, 13), ALNUM + "!#%+-") + rand(1, "0123456789") + rand(1, "!#%")
+    w = lambda: r.choice("thanon inglyed sourciere kommentar verbindung ouvrage".split())
+    return [
+        (f"<password>{strong}</password>", strong, True),
+        (f"curl -u deploy:{strong} host", strong, True),
+        (f"the password is {strong} today", strong, True),
+        (f"<db.secret>{strong}</db.secret>", strong, True),
+        (f"export SERVICE_TOKEN={rand(32)}", None, True),
+        (f'"privateKey": "{rand(44, b64)}"', None, True),
+        (f"set passwd := {strong}", strong, True),
+        (f"smtp://mailer:{strong}@mx", strong, True),
+        (f"data:image/jpeg;base64,{rand(r.randrange(60, 200), b64)}==", None, False),
+        (f"sha256-{rand(43, b64)}=", None, False),
+        (f'integrity="sha512-{rand(86, b64)}=="', None, False),
+        (f"checksum {rand(64, hexa)}", None, False),
+        (f"revision {rand(40, hexa)} of it", None, False),
+        (f"id {rand(8, hexa)}-{rand(4, hexa)}-{rand(4, hexa)}-{rand(4, hexa)}-{rand(12, hexa)}", None, False),
+        (f"the secret is {w()} here", None, False),
+        (f"<password>{w()}</password>", None, False),
+        (f"invoice {rand(14, '0123456789')}", None, False),
+        (f"class {w().title()}{w().title()}Handler2", None, False),
+        (f"https://{w()}.org/{w()}/{w()}-2024-01", None, False),
+        ("password = ${PASSWORD}", None, False),
+    ]
+
+
+def test_shapes_of_a_generator_held_back(spark):
+    r = random.Random(77)
+    base = [x["text"] or "" for x in table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id").collect()]
+    rows, secret, harmless, i = [], set(), set(), 0
+    for _ in range(15):
+        for line, value, yes in held_back(r):
+            ws = base[i % len(base)].split(" ")
+            at = r.randrange(len(ws) + 1)
+            rows.append((i, " ".join([*ws[:at], line, *ws[at:]]), "src0"))
+            (secret if yes else harmless).add(i)
+            if yes:
+                secret.add((i, value or line.split("=")[-1].strip('"').split('"')[-1]))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = spark.createDataFrame([(k, t, "src0") for k, t in enumerate(base)], df.schema)
+    known = {x.candidate for x in secrets.scan(plain).where("is_secret").collect()}
+    taken = {(x.doc_id, x.candidate) for x in secrets.scan(df).where("is_secret").collect() if x.candidate not in known}
+    wanted = {x for x in secret if isinstance(x, tuple)}
+    wrong = {x for x in taken if x[0] in harmless}
+    print(f"secrets {len(wanted)}, found {len(wanted & taken)}, look-alikes {len(harmless)}, taken {len(wrong)}", sorted(wrong)[:8], sorted(wanted - taken)[:8])
+    assert len(wanted & taken) >= 0.9 * len(wanted)
+    assert len({x[0] for x in wrong}) <= 0.05 * len(harmless)
+
+
+def test_features_equal_plain_ones(spark):
+    import re
+
+    r = random.Random(8)
+    words = ["thanon", "ouvrage", "winter"]
+    rows = [(line.split()[-1], line.split()[-1], " ".join(line.split()[:-1]), r.choice(["test/a", "src/app", None])) for _ in range(4) for line, *_ in [*planted(r), *held_back(r)]]
+    rows += [("Winter42thanon", "Winter42thanon", None, None), ("aaaaaaaa", "aaaaaaaa", "key =", "docs"), ("AbC+/9xQabC+/9xQ", "AbC+/9xQabC+/9xQ", "data:image/png;base64,", "a")]
+    got = secrets._features(spark.createDataFrame(rows, "candidate string, word string, before string, path string"), words).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        c, before, n = x.candidate, (x.before or "").lower(), len(x.candidate)
+        kind = ["d" if ch.isdigit() else "u" if ch.isupper() else "l" if ch.islower() else "s" for ch in c]
+        pairs = list(zip(kind, kind[1:]))
+        low = c.lower()
+        vowel = ["v" if ch in "aeiou" else "c" if ch in "bcdfghjklmnpqrstvwxyz" else "" for ch in low]
+        changes = sum(a != b and a != "s" for a, b in pairs)
+        mixed = sum((a in "ul") + (b in "ul") == 1 and "d" in (a, b) for a, b in pairs)
+        swaps = sum({a, b} == {"v", "c"} for a, b in zip(vowel, vowel[1:]))
+        plain = {
+            "length": n, "digits": kind.count("d") / n, "capitals": kind.count("u") / n, "smalls": kind.count("l") / n, "signs": kind.count("s") / n, "changes": changes / n, "letter_digit": mixed / n, "distinct": len(set(c)) / n, "vowel_pairs": swaps / n,
+            "hex_only": float(all(ch in "0123456789abcdef" for ch in c) or all(ch in "0123456789ABCDEF" for ch in c)), "corpus_words": sum(len(w) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", c) if w.lower() in words) / n,
+            "dictionary": (n - len(re.sub(secrets.DICTIONARY, "", low))) / n, "near_secret": float(bool(re.search(secrets.NEAR_SECRET, before))), "near_harmless": float(bool(re.search(secrets.NEAR_HARMLESS, before))), "harmless_path": float(bool(re.search(secrets.HARMLESS_PATH, x.path or ""))),
+            "encoded": float(before.rstrip().endswith("base64,") or bool(re.match(r"sha-?\d{1,3}-", low))),
+        }
+        assert {k: round(x[k], 9) for k in plain} == {k: round(float(v), 9) for k, v in plain.items()}, (c, before)

@@ -72,8 +72,27 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_minhash_neardup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_toxicity, op8_media_columns, op9_secret_scan, op10_language_id, op11_centroid_clustering, op12_embedding_neardup, op13_prefix_trie)}
+# What of operators 4, 6 and 8 SQL can express.
 
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = quality.measure(table(spark, sf_dir, "documents"))
+    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") <= 3).alias("within"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.image_columns(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_minhash_neardup, op4_quality_rules, op5_lm_scoring, op6_source_mixing, op7_toxicity, op8_media_columns, op9_secret_scan, op10_language_id, op11_centroid_clustering, op12_embedding_neardup, op13_prefix_trie, quality_base_columns, mixing_targets, media_payloads)}
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+#: CRC-32 of a list of bytes, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295, {0}), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
 _SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -132,4 +151,20 @@ k AS (SELECT left(path, (d - 1) * 32) AS path, count(*) AS n FROM n WHERE d > 0
 u AS (SELECT a.path, sum(b.own) AS saved, count(*) FILTER (NOT EXISTS (SELECT 1 FROM k WHERE k.path = b.path)) AS leaves FROM n b JOIN n a ON a.d <= b.d AND left(b.path, a.d * 32) = a.path GROUP BY a.path)
 SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
 FROM n JOIN u ON u.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n o ON n.d > 0 AND o.d = n.d - 1 AND o.path = left(n.path, (n.d - 1) * 32)""",
+    "quality_base_columns": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM w) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "mixing_targets": f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3.0 * source_size AS top FROM s),
+f AS (SELECT *, row_number() OVER (ORDER BY top / w, source NULLS LAST) AS pos, sum(source_size) OVER () AS total, coalesce(sum(top) OVER o, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS rest FROM w WINDOW o AS (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min((total - filled) / rest, pos) FILTER (WHERE (total - filled) / rest * w <= top) AS level FROM f)
+SELECT doc_id, size, source_size, round(least(CAST(level AS DOUBLE) * CAST(w AS DOUBLE), CAST(top AS DOUBLE)), 6) AS target, TRUE AS within FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source, v""",
+    "media_payloads": f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, length(h) // 2 AS n, h || repeat('00', CAST(greatest(64, (length(h) // 2 + 63) // 64 * 64) - length(h) // 2 AS BIGINT)) AS h FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(length(h) // 2 AS BIGINT) AS payload_bytes, sha256(unhex(h)) AS payload_sha256, {_CRC.format("list_transform(range(64), lambda i: CAST('0x' || substr(right(h, 128), 2 * i + 1, 2) AS BIGINT))")} AS tail_crc32 FROM p""",
 }

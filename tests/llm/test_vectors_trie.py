@@ -178,7 +178,7 @@ def test_trie_against_brute_force(spark, size):
     assert trie.trie(trie.rebuild(trie.sequences(df.limit(0))), part_bytes=size).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_minhash_neardup", "op11_centroid_clustering", "op12_embedding_neardup", "op13_prefix_trie"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_minhash_neardup", "op11_centroid_clustering", "op12_embedding_neardup", "op13_prefix_trie", "quality_base_columns", "mixing_targets", "media_payloads"])
 def test_queries_against_their_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "conversations"):

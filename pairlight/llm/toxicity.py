@@ -316,15 +316,15 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
     return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, predicted int")
 
 
-def train_on(docs: DataFrame, labels: DataFrame, folds: int = 5, hold: int = 0) -> Net | None:
+def train_on(docs: DataFrame, labels: DataFrame, folds: int = 5, hold: int = 0, per_class: int = 3000) -> Net | None:
     """Fit on the labelled documents outside fold ``hold``; of several labels of a document the highest counts.
 
-    Labels are joined to ids first, and only texts of a chosen few ids go on, so
+    The sample is ``fit``'s, of at most ``per_class`` rows a label.  Labels are joined to ids first, and only texts of a chosen few ids go on, so
     that no other text is shuffled.
     """
     one = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic")).where("_toxic IS NOT NULL")
     some = docs.where(id_bucket("doc_id", folds) != hold).select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = some.where("text IS NOT NULL").select("doc_id").join(one, F.col("doc_id") == F.col("_id"))
     ids = materialise(ids.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), (F.col("_toxic") > 0).cast("int").alias("_y")), "toxic-ids")
-    chosen = ids.join(broadcast_if_small(materialise(lowest(ids, "_y", "h", 3000), "toxic-chosen")), ["_y", "h"]).select(F.col("doc_id").alias("_id"), F.col("_y").alias("_toxic")).distinct()
-    return fit(some.join(broadcast_if_small(materialise(chosen, "toxic-labels")), F.col("doc_id") == F.col("_id")), label_col="_toxic")
+    chosen = ids.join(broadcast_if_small(materialise(lowest(ids, "_y", "h", per_class), "toxic-chosen")), ["_y", "h"]).select(F.col("doc_id").alias("_id"), F.col("_y").alias("_toxic")).distinct()
+    return fit(some.join(broadcast_if_small(materialise(chosen, "toxic-labels")), F.col("doc_id") == F.col("_id")), label_col="_toxic", per_class=per_class)

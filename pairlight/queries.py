@@ -328,6 +328,13 @@ def cohort_table(spark, sf_dir):
     return out.select("query_id", "rank", "mirna_name", "gene_symbol", *(F.round(c, 6).alias(c) for c in ("retrieval_score", "retrieval_tcga_contrib", "retrieval_tcga_p")), "retrieval_tcga_anticorr_flag")
 
 
+@query(_batch_sql("SELECT query_id, CAST(rank AS INT) AS rank, mirna_name, gene_symbol, matched_query_tokens FROM top JOIN names USING (query_id) WHERE query_id IN ('8', '14')"))
+def empty_shortlist(spark, sf_dir):
+    """A name that the table doesn't have and a k of 0: no row, the full schema."""
+    out = R.retrieve(evidence(spark, sf_dir), batch(spark).where("query_id IN ('8', '14')"), max_k=MAX_K)
+    return out.select("query_id", "rank", "mirna_name", "gene_symbol", "matched_query_tokens")
+
+
 # Specifications
 
 _N = "CAST(c_custkey % {0} AS VARCHAR(10))"

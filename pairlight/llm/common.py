@@ -23,6 +23,12 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def each(column, step: int = 500):
+    """The values of an Arrow column one by one; only ``step`` of them are Python objects at a time."""
+    for lo in range(0, len(column), step):
+        yield from column.slice(lo, step).to_pylist()
+
+
 def id_bucket(doc_id: str, mod: int) -> Column:
     """crc32 of the id's text modulo ``mod``; a null id gives -1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod, F.lit(-1))

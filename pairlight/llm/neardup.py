@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import broadcast_if_small, free, lower_words, materialise, release
+from pairlight.llm.common import broadcast_if_small, each, free, lower_words, materialise, release
 
 #: Each of the two collections has SIDE small hashes of DEPTH minhashes; a table's key is a pair of
 #: them, so SIDE * SIDE tables of 2 * DEPTH minhashes take 2 * SIDE * DEPTH minhashes in all.
@@ -25,7 +25,7 @@ _HALF = np.uint64(32)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         known = WordHashes()
         for b in batches:
             n, digests, small = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in each(b.column(1)):
                 s = shingle_set(text, width, known)
                 n.append(len(s))
                 d = xxhash.xxh3_128_digest(s.tobytes())

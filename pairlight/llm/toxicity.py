@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import broadcast_if_small, id_bucket, lowest, materialise
+from pairlight.llm.common import broadcast_if_small, each, id_bucket, lowest, materialise
 
 #: Hash space of whole words, and of their stems: their first so many letters.
 SPACE, STEMS = 1 << 20, (3, 4, 5, 7)
@@ -44,7 +44,7 @@ class Tokens(dict):
 
     def __missing__(self, word: str) -> bytes:
         h = [zlib.crc32(word[:n].encode("utf-8", "surrogatepass"), k) % SPACE for k, n in enumerate((None, *STEMS))]
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = struct.pack("<qq", h[0] | h[1] << 20 | self.marks.get(word, 0) << 40, h[2] | h[3] << 20 | h[4] << 40)
         return out
@@ -309,8 +309,7 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            s = np.concatenate([net.scores(block) for block in blocks(texts, known)]) if net and texts else np.zeros(len(texts))
+            s = np.concatenate([net.scores(block) for block in blocks(each(b.column(0)), known)]) if net and len(b) else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
 
     return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, predicted int")

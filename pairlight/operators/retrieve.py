@@ -169,9 +169,9 @@ def retrieve_one(evidence: DataFrame, token: str, collapse: bool = True, weights
     k = options.get("k", DEFAULTS["k"])
     evidence = _with_keys(evidence)
     rows, hit, tier, name = matches_one(evidence, token, options)
-    own = options.get("cohort") or ""
+    own = (options.get("cohort") or "").upper()
     if cohorts is not None:
-        rows, own = with_cohort(rows, cohorts.where(hit), [own.upper()]), OWN
+        rows, own = with_cohort(rows, cohorts.where(hit), [own]), OWN
     top = scored_pairs(rows, own, weights, collapse, tier).orderBy(*_order()).limit(k)
     # The window sees k rows.
     line = Window.orderBy(*_order())

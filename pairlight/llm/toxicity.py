@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 import zlib
@@ -279,7 +280,17 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     del sample  # its copies of the tokens would stay in the driver throughout training
     if not len(y) or y.min() == y.max():
         return None
-    return learn(docs, y)
+    net = learn(docs, y)
+    docs.clear()
+    _give_back()
+    return net
+
+
+def _give_back() -> None:
+    """Hand memory that training has freed back to the system, where the C library can, so that the driver doesn't keep it for all later stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:

@@ -59,6 +59,20 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64).reshape(-1, 2)
 
 
+def numbered(pieces: Iterable[tuple[bytes, list[bytes]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct words of all texts, two ints each and sorted, and the texts as numbers of them.
+
+    A piece holds the words of some texts and these texts as four-byte numbers
+    of the piece's own words: a quarter of what each word's two ints would take.
+    """
+    pieces = list(pieces)
+    own = [unpack(words) for words, _ in pieces]
+    words, number = np.unique(np.concatenate(own), axis=0, return_inverse=True)
+    number = number.reshape(-1).astype(np.int32)
+    starts = np.cumsum([0, *map(len, own)])
+    return words, [number[at:].take(np.frombuffer(d, np.int32)) for at, (_, docs) in zip(starts.tolist(), pieces, strict=False) for d in docs]
+
+
 def language(packed: np.ndarray) -> int:
     """Index into LANGS of the language with most function words; ties go to the earlier, none is other."""
     marks = packed[:, 0] >> 40
@@ -74,15 +88,20 @@ def _hashes(packed: np.ndarray, kind: int) -> np.ndarray:
 
 
 class Net:
-    """Embeddings of known hashes, filters of several widths, pooling of the largest activations over the whole text, one logistic output."""
+    """Embeddings of known hashes, filters of several widths, pooling of the largest activations over the whole text, one logistic output.
+
+    A text is a row of two ints for each word (``Tokens.of``) or, where its
+    ``words`` are given (``numbered``), the numbers of its words.
+    """
 
-    def __init__(self, docs: list[np.ndarray], labels: np.ndarray, dim: int = 8, filters: int = 8, least: int = 3, seed: int = 7):
+    def __init__(self, docs: list[np.ndarray], labels: np.ndarray, dim: int = 8, filters: int = 8, least: int = 3, seed: int = 7, words: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.rows, tables = [], []
         for kind in range(KINDS):
-            seen, bad = np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64)
+            seen, bad = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
+            own = None if words is None else _hashes(words, kind)
             for d, y in zip(docs, labels, strict=True):
-                u = np.unique(_hashes(d, kind))
+                u = np.unique(_hashes(d, kind) if own is None else own[d])
                 seen[u] += 1
                 if y:
                     bad[u] += 1
@@ -108,6 +127,20 @@ class Net:
         self.bias = np.float32(-1)
         self.cut = np.zeros(len(LANGS))
 
+    def __getstate__(self) -> dict:
+        """The places of known hashes stand for the rows by hash, which are zero elsewhere."""
+        return {**self.__dict__, "rows": [np.flatnonzero(r).astype(np.int32) for r in self.rows]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.rows = [np.zeros(SPACE, np.int32) for _ in state["rows"]]
+        for rows, known in zip(self.rows, state["rows"], strict=True):
+            rows[known] = np.arange(1, len(known) + 1)
+
+    def look(self, words: np.ndarray | None) -> list[np.ndarray] | None:
+        """Rows of each word in all tables, for texts that are numbers of these words."""
+        return None if words is None else [self.rows[kind].take(_hashes(words, kind)) for kind in range(KINDS)]
+
     def _vectors(self, ids: list[np.ndarray], at: np.ndarray | slice) -> np.ndarray:
         """Sum of the embeddings of a word and its stems at these places."""
         x = self.tables[0].take(ids[0][at], axis=0)
@@ -118,7 +151,7 @@ class Net:
     def params(self) -> list[np.ndarray]:
         return [*self.tables, *self.filters, self.out]
 
-    def forward(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    def forward(self, docs: list[np.ndarray], look: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Logits, pooled features, rows of all tables, their activations by width, and starts; PAD zero rows end each text."""
         ends = np.cumsum([len(d) + PAD for d in docs])
         starts = ends - [len(d) + PAD for d in docs]
@@ -127,7 +160,7 @@ class Net:
         at = np.arange(len(whole)) + np.repeat(np.arange(len(docs)) * PAD, [len(d) for d in docs])
         for kind in range(KINDS):
             rows = np.zeros(int(ends[-1]) + PAD, np.int32)
-            rows[at] = self.rows[kind].take(_hashes(whole, kind))
+            rows[at] = look[kind].take(whole) if look else self.rows[kind].take(_hashes(whole, kind))
             ids.append(rows)
         x = self._vectors(ids, slice(None))
         pads = np.ones(int(ends[-1]), bool)
@@ -148,10 +181,10 @@ class Net:
         pooled = np.maximum(pooled, 0)
         return pooled @ self.out + self.bias, pooled, ids, acts, starts
 
-    def gradient(self, docs: list[np.ndarray], labels: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], np.ndarray, float]:
+    def gradient(self, docs: list[np.ndarray], labels: np.ndarray, look: list[np.ndarray] | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray], np.ndarray, float]:
         """Of the mean logistic loss: rows and their gradients for each table, filters, output weights, bias.  It flows through each layer's largest window only."""
         n = self.filters[0].shape[2]
-        logit, pooled, ids, acts, starts = self.forward(docs)
+        logit, pooled, ids, acts, starts = self.forward(docs, look)
         err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels).astype(np.float32) / len(docs)
         grads = [np.zeros_like(p) for p in self.filters]
         touched: list[tuple[np.ndarray, np.ndarray]] = []
@@ -174,15 +207,15 @@ class Net:
             tables.append((rows, g))
         return tables, grads, pooled.T @ err, float(err.sum())
 
-    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 3) -> None:
+    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 3, words: np.ndarray | None = None) -> None:
         """Adagrad on the logistic loss."""
         rng = np.random.default_rng(seed)
-        sums = [np.full_like(p, 1e-2) for p in self.params()]
+        sums, look = [np.full_like(p, 1e-2) for p in self.params()], self.look(words)
         for _ in range(epochs):
             order = rng.permutation(len(docs))
             for lo in range(0, len(order), batch):
                 part = order[lo : lo + batch]
-                tables, grads, step_out, step_bias = self.gradient([docs[i] for i in part], labels[part])
+                tables, grads, step_out, step_bias = self.gradient([docs[i] for i in part], labels[part], look)
                 for k, (rows, g) in enumerate(tables):
                     sums[k][rows] += g * g
                     self.tables[k][rows] -= rate * g / np.sqrt(sums[k][rows])
@@ -191,10 +224,11 @@ class Net:
                     self.params()[k][...] -= rate * g / np.sqrt(sums[k])
                 self.bias -= np.float32(rate * step_bias)
 
-    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([self.forward(docs[i : i + 64])[0] for i in range(0, len(docs), 64)])
+    def logits(self, docs: list[np.ndarray], words: np.ndarray | None = None) -> np.ndarray:
+        look = self.look(words)
+        return np.concatenate([self.forward(docs[i : i + 64], look)[0] for i in range(0, len(docs), 64)])
 
-    def calibrate(self, docs: list[np.ndarray], labels: np.ndarray, logit: np.ndarray, lent: float = 20.0, clean_weight: float = 6.0) -> None:
+    def calibrate(self, docs: list[np.ndarray], labels: np.ndarray, logit: np.ndarray, lent: float = 20.0, clean_weight: float = 6.0, words: np.ndarray | None = None) -> None:
         """For each language the logit that splits its rows with the lightest errors, in the middle of the gap.
 
         ``logit`` holds the logits of nets that were not trained on the rows.  To the
@@ -204,7 +238,7 @@ class Net:
         toxic weighs ``clean_weight`` errors, since the sample holds far fewer clean
         rows than the corpus does.
         """
-        lang = np.array([language(d) for d in docs])
+        lang = np.array([language(d if words is None else words[d]) for d in docs])
         order = np.argsort(logit, kind="stable")
         z, y = logit[order].astype(float), labels[order]
         ends = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
@@ -222,14 +256,14 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.forward(docs)[0].astype(float) - cut, -60, 60)))
 
 
-def cross_logits(docs: list[np.ndarray], labels: np.ndarray, net: Net, folds: int = 3) -> np.ndarray:
+def cross_logits(docs: list[np.ndarray], labels: np.ndarray, net: Net, folds: int = 3, words: np.ndarray | None = None) -> np.ndarray:
     """Logit of each row by a net trained without its fold; equal texts share a fold.
 
     Each class is dealt evenly over the folds.  Where a class has a single text,
     no net can be trained without it, and ``net``, trained on all, judges that fold.
     """
     fold, out = np.zeros(len(docs), int), np.zeros(len(docs))
-    key = np.array([zlib.crc32(d) for d in docs])
+    key = np.array([zlib.crc32(d if words is None else words[d]) for d in docs])
     for c in (0, 1):
         fold[labels == c] = np.unique(key[labels == c], return_inverse=True)[1] % folds
     for f in np.unique(fold).tolist():
@@ -237,17 +271,17 @@ def cross_logits(docs: list[np.ndarray], labels: np.ndarray, net: Net, folds: in
         own = net
         if len(set(labels[learn].tolist())) == 2:
             part = [docs[i] for i in learn]
-            own = Net(part, labels[learn])
-            own.train(part, labels[learn])
-        out[rest] = own.logits([docs[i] for i in rest])
+            own = Net(part, labels[learn], words=words)
+            own.train(part, labels[learn], words=words)
+        out[rest] = own.logits([docs[i] for i in rest], words)
     return out
 
 
-def learn(docs: list[np.ndarray], labels: np.ndarray) -> Net:
+def learn(docs: list[np.ndarray], labels: np.ndarray, words: np.ndarray | None = None) -> Net:
     """A net trained on all rows, its thresholds set by the logits of nets that did not see the row."""
-    net = Net(docs, labels)
-    net.train(docs, labels)
-    net.calibrate(docs, labels, cross_logits(docs, labels, net))
+    net = Net(docs, labels, words=words)
+    net.train(docs, labels, words=words)
+    net.calibrate(docs, labels, cross_logits(docs, labels, net, words=words), words=words)
     return net
 
 
@@ -265,29 +299,36 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), (F.col(label_col) > 0).cast("int").alias("y"), text.alias("t"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a batch: hashes, labels and texts of its rows, and the words that the texts are numbers of."""
         known = Tokens()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known.of(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["h", "y", "d"])
+            number: dict[bytes, int] = {}
+            texts = [np.array([number.setdefault(known[w], len(number)) for w in _LETTERS.findall(t.lower())], np.int32).tobytes() for t in each(b.column(2))]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b"".join(number))], schema=shape)
 
+    shape = pa.schema([("h", pa.list_(pa.int64())), ("y", pa.list_(pa.int32())), ("d", pa.list_(pa.binary())), ("w", pa.binary())])
     few = materialise(lowest(rows, "y", "h", per_class), "toxic-few")
     # At most per_class texts of a label: equal ids keep the first text, then bytes are added up by hash.
     chosen = rows.join(broadcast_if_small(few), ["y", "h"]).groupBy("y", "h").agg(F.min("t").alias("t"))
     upto = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(F.shiftrightunsigned("h", 11), "h"))
     chosen = chosen.withColumn("_upto", upto).where(F.col("_upto") <= per_class_bytes).select("h", "y", "t")
-    sample = chosen.mapInArrow(tokens, "h long, y int, d binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
-    docs = [unpack(d) for d in sample.column("d").to_pylist()]
-    y = np.array(sample.column("y").to_pylist(), int)
-    del sample  # its copies of the tokens would stay in the driver throughout training
+    sample = chosen.mapInArrow(tokens, "h array<long>, y array<int>, d array<binary>, w binary").toArrow().to_pylist()
+    h, y = (np.array([x for r in sample for x in r[c]], np.int64) for c in ("h", "y"))
     if not len(y) or y.min() == y.max():
         return None
-    net = learn(docs, y)
+    words, docs = numbered((r["w"], r["d"]) for r in sample)
+    del sample
+    _give_back()  # the sample's copies would stay in the driver throughout training
+    order = np.lexsort((y, h))
+    net = learn([docs[i] for i in order], y[order], words)
     docs.clear()
     _give_back()
     return net
 
 
 def _give_back() -> None:
-    """Hand memory that training has freed back to the system, where the C library can, so that the driver doesn't keep it for all later stages."""
+    """Hand memory that is free now back to the system, where the C library can, so that the driver doesn't keep it for all later stages."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -1,4 +1,5 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -192,6 +193,26 @@ def test_toxicity_counts_rows_of_small_languages_and_odd_clean_ones():
     assert got[y == 0].mean() < 0.02
 
 
+def test_toxicity_numbered_words_train_the_same_net():
+    """Numbers of distinct words, in pieces of any size, give what the words themselves give; so does a net sent to a worker."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"word{i}" for i in range(50)] + ["the", "der"], rng.integers(0, 20))) for _ in range(60)] + ["", "12 34", "vile " * 30]
+    y = np.array([int(i % 4 == 0) for i in range(len(texts))])
+    packed = [toxicity.Tokens().of(t) for t in texts]
+    pieces = []
+    for lo in range(0, len(packed), 17):
+        number = {}
+        docs = [np.array([number.setdefault(w.tobytes(), len(number)) for w in d], np.int32).tobytes() for d in packed[lo : lo + 17]]
+        pieces.append((b"".join(number), docs))
+    words, docs = toxicity.numbered(pieces)
+    assert len(words) == len({w.tobytes() for d in packed for w in d})
+    assert all((words[d] == p).all() for d, p in zip(docs, packed, strict=True))
+    plain, net = toxicity.learn(packed, y), toxicity.learn(docs, y, words)
+    sent = pickle.loads(pickle.dumps(net))
+    assert plain.scores(packed).tolist() == net.scores(packed).tolist() == sent.scores(packed).tolist()
+    assert len(pickle.dumps(net)) < 1_000_000
+
+
 def small_net():
     docs = [toxicity.Tokens().of(t) for t in ("abacus bear cat", "bear dog dog eel", "cat abacus eel fox", "gnu bear")] * 3
     y = np.array([1, 0, 1, 0] * 3)

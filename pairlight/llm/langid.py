@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.llm.common import broadcast_if_small, id_bucket, lowest, materialise
+from pairlight.llm.common import broadcast_if_small, fresh_path, id_bucket, lowest, materialise
 
 #: Bytes that are no letters (ASCII) become spaces before n-grams are taken.
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -54,14 +56,16 @@ def _cluster(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dims: int = 4096, centroids: int = 4, per_lang: int = 600, max_langs: int = 8192, quantile: float = 0.01) -> dict:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dims: int = 4096, centroids: int = 4, per_lang: int = 600, block_langs: int = 256, quantile: float = 0.01) -> dict:
     """Learn IDF weights, centroids and a rejection limit for each language.
 
     IDF counts every row of ``train``.  Centroids come from a bounded sample of
     labelled rows: at most ``per_lang`` rows for each language, those of the
-    lowest hash of their id.  A language takes 64 kB of the model that each
-    worker holds; a table with more than ``max_langs`` values, above all living
-    languages, has another kind of column, and that is an error.  A language's limit is the ``quantile`` of its sample's cosines.
+    lowest hash of their id.  A language takes 64 kB of the model.  About
+    ``block_langs`` languages are a block; a model of one block is held by every
+    worker, one of more lies in the shared folder, and a worker holds one block at
+    a time, so any number of languages will do.  A language's limit is the
+    ``quantile`` of its sample's cosines.
     Rows with a null text or language are left out.
     """
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(order_col).cast("string")).alias("h"))
@@ -79,20 +83,36 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
         freq[r["gram"] + 1] = r["n"]
     idf = np.log((1 + freq[0]) / (1 + freq[1:])) + 1
 
-    langs = [r["l"] for r in rows.select("l").distinct().orderBy("l").limit(max_langs + 1).collect()]
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    blocks = max(1, -(-rows.select("l").distinct().count() // block_langs))
     ranks = materialise(lowest(rows, "l", "h", per_lang), "lang-few")
     sample = rows.join(broadcast_if_small(ranks), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
-    model = sample.groupBy("l").applyInPandas(lambda pdf: _fit_language(pdf, idf, centroids, quantile), "l string, c array<double>, n int, reject double").orderBy("l").collect()
-    parts = [np.array(r["c"]).reshape(r["n"], dims) for r in model]
-    return {
-        "idf": idf,
-        "langs": [r["l"] for r in model],
-        "own": np.repeat(np.arange(len(parts)), [len(p) for p in parts]),
-        "centroids": np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, dims), np.float32),
-        "reject": np.array([r["reject"] for r in model]),
-    }
+    learned = sample.groupBy("l").applyInPandas(lambda pdf: _fit_language(pdf, idf, centroids, quantile), "l string, c array<float>, n int, reject double")
+    if blocks == 1:
+        return {"idf": idf, **_block(learned.toArrow(), dims)}
+    path = fresh_path(train.sparkSession, "lang-model")
+    learned.withColumn("block", F.pmod(F.xxhash64("l"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    return {"idf": idf, "stored": path, "blocks": blocks}
+
+
+def _block(rows: pa.Table, dims: int) -> dict:
+    """Languages in order, the centroids of all, whose each is, and the limits."""
+    rows = rows.sort_by("l")
+    n = rows.column("n").to_numpy()
+    cent = rows.column("c").combine_chunks().flatten().to_numpy().astype(np.float32) if len(rows) else np.zeros(0, np.float32)
+    return {"langs": rows.column("l").to_pylist(), "own": np.repeat(np.arange(len(n)), n), "centroids": cent.reshape(-1, dims), "reject": rows.column("reject").to_numpy()}
+
+
+def _blocks(model: dict) -> Iterator[dict]:
+    """The model's blocks one after another; stored ones are read anew each time."""
+    if "stored" not in model:
+        yield model
+        return
+    store, base = pafs.FileSystem.from_uri(model["stored"])
+    for k in range(model["blocks"]):
+        there = store.get_file_info(pafs.FileSelector(f"{base}/block={k}", allow_not_found=True))
+        files = [f.path for f in there if f.path.endswith(".parquet")]
+        if files:
+            yield _block(pa.concat_tables(pq.ParquetFile(store.open_input_file(f)).read() for f in files), len(model["idf"]))
 
 
 def _fit_language(pdf: pd.DataFrame, idf: np.ndarray, k: int, quantile: float) -> pd.DataFrame:
@@ -115,19 +135,33 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """
     carry = carry or {}
     src = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *(c.alias(n) for n, c in carry.items()))
-    cent, own, idf, langs, reject = model["centroids"], model["own"], model["idf"].astype(np.float64), model["langs"], model["reject"]
+    idf, step = model["idf"].astype(np.float64), 500 if "stored" not in model else 2000
+
+    def nearest(texts: list) -> list[tuple[float, str, float]]:
+        """Cosine, language and limit of every text's nearest centroid; of equal ones the first language's."""
+        vecs = [vector(t, idf).astype(np.float32) if t and any(map(str.isalpha, t)) else None for t in texts]
+        out = [(-math.inf, "und", 0.0)] * len(vecs)
+        for block in _blocks(model):
+            if not block["langs"]:
+                continue
+            for j, v in enumerate(vecs):
+                if v is None:
+                    continue
+                sims = block["centroids"] @ v
+                i = int(np.argmax(sims))
+                lang = int(block["own"][i])
+                near = float(sims[i]), block["langs"][lang], float(block["reject"][lang])
+                if near[0] > out[j][0] or (near[0] == out[j][0] and near[1] < out[j][1]):
+                    out[j] = near
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score, far = [], [], []
-            for text in batch.column(0).to_pylist():
-                if not langs or not text or not any(map(str.isalpha, text)):
-                    pred.append("und"), score.append(0.0), far.append(True)
-                    continue
-                sims = cent @ vector(text, idf).astype(np.float32)
-                i = int(np.argmax(sims))
-                best = min(1.0, max(0.0, float(sims[i])))
-                pred.append(langs[own[i]]), score.append(best), far.append(bool(best < reject[own[i]]))
+            for lo in range(0, len(batch), step):
+                for sim, lang, limit in nearest(batch.column(0).slice(lo, step).to_pylist()):
+                    best = min(1.0, max(0.0, sim))
+                    pred.append(lang), score.append(best), far.append(sim == -math.inf or best < limit)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], names=names)
 
     kept = [f for f in src.schema.fields if f.name != "_text"]

@@ -75,3 +75,41 @@ def test_against_plain_loops(spark):
     assert langid._cluster(np.array(x), 3).tolist() == [pytest.approx(c) for c in plain_centroids(x, 3)]
     # Nothing of the sample lies below a limit that is its least cosine.
     assert not any(got[i].rejected for i, _, lang in rows if got[i].lang_pred == lang and got[i].score > model["reject"][model["langs"].index(lang)] + 1e-5)
+
+
+def test_many_languages_in_blocks(spark):
+    """A model in several stored blocks gives what the same model in one block gives; ties go to the first language."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(30):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choices(own, k=8)), f"l{k:02}") for i in range(4)]
+    twin = [(9000 + i, t, "zz") for i, (_, t, lang) in enumerate(rows) if lang == "l07"]  # the same texts under two names
+    train = spark.createDataFrame(rows + twin, "doc_id long, text string, lang string").repartition(4)
+    asked = spark.createDataFrame([(i, t, None) for i, (_, t, _) in enumerate(rows)] + [(-1, None, None), (-2, "", None), (-3, "12 34", None), (None, rows[0][1], None)], "doc_id long, text string, lang string")
+    whole = langid.fit(train, dims=256, centroids=2)
+    parts = langid.fit(train, dims=256, centroids=2, block_langs=5)
+    assert "stored" not in whole and parts["blocks"] == 7
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    one, many = (sorted(langid.predict(asked, m).collect(), key=key) for m in (whole, parts))
+    assert [(r.doc_id, r.lang_pred) for r in one] == [(r.doc_id, r.lang_pred) for r in many]
+    limit = dict(zip(whole["langs"], whole["reject"], strict=True))
+    clear = [r.lang_pred == "und" or abs(r.score - limit[r.lang_pred]) > 1e-5 for r in one]  # else the last digit decides
+    assert all(a.rejected == b.rejected for a, b, c in zip(one, many, clear, strict=True) if c)
+    assert [r.score for r in one] == pytest.approx([r.score for r in many], abs=1e-6)
+    got = {r.doc_id: r for r in many}
+    assert {got[i].lang_pred for i, (_, _, lang) in enumerate(rows) if lang == "l07"} == {"l07"}
+    assert sum(got[i].lang_pred == lang for i, (_, _, lang) in enumerate(rows)) > 0.95 * len(rows)
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (-1, -2, -3))
+
+
+def test_empty_tables(spark):
+    """No row to learn from gives und to all; no row to predict gives none, in one block or several."""
+    schema = "doc_id long, text string, lang string, score double"
+    rows = spark.createDataFrame([(i, f"text {chr(97 + i)}", f"l{i}", 0.5) for i in range(6)], schema)
+    none = rows.where("false")
+    empty = langid.fit(none, dims=64)
+    assert [(r.lang_pred, r.score, r.rejected) for r in langid.predict(rows, empty).collect()] == [("und", 0.0, True)] * 6
+    for size in (256, 2):
+        out = langid.predict(none, langid.fit(rows, dims=64, block_langs=size))
+        assert out.columns == ["doc_id", "lang_pred", "score", "rejected"] and not out.collect()

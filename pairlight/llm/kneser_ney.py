@@ -365,6 +365,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     The workers map the stored arrays and look up each block's distinct pairs
     in sorted order.  base_score is the add-one unigram score.  A null or empty
     text is its end alone.  A model of no texts gives every token the probability 1.
+    Repeated and null ids keep their own rows; an empty table gives an empty one;
+    columns of the input other than the id come only if carried, under any name.
     """
     carry = carry or {}
     src = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *(c.alias(n) for n, c in carry.items()))

@@ -158,8 +158,9 @@ def image_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media (the
     stored bytes), media_bytes, media_sha256, tile (NPY bytes) and feature (the
     difference hash).  A null or empty text is one row of zeros.  Equal texts
-    give equal values; repeated and null ids keep their own rows.  Works batch
-    by batch without a shuffle.
+    give equal values; repeated and null ids keep their own rows.  An empty table
+    gives no row; columns of the input other than the id are not returned, so they
+    may have any name.  Works batch by batch without a shuffle.
     """
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
 

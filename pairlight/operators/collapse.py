@@ -54,10 +54,15 @@ def first_values(df: DataFrame, by: list[str], lists: list[str], order: str = "r
 
 
 def rules(df: DataFrame, order: str = "row_ord") -> list[Column]:
-    """The aggregate of every column that survives, for lists their places; all others go. Lists need the row order column."""
+    """The aggregate of every column that survives, for lists their places; all others go. Lists need the row order column.
+
+    Rows that are collapsed already have the places themselves.
+    """
     out = []
     for c in df.columns:
-        if c in SMALLEST or c.endswith(SMALLEST_ENDS):
+        if c in map(place, LISTS):
+            out.append(F.min(c).alias(c))
+        elif c in SMALLEST or c.endswith(SMALLEST_ENDS):
             out.append(F.min(_no_nan(df, c)).alias(c))
         elif c in LARGEST or c.endswith(LARGEST_ENDS):
             out.append(F.max(_no_nan(df, c)).alias(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.operators.retrieve import retrieve
+from pairlight.operators.retrieve import retrieve_shared
 from pairlight.plans.answers import envelope
 from pairlight.plans.cards import cards
 from pairlight.plans.prompts import prompts
@@ -20,7 +20,7 @@ def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame
     ``responses`` (query_id, response) are the planner's replies, ``outputs``
     (query_id, text) a model's answers, if there are any yet.  A request without a
     reply is an error, as is one that ``normalise_specs`` rejects.  Requests with their replies,
-    specifications and shortlists are stored in turn, below ``folder`` or else in the
+    specifications, pairs and shortlists are stored in turn, below ``folder`` or else in the
     shared folder, so that each input is read once and a later stage knows the size of what it reads.
     """
     asked = request_defaults(requests).join(responses.select("query_id", "response"), "query_id", "left")
@@ -29,7 +29,7 @@ def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame
     specs = stored(specs.withColumn("error", F.coalesce("error", F.when(F.col("k") < 0, "k is negative"))), "specs", folder)
     good, bad = specs.where("error IS NULL").drop("error"), specs.where("error IS NOT NULL")
     most = max_k if max_k is not None else good.agg(F.max("k")).first()[0] or 0
-    shortlist = stored(retrieve(evidence, to_queries(good), max_k=most), "shortlist", folder)
+    shortlist = stored(retrieve_shared(evidence, to_queries(good), max_k=most, folder=folder), "shortlist", folder)
     bundles = prompts(good, cards=cards(shortlist.join(good.select("query_id", "cohort"), "query_id"), F.col("cohort")))
     done = result_documents(good, nest_shortlist(shortlist), bundles, None if outputs is None else envelope(outputs))
     return done.unionByName(error_records(bad.select("query_id", "error")))

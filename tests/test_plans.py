@@ -180,3 +180,17 @@ def test_resent_requests_are_answered_once(spark, tmp_path):
     again = str(tmp_path / "all")
     Q.serve(Q.read_requests(spark, box), answer, again, log, f"{state}2", remember=None).awaitTermination()
     assert spark.read.parquet(again).count() == 5
+
+
+def test_chain_shares_questions_and_pairs(spark, sf, tmp_path):
+    from pairlight import queries as E
+    from pairlight.plans.chain import job_documents
+    from pairlight.sources.evidence import prepare
+
+    evidence = prepare(E.evidence(spark, sf)).select("mirna_name", "gene_symbol", "support_count", "mirtarbase_pos")
+    requests = spark.range(300).selectExpr("CAST(id AS STRING) AS query_id", "concat('question ', id) AS question", "CAST(id % 4 AS INT) AS k")
+    responses = spark.range(300).selectExpr("CAST(id AS STRING) AS query_id", """'{"mirna":"miR-12"}' AS response""")
+    docs = job_documents(evidence, requests, responses, folder=f"{tmp_path}/stages")
+    got = {r.query_id: json.loads(r.document) for r in docs.collect()}
+    assert all(len(got[str(i)]["shortlist"]) == i % 4 and got[str(i)]["queryspec"]["original_question"] == f"question {i}" for i in range(300))
+    assert spark.read.parquet(f"{tmp_path}/stages/pairs").count() == evidence.distinct().count()

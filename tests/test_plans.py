@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,22 @@ def test_chain_shares_questions_and_pairs(spark, sf, tmp_path):
     got = {r.query_id: json.loads(r.document) for r in docs.collect()}
     assert all(len(got[str(i)]["shortlist"]) == i % 4 and got[str(i)]["queryspec"]["original_question"] == f"question {i}" for i in range(300))
     assert spark.read.parquet(f"{tmp_path}/stages/pairs").count() == evidence.distinct().count()
+
+
+def stored_pairs(spark):
+    """Numbers of pairs that the queries of this session have stored so far, by folder."""
+    top = spark.conf.get("spark.checkpoint.dir")
+    return {p.name: spark.read.parquet(str(p)).count() for p in Path(top).glob("pairs-*")}
+
+
+def test_streamed_jobs_share_questions_and_pairs(spark, tmp_path):
+    box, docs, log, state = (str(tmp_path / n) for n in ("in", "docs", "log", "state"))
+    evidence = spark.range(100).selectExpr("'miR-1' AS mirna_name", "concat('G', id % 5) AS gene_symbol", "CAST(id % 2 AS INT) AS mirtarbase_pos", "3 AS support_count")
+    spark.range(60).selectExpr("CAST(id AS STRING) AS query_id", "'q' AS question", "CAST(id % 4 AS INT) AS k").coalesce(1).write.json(box)
+    responses = spark.range(60).selectExpr("CAST(id AS STRING) AS query_id", """'{"mirna":"miR-1"}' AS response""")
+    before = stored_pairs(spark)
+    Q.serve_jobs(Q.read_requests(spark, box), evidence, responses, docs, log, state).awaitTermination()
+    got = {r.query_id: [x["gene_symbol"] for x in json.loads(r.document)["shortlist"]] for r in J.read_documents(spark, docs).collect()}
+    assert got == {str(i): [f"G{n}" for n in range(i % 4)] for i in range(60)}
+    new = {k: n for k, n in stored_pairs(spark).items() if k not in before}
+    assert new and set(new.values()) == {10}

@@ -470,7 +470,7 @@ def _answered(spark, sf_dir, times):
     ev = prepare(evidence(spark, sf_dir))
 
     def answer(batch: DataFrame) -> DataFrame:
-        return R.retrieve(ev, batch.withColumn("token", F.col("question")), max_k=200).select("query_id", "rank", "mirna_name", "gene_symbol")
+        return R.retrieve_shared(ev, batch.withColumn("token", F.col("question")), max_k=200).select("query_id", "rank", "mirna_name", "gene_symbol")
 
     for _ in range(times):
         _customers(spark, sf_dir, _STREAMED.format("STRING")).write.mode("append").json(f"{root}/in")

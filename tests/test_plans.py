@@ -214,3 +214,13 @@ def test_streamed_jobs_share_questions_and_pairs(spark, tmp_path):
     assert got == {str(i): [f"G{n}" for n in range(i % 4)] for i in range(60)}
     new = {k: n for k, n in stored_pairs(spark).items() if k not in before}
     assert new and set(new.values()) == {10}
+
+
+@pytest.mark.parametrize("name", ["stream_requests"])
+def test_streamed_requests_share_pairs(spark, sf, name):
+    from pairlight import queries as E
+
+    before = stored_pairs(spark)
+    E.QUERIES[name](spark, sf)
+    new = {k: n for k, n in stored_pairs(spark).items() if k not in before}
+    assert new and all(0 < n <= E.evidence(spark, sf).count() for n in new.values())

@@ -216,7 +216,7 @@ def test_streamed_jobs_share_questions_and_pairs(spark, tmp_path):
     assert new and set(new.values()) == {10}
 
 
-@pytest.mark.parametrize("name", ["stream_requests"])
+@pytest.mark.parametrize("name", ["stream_requests", "stream_resent"])
 def test_streamed_requests_share_pairs(spark, sf, name):
     from pairlight import queries as E
 

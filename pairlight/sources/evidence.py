@@ -14,14 +14,15 @@ REQUIRED = ["mirna_name", "gene_symbol", "support_count"]
 def read_evidence(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """Scan a Parquet evidence table; ``ordered`` adds row_ord, a number that rises by file and by the row's place in it.
 
-    Files are numbered by their paths in a small table of their own, which is read from the files' footers.
+    Files are numbered by their paths in a small table of their own, which is read from the files' footers.  It
+    is sent to every task, since a join by path would deal all rows of a file to one task; the driver lists the same paths to plan the scan.
     """
     df = spark.read.parquet(path)
     if not ordered:
         return df
     name, row = (F.col(f"_metadata.{c}") for c in ("file_path", "row_index"))
     files = df.select(name.alias("_file")).distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long"))
-    placed = df.select("*", name.alias("_file"), row.alias("_row")).join(files, "_file")
+    placed = df.select("*", name.alias("_file"), row.alias("_row")).join(F.broadcast(files), "_file")
     return placed.select(*df.columns, (F.shiftleft("_number", 40) + F.col("_row")).alias("row_ord"))
 
 

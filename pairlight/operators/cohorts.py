@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlight.columns import flag, real
 from pairlight.functions.scores import OWN, cohort_codes
+from pairlight.operators.collapse import gated_pairs
 from pairlight.sources.evidence import prepare, write_evidence
 from pairlight.sources.stages import stored
 
@@ -37,11 +38,13 @@ def cohort_rows(evidence: DataFrame, keep: list[str]) -> DataFrame:
     return evidence.select(*keep, F.inline(every)).where(F.coalesce(*(F.col(f"{OWN}_{p}").cast("double") for p in PARTS)).isNotNull())
 
 
-def write_cohorts(evidence: DataFrame, folder: str, files: int = 0) -> None:
+def write_cohorts(evidence: DataFrame, folder: str, files: int = 0, collapse: bool = False) -> None:
     """Store a wide table as two: ``rows`` without cohort columns, and ``cohorts``, a partition a cohort.
 
-    Both hold row_id, which is numbered once in a stored copy, and the keys by which they are sorted.
+    Both hold row_id, which is numbered once in a stored copy, and the keys by which they are sorted.  With ``collapse``
+    the rows are ``gated_pairs``: retrieval that collapses gives the same from them, but the rows themselves and their lists aren't kept.
     """
+    evidence = gated_pairs(evidence) if collapse else evidence
     wide = stored(prepare(evidence).withColumn("row_id", F.monotonically_increasing_id()), "wide")
     codes = cohort_codes(wide)
     write_evidence(wide.drop(*(c for c in wide.columns if any(c.startswith(f"{code}_") for code in codes))), f"{folder}/rows", files)

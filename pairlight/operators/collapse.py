@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlight.columns import flag, whole
+from pairlight.functions.scores import cohort_codes
+from pairlight.sources.evidence import prepare
+
 # How each evidence column is collapsed.
 LARGEST = ["support_encori", "support_targetscan", "support_mirdb", "mirtarbase_pos", "support_count", "ts_best_percentile", "ts_n_sites", "clip_exp_sum", "clip_exp_max", "n_clip_sites", "mirdb_best_score", "mirdb_mean_score", "mirdb_n_transcripts", "gene_pathway_hits"]
 SMALLEST = ["ts_best_contextpp", "ts_best_site"]
@@ -73,3 +77,17 @@ def collapse_pairs(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row for each (mirna_name, gene_symbol); rows with a null key go. Partial aggregation precedes the shuffle."""
     keys = ["mirna_name", "gene_symbol"]
     return fetch_lists(df.dropna(subset=keys).groupBy(*(by or []), *keys).agg(*rules(df)), df, list_columns(df))
+
+
+def gated_pairs(evidence: DataFrame) -> DataFrame:
+    """Evidence with one row for each pair and each outcome of the row gates, instead of any number of them.
+
+    Gates act on rows, so rows go together only where every gate, of whatever threshold and cohort, says the same of
+    all of them.  The aggregates are least and greatest values, which may be taken in two steps: scores and results
+    of these rows are those of the evidence.  Lists are at their places.
+    """
+    flags = [c for c in ("mirtarbase_pos", "support_targetscan", "support_encori", "support_mirdb", *(f"{code}_pair_expressed" for code in cohort_codes(evidence))) if c in evidence.columns]
+    # One gate asks for a flag of 0, the others for 1.
+    gates = [(flag(evidence, c) == (0 if c == "mirtarbase_pos" else 1)).alias(f"_gate_{c}") for c in flags]
+    pairs = evidence.groupBy("mirna_name", "gene_symbol", whole(evidence, "support_count").alias("_gate"), *gates).agg(*rules(evidence))
+    return prepare(pairs.drop("_gate", *(f"_gate_{c}" for c in flags)))

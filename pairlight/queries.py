@@ -322,7 +322,7 @@ def unmatched_queries(spark, sf_dir):
 def cohort_table(spark, sf_dir):
     """The batch over evidence whose cohorts are rows of a table of their own: the same pairs and scores as from columns."""
     folder = shared_folder(spark, "cohorts")
-    write_cohorts(evidence(spark, sf_dir), folder)
+    write_cohorts(evidence(spark, sf_dir), folder, collapse=True)
     rows, cohorts = read_cohorts(spark, folder)
     out = R.retrieve(rows, batch(spark), max_k=MAX_K, cohorts=cohorts)
     return out.select("query_id", "rank", "mirna_name", "gene_symbol", *(F.round(c, 6).alias(c) for c in ("retrieval_score", "retrieval_tcga_contrib", "retrieval_tcga_p")), "retrieval_tcga_anticorr_flag")

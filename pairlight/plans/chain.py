@@ -14,7 +14,7 @@ from pairlight.sources.jobs import error_records, nest_shortlist, result_documen
 from pairlight.sources.stages import stored
 
 
-def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame, outputs: DataFrame | None = None, max_k: int | None = None, folder: str | None = None) -> DataFrame:
+def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame, outputs: DataFrame | None = None, max_k: int | None = None, folder: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, document) for every request: specification, shortlist, prompt bundle and answer, or the error.
 
     ``responses`` (query_id, response) are the planner's replies, ``outputs``
@@ -22,6 +22,7 @@ def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame
     reply is an error, as is one that ``normalise_specs`` rejects.  Requests with their replies,
     specifications, pairs and shortlists are stored in turn, below ``folder`` or else in the
     shared folder, so that each input is read once and a later stage knows the size of what it reads.
+    ``pairs`` are the ``shared_pairs`` of the evidence, where jobs before have stored them.
     """
     asked = request_defaults(requests).join(responses.select("query_id", "response"), "query_id", "left")
     asked = stored(asked, "asked", folder)
@@ -29,7 +30,9 @@ def job_documents(evidence: DataFrame, requests: DataFrame, responses: DataFrame
     specs = stored(specs.withColumn("error", F.coalesce("error", F.when(F.col("k") < 0, "k is negative"))), "specs", folder)
     good, bad = specs.where("error IS NULL").drop("error"), specs.where("error IS NOT NULL")
     most = max_k if max_k is not None else good.agg(F.max("k")).first()[0] or 0
-    shortlist = stored(retrieve_shared(evidence, to_queries(good), max_k=most, folder=folder), "shortlist", folder)
+    short = retrieve_shared(evidence, to_queries(good), max_k=most, folder=folder, pairs=pairs)
+    # Dealt out by query: shortlists that many share are a small file, but their cards are not.
+    shortlist = stored(short.repartition("query_id"), "shortlist", folder)
     bundles = prompts(good, cards=cards(shortlist.join(good.select("query_id", "cohort"), "query_id"), F.col("cohort")))
     done = result_documents(good, nest_shortlist(shortlist), bundles, None if outputs is None else envelope(outputs))
     return done.unionByName(error_records(bad.select("query_id", "error")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache
 from traceback import format_exc
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairlight.columns import strip
+from pairlight.operators.retrieve import shared_pairs
 from pairlight.plans.chain import job_documents
 from pairlight.plans.specs import REQUEST_SCHEMA, request_defaults
 from pairlight.sources.jobs import put_documents
+from pairlight.sources.stages import shared_folder, stored
 
 
 def read_requests(spark: SparkSession, folder: str, schema: str = REQUEST_SCHEMA) -> DataFrame:
@@ -39,7 +43,21 @@ def first_of_each(requests: DataFrame, remember: str) -> DataFrame:
     return arrived.withWatermark("_arrived", remember).dropDuplicatesWithinWatermark(["query_id"]).drop("_arrived")
 
 
-def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results: str | Callable[[DataFrame], DataFrame], log: str, checkpoint: str, once: bool = True, every: str = "10 seconds", remember: str | None = "30 days") -> StreamingQuery:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of spark.sql (dots as __) for a stream that is started meanwhile, which takes its own copy of them."""
+    values = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results: str | Callable[[DataFrame], DataFrame], log: str, checkpoint: str, once: bool = True, every: str = "10 seconds", remember: str | None = "30 days", state_parts: int = 16) -> StreamingQuery:
     """Answer each micro-batch by ``answer`` (requests to result rows) and append to the status log.
 
     Unusable requests get an error entry.  If ``answer`` fails, every request of
@@ -52,10 +70,20 @@ def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results
 
     A request whose id was seen within ``remember`` isn't answered again, be it in this batch or a
     later one; ids made from the content make a resent request the same one.  None answers all.
+    The ids lie in ``state_parts`` partitions at most, each of which writes files in every batch; a checkpoint keeps the
+    number it began with.  Expired ids go with the next batch of requests, so there are no batches for this alone.
+
+    A batch is stored in the shared folder, in the stead of the one before, and answered from there in the session of ``requests``:
+    the state is met once, and the answers are planned by the batch's size, which a stream's own session doesn't do.
     """
+    spark = requests.sparkSession
+    folder = shared_folder(spark, "batches")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = request_defaults(batch).persist()  # read once for all that follows
+        kept = stored(request_defaults(batch), "batch", folder)
+        batch = spark.read.schema(kept.schema).parquet(f"{folder}/batch")
+        if batch_id > 0 and batch.isEmpty():
+            return  # all were known; the first batch makes the folders, even if empty
         start, at = 4 * batch_id, f"{log}/batch_id={batch_id}"
         good, bad = split_requests(batch)
         begun = status_rows(batch, "queued", start).unionByName(status_rows(good, "running", start + 1)).unionByName(status_rows(bad, "error", start + 2))
@@ -70,18 +98,23 @@ def serve(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], results
             failed = good.withColumns({"error": F.lit(str(e)[:2000]), "traceback": F.lit(format_exc()[:20_000])})
             ended = status_rows(failed, "error", start + 2)
         ended.write.mode("overwrite").parquet(f"{at}/part=end")
-        batch.unpersist()
 
     seen = requests if remember is None else first_of_each(requests, remember)
     writer = seen.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    parts = min(state_parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with settings(spark, shuffle__partitions=str(parts), streaming__noDataMicroBatches__enabled="false"):
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def serve_jobs(requests: DataFrame, evidence: DataFrame, responses: DataFrame, documents: str, log: str, checkpoint: str, outputs: DataFrame | None = None, **options) -> StreamingQuery:
-    """The whole job of each request: a result document by its id, replacing an older one, and its status in the log."""
+    """The whole job of each request: a result document by its id, replacing an older one, and its status in the log.
+
+    The pairs of the evidence are stored by the first batch that needs them and serve all later ones.
+    """
+    pairs = cache(lambda: shared_pairs(evidence))
 
     def store(docs: DataFrame) -> DataFrame:
         kept = put_documents(docs, documents)
         return kept.select("query_id", F.get_json_object("document", "$.status").alias("status"), F.get_json_object("document", "$.error").alias("error"))
 
-    return serve(requests, lambda batch: job_documents(evidence, batch, responses, outputs), store, log, checkpoint, **options)
+    return serve(requests, lambda batch: job_documents(evidence, batch, responses, outputs, pairs=pairs()), store, log, checkpoint, **options)

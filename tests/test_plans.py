@@ -224,3 +224,44 @@ def test_streamed_requests_share_pairs(spark, sf, name):
     E.QUERIES[name](spark, sf)
     new = {k: n for k, n in stored_pairs(spark).items() if k not in before}
     assert new and all(0 < n <= E.evidence(spark, sf).count() for n in new.values())
+
+
+def test_streams_answer_what_is_new_in_the_callers_session(spark, tmp_path):
+    box, out, log, state = (str(tmp_path / n) for n in ("in", "out", "log", "state"))
+    put = lambda *texts: spark.createDataFrame([(t,) for t in texts], "question string").coalesce(1).write.mode("append").json(box)
+    serve = lambda: Q.serve(Q.read_requests(spark, box), answer, out, log, state, state_parts=2).awaitTermination()
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.streaming.noDataMicroBatches.enabled")
+    before, seen = [spark.conf.get(c) for c in settings], []
+
+    def answer(batch):
+        seen.append((sorted(r.question for r in batch.collect()), batch.sparkSession.conf.get("spark.sql.adaptive.enabled"), batch.sparkSession.conf.get(settings[0])))
+        return batch.select("query_id", "question")
+
+    for texts in (("x", "y"), ("y", "x"), ("y", "z")):
+        put(*texts)
+        serve()
+    assert seen == [(["x", "y"], "true", before[0]), (["z"], "true", before[0])]
+    assert sorted(r.question for r in spark.read.parquet(out).collect()) == ["x", "y", "z"]
+    assert len(list((tmp_path / "state/state/0").glob("[0-9]*"))) == 2 and [spark.conf.get(c) for c in settings] == before
+
+
+def test_streams_of_nothing_leave_their_folders(spark, tmp_path):
+    box, out, log, state = (str(tmp_path / n) for n in ("in", "out", "log", "state"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/none.json").touch()
+    Q.serve(Q.read_requests(spark, box), lambda df: df.select("query_id", F.lit(1).alias("n")), out, log, state).awaitTermination()
+    assert spark.read.parquet(out).columns == ["query_id", "n", "batch_id"] and spark.read.parquet(log).count() == 0
+
+
+def test_batches_of_jobs_share_pairs(spark, tmp_path):
+    box, docs, log, state = (str(tmp_path / n) for n in ("in", "docs", "log", "state"))
+    evidence = spark.range(100).selectExpr("'miR-1' AS mirna_name", "concat('G', id % 5) AS gene_symbol", "0 AS mirtarbase_pos", "3 AS support_count")
+    spark.range(40).selectExpr("CAST(id AS STRING) AS query_id", "'q' AS question", "2 AS k").repartition(2).write.json(box)
+    responses = spark.range(40).selectExpr("CAST(id AS STRING) AS query_id", """'{"mirna":"miR-1"}' AS response""")
+    before = stored_pairs(spark)
+    stream = spark.readStream.schema("query_id string, question string, k int").option("maxFilesPerTrigger", 1).json(box)
+    Q.serve_jobs(stream, evidence, responses, docs, log, state).awaitTermination()
+    got = {r.query_id: [x["gene_symbol"] for x in json.loads(r.document)["shortlist"]] for r in J.read_documents(spark, docs).collect()}
+    assert got == {str(i): ["G0", "G1"] for i in range(40)}
+    assert spark.read.parquet(log).where("part = 'end'").select("batch_id").distinct().count() == 2
+    assert [n for k, n in stored_pairs(spark).items() if k not in before] == [5]

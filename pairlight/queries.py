@@ -468,9 +468,10 @@ def _answered(spark, sf_dir, times):
     """Requests of all customers, sent so many times, answered in micro-batches and read back with their status."""
     root = shared_folder(spark, "requests")
     ev = prepare(evidence(spark, sf_dir))
+    pairs = R.shared_pairs(ev)
 
     def answer(batch: DataFrame) -> DataFrame:
-        return R.retrieve_shared(ev, batch.withColumn("token", F.col("question")), max_k=200).select("query_id", "rank", "mirna_name", "gene_symbol")
+        return R.retrieve_shared(ev, batch.withColumn("token", F.col("question")), max_k=200, pairs=pairs).select("query_id", "rank", "mirna_name", "gene_symbol")
 
     for _ in range(times):
         _customers(spark, sf_dir, _STREAMED.format("STRING")).write.mode("append").json(f"{root}/in")

@@ -265,3 +265,11 @@ def test_batches_of_jobs_share_pairs(spark, tmp_path):
     assert got == {str(i): ["G0", "G1"] for i in range(40)}
     assert spark.read.parquet(log).where("part = 'end'").select("batch_id").distinct().count() == 2
     assert [n for k, n in stored_pairs(spark).items() if k not in before] == [5]
+
+
+def test_resent_requests_share_pairs(spark, sf):
+    from pairlight import queries as E
+
+    before = stored_pairs(spark)
+    E.QUERIES["stream_resent"](spark, sf)
+    assert len(stored_pairs(spark).keys() - before.keys()) == 1
